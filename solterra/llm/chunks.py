@@ -4,7 +4,7 @@ A chunk is a run of documents of one scan task, about ``CHUNK_BYTES`` of text. I
 many words each has, and the sequence of word codes (the word's number within the chunk, by position). The distinct words
 go out as ``parts`` packs, one for each hash part of the vocabulary; within a pack a word's place is its code less the
 codes of the packs before it. So answers for a pack come back as an array in the same order, and a chunk's
-documents are put together again by position. The chunk table is written once to the shared folder: what follows never
+documents are put together again by position. The chunk table is written once to the shared folder, in buckets by chunk, so that answers come to it: what follows never
 depends on the order in which a task reads its rows a second time.
 """
 
@@ -21,9 +21,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, id_text, partitions, stage
+from .common import as_bytes, id_text, partitions, stage_bucketed
 
-CHUNK_BYTES = 32 << 20
+CHUNK_BYTES = 12 << 20
 
 SCHEMA = "chunk long, doc_ids array<long>, lengths array<int>, sizes array<int>, codes binary, uses binary, packs array<binary>"
 
@@ -65,6 +65,14 @@ def gather(starts: np.ndarray, lengths: np.ndarray, which: np.ndarray) -> np.nda
     return np.repeat(starts[which] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
 
 
+def rows_of(batches: Iterable[pa.RecordBatch], step: int = 100):
+    """(doc_id, text bytes) of the rows, few texts at a time as Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, step):
+            part = batch.slice(at, step)
+            yield from zip(part.column("doc_id").to_pylist(), as_bytes(part.column("text")))
+
+
 def chunk_table(docs: DataFrame, split: Callable[[bytes], Iterable], parts: int | None = None, bags: bool = False) -> DataFrame:
     """The staged chunk table of docs (doc_id, text). ``split`` gives a text's words, as bytes or str. With ``bags`` a
     document has its distinct codes in ascending order, as differences, and how often it uses each, in place of the sequence."""
@@ -98,21 +106,20 @@ def chunk_table(docs: DataFrame, split: Callable[[bytes], Iterable], parts: int
         task, seq, size = TaskContext.get().partitionId(), 0, 0
         ids, lengths, codes, words = [], [], [], defaultdict()
         words.default_factory = words.__len__
-        for batch in batches:
-            for doc, text in zip(batch.column("doc_id").to_pylist(), as_bytes(batch.column("text"))):
-                mine = np.fromiter(map(words.__getitem__, split(text)), np.uint32)
-                ids.append(doc)
-                lengths.append(len(mine))
-                codes.append(mine)
-                size += len(text)
-                if size >= CHUNK_BYTES:
-                    yield close(task, seq, ids, lengths, codes, words)
-                    ids, lengths, codes, words, size, seq = [], [], [], defaultdict(), 0, seq + 1
-                    words.default_factory = words.__len__
+        for doc, text in rows_of(batches):
+            mine = np.fromiter(map(words.__getitem__, split(text)), np.uint32)
+            ids.append(doc)
+            lengths.append(len(mine))
+            codes.append(mine)
+            size += len(text)
+            if size >= CHUNK_BYTES:
+                yield close(task, seq, ids, lengths, codes, words)
+                ids, lengths, codes, words, size, seq = [], [], [], defaultdict(), 0, seq + 1
+                words.default_factory = words.__len__
         if ids:
             yield close(task, seq, ids, lengths, codes, words)
 
-    return stage(id_text(docs).mapInArrow(run, SCHEMA), "chunks")
+    return stage_bucketed(id_text(docs).mapInArrow(run, SCHEMA), "chunks", "chunk")
 
 
 def packs_of(table: DataFrame) -> DataFrame:
@@ -123,4 +130,4 @@ def packs_of(table: DataFrame) -> DataFrame:
 def answered(table: DataFrame, answers: DataFrame) -> DataFrame:
     """Each chunk with its packs' answers (chunk, part, answer binary) in order of part; the packs themselves are left out."""
     told = answers.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("part", "answer"))).alias("answers"))
-    return table.drop("packs").join(told, "chunk", "left")
+    return table.drop("packs").join(told.hint("merge"), "chunk", "left")

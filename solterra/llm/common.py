@@ -39,6 +39,15 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return again
 
 
+def stage_bucketed(df: DataFrame, label: str, column: str) -> DataFrame:
+    """As ``stage``, in as many buckets by ``column`` as shuffles have partitions: joins on it leave these rows in place."""
+    spark = df.sparkSession
+    name = f"solterra_{label}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/solterra/{name}"
+    df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(partitions(spark), column).saveAsTable(name)
+    return spark.table(name)
+
+
 def drop_staged(df: DataFrame) -> None:
     """Remove a staged table that nothing reads any more."""
     path = getattr(df, "staged_path", None)
