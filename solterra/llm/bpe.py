@@ -61,9 +61,9 @@ def _answers(table: DataFrame, path: str) -> DataFrame:
             words = unpack_words(blob)
             for w in words:
                 if w not in known:
-                    known[w] = np.array(coder.encode_ordinary(w.decode()), "<u2" if coder.n_vocab <= 65536 else "<u4")
+                    known[w] = np.array(coder.encode_ordinary(w.decode()), "<u4").tobytes()
             got = [known[w] for w in words]
-            out.append(pack(np.fromiter(map(len, got), "<u4", len(got)), np.concatenate(got).astype("<u4")))
+            out.append(pack(np.fromiter(map(len, got), "<u4", len(got)) // 4, np.frombuffer(b"".join(got), "<u4")))
         return pa.table({"chunk": packs.column("chunk"), "part": packs.column("part").cast(pa.int32()), "answer": pa.array(out, pa.binary())})
 
     return packs_of(table).groupBy("part").applyInArrow(encode, "chunk long, part int, answer binary")
