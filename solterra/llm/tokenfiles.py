@@ -9,17 +9,20 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, id_text, partitions, read, shared_dir
-from .units import units
+from .chunks import gather
+from .common import id_text, partitions, read, shared_dir
 
 TOKENIZER, END = "byte_bpe_50k.json", 0
-#: Distinct words whose ids a worker keeps; beyond it the memory starts anew, results stay the same.
-MEMORY = 400_000
+#: White space other than single spaces and line feeds; texts that hold it are encoded whole.
+RARE_BYTES = "  |\n\n| \n|\n |[\\t\\v\\f\\r\\x1c-\\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: Bytes of text that a task encodes at a time, each distinct word of them once.
+GROUP_BYTES = 24 << 20
 
 FILE_OPTIONS = {
     "compression": "zstd",
@@ -33,7 +36,7 @@ FILE_OPTIONS = {
 
 
 class _Coder:
-    """Ids of texts by their words; each word new to this worker is encoded by the tokenizers library."""
+    """Ids of many texts at once: their distinct words go through the tokenizers library, the texts are gathered from them."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -41,33 +44,74 @@ class _Coder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # special strings in a text are ordinary text
         self.line = self.tokenizer.token_to_id("Ċ")
-        self.known: dict[str, bytes] = {}
-
-    def learn(self, words: list[str]) -> None:
-        simple = [w for w in words if not any(c.isspace() for c in w[1:]) and w[:1] != "\n" and (w[0] == " " or not w[0].isspace()) and w != " "]
-        for at in range(0, len(simple), 2000):  # line feeds part them: no id of such a word holds one
-            some = simple[at : at + 2000]
-            ids = np.array(self._encode(["\n".join(some)])[0].ids, "<i4")
-            cuts = np.flatnonzero(ids == self.line)
-            if len(cuts) != len(some) - 1:
-                raise RuntimeError("words did not come back one by one")
-            for w, a, b in zip(some, [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)]):
-                self.known[w] = ids[a:b].tobytes()
-        rest = list(set(words).difference(simple))
-        for w, e in zip(rest, self._encode(rest)):
-            self.known[w] = np.array(e.ids, "<i4").tobytes()
-
-    def _encode(self, texts: list[str]):
-        return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-
-    def __call__(self, text: bytes) -> bytes:
-        words = units(text)
-        if len(self.known) > MEMORY:
-            self.known.clear()
-        new = set(words).difference(self.known)
-        if new:
-            self.learn(list(new))
-        return b"".join(map(self.known.__getitem__, words))
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def words(self, words: list[str], before: str) -> tuple[np.ndarray, np.ndarray]:
+        """(lengths, ids) of ``before`` + word for words without white space. Line feeds part them: no such word holds their id."""
+        if not words:
+            return np.zeros(0, np.int64), np.zeros(0, np.int32)
+        parted = [before + ("\n" + before).join(words[at : at + 200]) + "\n" for at in range(0, len(words), 200)]
+        ids = np.concatenate([np.array(x, np.int32) for x in self._encode(parted)])
+        ends = np.flatnonzero(ids == self.line)
+        if len(ends) != len(words):
+            raise RuntimeError("words did not come back one by one")
+        return np.diff(ends, prepend=-1) - 1, np.delete(ids, ends)
+
+    def plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(lengths, ids) of texts in which each space and line feed stands alone and there is no other white space."""
+        lines = pc.split_pattern(texts, "\n")
+        per_text = np.diff(np.asarray(lines.offsets))
+        words = pc.split_pattern(lines.flatten(), " ")
+        at = np.asarray(words.offsets).astype(np.int64)
+        coded = words.flatten().dictionary_encode()
+        codes, n = np.asarray(coded.indices).astype(np.int64), len(coded.dictionary)
+        first = np.zeros(len(codes), bool)
+        first[at[:-1]] = True  # a line's first word has no space before it
+        codes += first * n
+        table, lengths, ids = coded.dictionary.to_pylist(), np.zeros(2 * n + 1, np.int64), []
+        used = np.bincount(codes, minlength=2 * n) > 0
+        for shift, before in ((0, " "), (n, "")):
+            mine = [k for k in np.flatnonzero(used[shift : shift + n]).tolist() if table[k] or before]
+            blank = [k for k in mine if not table[k]]  # a space at the end of a text
+            mine = [k for k in mine if table[k]]
+            lengths[np.array(mine, np.int64) + shift], got = self.words([table[k] for k in mine], before)
+            ids.append((np.array(mine, np.int64) + shift, got))
+            for k in blank:
+                got = self._encode([before])[0]
+                lengths[k + shift] = len(got)
+                ids.append((np.array([k + shift]), np.array(got, np.int32)))
+        lengths[2 * n] = 1
+        ids.append((np.array([2 * n]), np.array([self.line], np.int32)))
+        flat = np.concatenate([x for _, x in ids])
+        order = np.concatenate([k for k, _ in ids])
+        starts = np.zeros(2 * n + 1, np.int64)
+        starts[order] = np.cumsum(lengths[order]) - lengths[order]
+        # Between the lines of a text goes a line feed's code: after every line but a text's last.
+        last = np.zeros(len(at) - 1, bool)
+        last[np.cumsum(per_text) - 1] = True
+        feeds = at[1:][~last]
+        codes = np.insert(codes, feeds, 2 * n)
+        line_end = at[1:] + np.cumsum(~last)
+        ends = line_end[np.cumsum(per_text) - 1]
+        totals = np.concatenate(([0], np.cumsum(lengths[codes])))
+        return np.diff(totals[np.concatenate(([0], ends))]), flat[gather(starts, lengths, codes)]
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(lengths, ids) of texts, one after the other."""
+        odd = np.asarray(pc.match_substring_regex(texts, RARE_BYTES))
+        if not odd.any():
+            return self.plain(texts)
+        lengths = np.zeros(len(texts), np.int64)
+        ids = self._encode(texts.filter(pa.array(odd)).to_pylist())
+        lengths[odd] = [len(x) for x in ids]
+        lengths[~odd], plain = self.plain(texts.filter(pa.array(~odd))) if not odd.all() else ([], np.zeros(0, np.int32))
+        flat = np.zeros(int(lengths.sum()), np.int32)
+        whose = np.repeat(odd, lengths)
+        flat[~whose] = plain
+        flat[whose] = np.concatenate([np.array(x, np.int32) for x in ids])
+        return lengths, flat
 
 
 @lru_cache(1)
@@ -83,22 +127,36 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str | None = None, end: i
 
     def encode(batches):
         shard, start = TaskContext.get().partitionId(), 0
-        stop = np.array([end], "<i4").tobytes()
-        for batch in batches:
-            texts, ids = as_bytes(batch.column("text")), batch.column("doc_id")
-            for at in range(0, len(texts), 500):
-                coded = [_coder(path)(t) + stop for t in texts[at : at + 500]]
-                lengths = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
-                ends = np.cumsum(lengths)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(np.frombuffer(b"".join(coded), "<i4")))
+        group, size = [], 0
+
+        def coded():
+            table = pa.Table.from_batches(group).combine_chunks()
+            lengths, ids = _coder(path)(table.column("text").combine_chunks() if table.num_rows else pa.array([], pa.string()))
+            ends = np.cumsum(lengths + 1)
+            flat = np.insert(ids, np.cumsum(lengths), np.int32(end))
+            for at in range(0, len(lengths), 1000):
+                of = slice(at, at + 1000)
+                a, b = int(ends[at] - lengths[at] - 1), int(ends[of][-1])
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends[of] - a)).astype(np.int32)), pa.array(flat[a:b]))
                 yield pa.RecordBatch.from_arrays(
-                    [ids[at : at + 500], pa.array(np.full(len(coded), shard, np.int32)), pa.array(start + ends - lengths), pa.array(lengths), lists],
+                    [table.column("doc_id").combine_chunks()[of], pa.array(np.full(len(lists), shard, np.int32)), pa.array(start + ends[of] - lengths[of] - 1), pa.array(lengths[of] + 1), lists],
                     ["doc_id", "shard", "start", "n_tokens", "ids"],
                 )
-                start += int(ends[-1])
+            coded.ids = int(ends[-1])
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                group.append(batch.slice(at, 1000))
+                size += group[-1].column("text").nbytes
+                if size >= GROUP_BYTES:
+                    yield from coded()
+                    start += coded.ids
+                    group, size = [], 0
+        if group:
+            yield from coded()
 
     n = files or partitions(docs.sparkSession)
-    rows = id_text(docs).repartitionByRange(n, "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    rows = id_text(docs).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     rows.mapInArrow(encode, "doc_id long, shard int, start long, n_tokens long, ids array<int>").write.options(**FILE_OPTIONS).parquet(out)
 
 
@@ -106,9 +164,9 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, ids) of written token files; start counts the ids of all documents before. Where ids are not
     asked for, the scan reads the narrow columns alone."""
     rows = spark.read.parquet(path)
-    totals = rows.groupBy("shard").agg(F.sum("n_tokens").alias("n"))  # a row for each file
+    totals = rows.groupBy("shard").agg(F.sum("n_tokens").alias("n"))  # a row for each file: small enough to send to all
     before = totals.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("before"))
-    return rows.join(before, "shard").select("doc_id", (F.col("start") + F.col("before")).alias("start"), "ids")
+    return rows.join(F.broadcast(before), "shard").select("doc_id", (F.col("start") + F.col("before")).alias("start"), "ids")
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
