@@ -22,16 +22,15 @@ TOKENIZER, END = "byte_bpe_50k.json", 0
 #: White space other than single spaces and line feeds; texts that hold it are encoded whole.
 RARE_BYTES = "  |\n\n| \n|\n |[\\t\\v\\f\\r\\x1c-\\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 #: Bytes of text that a task encodes at a time, each distinct word of them once.
-GROUP_BYTES = 24 << 20
+GROUP_BYTES = 18 << 20
 
 FILE_OPTIONS = {
     "compression": "zstd",
     "parquet.block.size": str(16 << 20),
     "parquet.page.size": str(256 << 10),
     "parquet.page.row.count.limit": "2000",
-    "parquet.enable.dictionary": "true",
-    "parquet.dictionary.page.size": str(512 << 10),
-    "parquet.writer.version": "PARQUET_2_0",  # columns that outgrow the dictionary fall back to delta encoding
+    "parquet.enable.dictionary": "false",  # ids of a large vocabulary outgrow a page's dictionary:
+    "parquet.writer.version": "PARQUET_2_0",  # this version's delta encoding takes integers in its place
 }
 
 
@@ -48,12 +47,13 @@ class _Coder:
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def words(self, words: list[str], before: str) -> tuple[np.ndarray, np.ndarray]:
-        """(lengths, ids) of ``before`` + word for words without white space. Line feeds part them: no such word holds their id."""
-        if not words:
-            return np.zeros(0, np.int64), np.zeros(0, np.int32)
-        parted = [before + ("\n" + before).join(words[at : at + 200]) + "\n" for at in range(0, len(words), 200)]
-        ids = np.concatenate([np.array(x, np.int32) for x in self._encode(parted)])
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(lengths, ids) of words without white space but a space before. Line feeds part them: no such word holds their id."""
+        parts = []
+        for at in range(0, len(words), 10_000):
+            some = words[at : at + 10_000]
+            parts += [np.array(x, np.int32) for x in self._encode(["\n".join(some[k : k + 200]) + "\n" for k in range(0, len(some), 200)])]
+        ids = np.concatenate([*parts, np.zeros(0, np.int32)])
         ends = np.flatnonzero(ids == self.line)
         if len(ends) != len(words):
             raise RuntimeError("words did not come back one by one")
@@ -69,19 +69,20 @@ class _Coder:
         codes, n = np.asarray(coded.indices).astype(np.int64), len(coded.dictionary)
         first = np.zeros(len(codes), bool)
         first[at[:-1]] = True  # a line's first word has no space before it
-        codes += first * n
+        codes[first] += n
         table, lengths, ids = coded.dictionary.to_pylist(), np.zeros(2 * n + 1, np.int64), []
         used = np.bincount(codes, minlength=2 * n) > 0
-        for shift, before in ((0, " "), (n, "")):
-            mine = [k for k in np.flatnonzero(used[shift : shift + n]).tolist() if table[k] or before]
-            blank = [k for k in mine if not table[k]]  # a space at the end of a text
-            mine = [k for k in mine if table[k]]
-            lengths[np.array(mine, np.int64) + shift], got = self.words([table[k] for k in mine], before)
-            ids.append((np.array(mine, np.int64) + shift, got))
-            for k in blank:
-                got = self._encode([before])[0]
-                lengths[k + shift] = len(got)
-                ids.append((np.array([k + shift]), np.array(got, np.int32)))
+        places = np.flatnonzero(used).tolist()
+        words = [table[k - n] if k >= n else " " + table[k] for k in places]
+        named = [(k, w) for k, w in zip(places, words) if w and w != " "]
+        order = np.array([k for k, _ in named], np.int64)
+        lengths[order], got = self.words([w for _, w in named])
+        ids.append((order, got))
+        if " " in words:  # at the end of a text
+            space = np.array(self._encode([" "])[0], np.int32)
+            at_space = places[words.index(" ")]
+            lengths[at_space] = len(space)
+            ids.append((np.array([at_space]), space))
         lengths[2 * n] = 1
         ids.append((np.array([2 * n]), np.array([self.line], np.int32)))
         flat = np.concatenate([x for _, x in ids])
@@ -96,7 +97,8 @@ class _Coder:
         line_end = at[1:] + np.cumsum(~last)
         ends = line_end[np.cumsum(per_text) - 1]
         totals = np.concatenate(([0], np.cumsum(lengths[codes])))
-        return np.diff(totals[np.concatenate(([0], ends))]), flat[gather(starts, lengths, codes)]
+        ids = [flat[gather(starts, lengths, codes[at : at + 300_000])] for at in range(0, len(codes), 300_000)]
+        return np.diff(totals[np.concatenate(([0], ends))]), np.concatenate(ids) if ids else np.zeros(0, np.int32)
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(lengths, ids) of texts, one after the other."""
@@ -143,6 +145,7 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str | None = None, end: i
                     ["doc_id", "shard", "start", "n_tokens", "ids"],
                 )
             coded.ids = int(ends[-1])
+            pa.default_memory_pool().release_unused()
 
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
