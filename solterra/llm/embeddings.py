@@ -124,10 +124,16 @@ def _first_shared(homes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray
     """The first leaf that rows a and b share, of their padded lists of leaves."""
     out = np.full(len(a), np.iinfo(np.int64).max)
     for at in range(0, len(a), 50_000):
-        x, y = homes[a[at : at + 50_000]], homes[b[at : at + 50_000]]
+        x, y, found = homes[a[at : at + 50_000]], homes[b[at : at + 50_000]], out[at : at + 50_000]
+        same = x[:, 0] == y[:, 0]  # the lists ascend: where their first leaves agree, no other comes before
+        found[same] = x[same, 0]
+        rest = np.flatnonzero(~same)
         for c in range(homes.shape[1]):
-            same = ((x[:, c : c + 1] == y) & (x[:, c : c + 1] >= 0)).any(axis=1)
-            out[at : at + 50_000] = np.where(same & (x[:, c] < out[at : at + 50_000]), x[:, c], out[at : at + 50_000])
+            if not len(rest):
+                break
+            hit = (x[rest, c : c + 1] == y[rest]).any(axis=1) & (x[rest, c] >= 0)
+            found[rest[hit]] = x[rest[hit], c]
+            rest = rest[~hit]
     return out
 
 
@@ -150,10 +156,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
 
     def compare(rows: pa.Table) -> pa.Table:
         ids, block, m = np.asarray(rows.column("vec_id")), np.asarray(rows.column("block")), _matrix(rows.column("x"))
-        lists = rows.column("homes").to_pylist()
-        homes = np.full((len(ids), max(map(len, lists))), -1, np.int64)
-        for k, h in enumerate(lists):
-            homes[k, : len(h)] = h
+        lists = rows.column("homes").combine_chunks()
+        n_homes = np.diff(np.asarray(lists.offsets))
+        homes = np.full((len(ids), n_homes.max()), -1, np.int64)
+        homes[np.arange(n_homes.max()) < n_homes[:, None]] = np.asarray(lists.flatten())
         i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
         near = np.triu(m @ m.T >= cosine, 1)
         if i != j:  # only pairs across the two blocks; each block alone has a task of its own
