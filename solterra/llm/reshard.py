@@ -65,12 +65,12 @@ def plan(docs: DataFrame, shards: int, old_shard: str = "old_shard", size: str =
     arcs = docs.sparkSession.createDataFrame(cut, "_from int, shard int, _begin double, _length double")  # a row a transfer
     place = blocks.join(F.broadcast(arcs), (F.col(old_shard) == F.col("_from")) & (F.col("_middle") >= F.col("_begin")) & (F.col("_middle") < F.col("_begin") + F.col("_length")), "left")
     place = place.select(F.col(old_shard).alias("_old"), F.col("_key").alias("_k"), "_sub", F.coalesce("shard", F.col(old_shard)).cast("int").alias("shard"))
-    cold = stage(place, "place")
-    # One row for each (block, part): the join below is an equi-join of the documents with a table of bounded size.
-    parts = cold.withColumn("_p", F.explode(F.when(F.col("_sub") >= 0, F.array("_sub")).otherwise(F.sequence(F.lit(0), F.lit(SPREAD - 1)))))
-    wanted = fine.select(F.col(old_shard).alias("_old"), F.col("_key").alias("_k"), F.col("_part").alias("_p"))
-    parts = stage(wanted.join(parts, ["_old", "_k", "_p"]).select("_old", "_k", "_p", "shard"), "parts")
-    return rows.join(parts, (rows[old_shard] == parts["_old"]) & (rows["_key"] == parts["_k"]) & (rows["_part"] == parts["_p"])).select(*(rows[c] for c in docs.columns), "shard")
+    place = stage(place, "place")
+    cold = place.where("_sub < 0").select("_old", "_k", F.col("shard").alias("_whole"))
+    spread = place.where("_sub >= 0").select(F.col("_old").alias("_old2"), F.col("_k").alias("_k2"), "_sub", F.col("shard").alias("_piece"))
+    out = rows.join(cold, (rows[old_shard] == cold["_old"]) & (rows["_key"] == cold["_k"]), "left")
+    out = out.join(spread, (F.col(old_shard) == F.col("_old2")) & (F.col("_key") == F.col("_k2")) & (F.col("_part") == F.col("_sub")), "left")
+    return out.select(*(rows[c] for c in docs.columns), F.coalesce("_whole", "_piece").alias("shard"))
 
 
 def _order(i: int, j: int) -> tuple[int, int]:
