@@ -51,11 +51,11 @@ def _climb(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     current, jumps = stage(step, "climb0"), []
     facts = current.agg(F.count("up").alias("open"), F.count(F.lit(1)).alias("n")).first()
     while facts["open"] and 1 << len(jumps) <= facts["n"]:
-        jumps.append(current.where("up is not null").select("conv_id", "node", "up"))
+        still = current.where("up is not null")
+        jumps.append(still.select("conv_id", "node", "up"))
         above = current.select("conv_id", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), F.col("total").alias("total2"))
-        more = current.join(above, ["conv_id", "up"], "left").select(
-            "conv_id", "node", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total")
-        )
+        more = still.join(above, ["conv_id", "up"]).select("conv_id", "node", F.col("up2").alias("up"), (F.col("depth") + F.col("depth2")).alias("depth"), (F.col("total") + F.col("total2")).alias("total"))
+        more = more.unionByName(current.where("up is null"))
         current = stage(more, f"climb{len(jumps)}")
         facts = current.agg(F.count("up").alias("open"), F.lit(facts["n"]).alias("n")).first()
     return current, jumps
