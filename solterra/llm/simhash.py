@@ -68,10 +68,10 @@ def _masks(bits: int, radius: int) -> np.ndarray:
     return np.array([sum(1 << i for i in c) for r in range(radius + 1) for c in itertools.combinations(range(bits), r)], np.int64)
 
 
-def _probes(nodes: DataFrame, bits: int, segments: int, radius: int) -> DataFrame:
-    """(key, node, fp, exact): for each segment the keys in the ball around its value. Of two values one bit apart, the
+def _probes(nodes: DataFrame, words: int, bits: int, segments: int, radius: int) -> DataFrame:
+    """(key, node, sig, exact): sig is the first two words of the fingerprint, or its only one; for each segment the keys in the ball around its value. Of two values one bit apart, the
     one with the bit set finds the other, so for radius 1 the other way is left out."""
-    masks = _masks(bits, radius)
+    masks, carried = _masks(bits, radius), min(2, words)
 
     def run(batches):
         for batch in batches:
@@ -86,9 +86,10 @@ def _probes(nodes: DataFrame, bits: int, segments: int, radius: int) -> DataFram
                     keep = ((value[:, None] & m) == m) if radius == 1 else np.ones((len(value), len(m)), bool)
                     row, col = np.nonzero(keep)
                     keys = (value[row] ^ m[col]) | (s << 40)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids[row]), pa.array(fps[row, 0]), pa.array(m[col] == 0)], ["key", "node", "sig", "exact"])
+                    sig = [pa.array(fps[row, w]) for w in range(carried)]
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids[row]), *sig, pa.array(m[col] == 0)], ["key", "node", *(f"sig{w}" for w in range(carried)), "exact"])
 
-    return nodes.mapInArrow(run, "key long, node long, sig long, exact boolean")
+    return nodes.mapInArrow(run, "key long, node long, " + "".join(f"sig{w} long, " for w in range(carried)) + "exact boolean")
 
 
 def _forest(rows: np.ndarray, ids: np.ndarray, left: np.ndarray, limit: int) -> list[tuple[int, int]]:
@@ -117,15 +118,16 @@ def links(nodes: DataFrame, words: int, max_bits: int, segment_bits: int, segmen
     """(a, b) links between different nodes (node long, fp array<long> of ``words`` items) whose fingerprints differ in ``max_bits`` or
     fewer and meet in some segment within ``radius``. For max_bits < segments * (radius + 1) that is every such pair; a
     bucket over BUCKET gives a spanning forest of its links in place of all of them."""
-    probes = _probes(nodes, segment_bits, segments, radius)
+    probes = _probes(nodes, words, segment_bits, segments, radius)
     table = probes.where("exact")
-    # A first word further apart than this is chance: twice the allowed share of bits, and six more.
-    near = max_bits if words == 1 else math.ceil(2 * max_bits / words) + 6
+    carried = [f"sig{w}" for w in range(min(2, words))]
     hot = stage(table.groupBy("key").agg(F.count(F.lit(1)).alias("n_table")).where(F.col("n_table") > BUCKET).select("key", "n_table"), "hot")
-    t = table.join(hot.select("key"), "key", "left_anti").select("key", F.col("node").alias("b"), F.col("sig").alias("sig_b"))
+    t = table.join(hot.select("key"), "key", "left_anti").select("key", F.col("node").alias("b"), *(F.col(c).alias(f"{c}_b") for c in carried))
+    # What differs in the words carried along differs in the whole: more than max_bits there is more than max_bits.
+    apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_b"))) for c in carried), F.lit(0))
     pairs = (
         probes.join(t, "key")
-        .where((F.col("node") != F.col("b")) & (~F.col("exact") | (F.col("node") < F.col("b"))) & (F.bit_count(F.col("sig").bitwiseXOR(F.col("sig_b"))) <= near))
+        .where((F.col("node") != F.col("b")) & (~F.col("exact") | (F.col("node") < F.col("b"))) & (apart <= max_bits))
         .select(F.col("node").alias("a"), "b")
     )
     if words > 1:
