@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from .plans import mobility
+
+QUERIES = dict(mobility.QUERIES)
+SQL = dict(mobility.SQL)
 FLAGSHIP = "agg_irbm_day"
