@@ -22,7 +22,7 @@ from .common import as_bytes, id_text, read, stage
 from .components import connected_components
 
 #: Fingerprints in one bucket beyond which it is compared in blocks, and the rows of a block.
-BUCKET, BLOCK = 64, 1024
+BUCKET, BLOCK = 8, 1024
 
 
 def _more_words(h: np.ndarray, n: int) -> np.ndarray:
