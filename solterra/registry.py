@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import mobility
+from .plans import light, mobility
 
-QUERIES = dict(mobility.QUERIES)
-SQL = dict(mobility.SQL)
+QUERIES = mobility.QUERIES | light.QUERIES
+SQL = mobility.SQL | light.SQL
 FLAGSHIP = "agg_irbm_day"

@@ -19,3 +19,24 @@ def stays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(ad_id, row_index, start_time, end_time, lon, lat, file_relpath) of every event."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("epoch"))
     return events.selectExpr(*(c.format(epoch="epoch").replace("VARCHAR(4)", "STRING") for c in _STAY))
+
+
+def buildings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(building_id, height, lon0, lat0 .. lon3, lat3): a straight or turned quadrangle for every part."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size")
+    height = F.when(F.col("p_partkey") % 17 == 0, 12.0).otherwise(F.col("p_size").cast("double"))
+    lon, lat = F.lit(-74.0) + (F.col("p_partkey") * 13 % 400) * 0.0001, F.lit(40.7) + (F.col("p_partkey") * 7 % 250) * 0.0001
+    turned = F.col("p_partkey") % 2 == 1
+    straight = [(0.0001, 0.00006), (-0.0001, 0.00006), (-0.0001, -0.00006), (0.0001, -0.00006)]
+    diamond = [(0.00012, 0.0), (0.0, 0.00008), (-0.00012, 0.0), (0.0, -0.00008)]
+    corners = [c for i, ((sx, sy), (tx, ty)) in enumerate(zip(straight, diamond)) for c in ((lon + F.when(turned, tx).otherwise(sx)).alias(f"lon{i}"), (lat + F.when(turned, ty).otherwise(sy)).alias(f"lat{i}"))]
+    return part.select(F.col("p_partkey").alias("building_id"), height.alias("height"), *corners)
+
+
+def weather(spark: SparkSession, hours: int = 720, grids: int = 4) -> DataFrame:
+    """(grid, timestamp, tcc, ssrd): readings about an hour apart; ssrd is a running sum that starts anew each day."""
+    h, g = F.floor(F.col("id") / grids), F.col("id") % grids
+    return spark.range(hours * grids).select(
+        g.alias("grid"), (F.lit(1704067200) + h * 3600 + (h * 7 % 5) * 60).alias("timestamp"),
+        ((h * 7 + g * 3) % 100 / 100.0).alias("tcc"), ((h % 24) * (F.lit(1000.0) + g) * 3600).alias("ssrd"),
+    )
