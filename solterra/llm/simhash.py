@@ -125,9 +125,16 @@ def links(nodes: DataFrame, words: int, max_bits: int, segment_bits: int, segmen
     t = table.join(hot.select("key"), "key", "left_anti").select("key", F.col("node").alias("b"), *(F.col(c).alias(f"{c}_b") for c in carried))
     # What differs in the words carried along differs in the whole: more than max_bits there is more than max_bits.
     apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_b"))) for c in carried), F.lit(0))
+    # A pair that meets in several segments counts in the first of them: there its bucket gave the pair, or was compared in blocks.
+    first = F.lit(True)
+    for s in range(segments):
+        word, shift = divmod(s * segment_bits, 64)
+        if word < len(carried) and shift + segment_bits <= 64:
+            differ = F.shiftright(F.col(carried[word]).bitwiseXOR(F.col(f"{carried[word]}_b")), shift).bitwiseAND(F.lit((1 << segment_bits) - 1))
+            first &= ~((F.lit(s) < F.shiftright("key", 40)) & (F.bit_count(differ) <= radius))
     pairs = (
         probes.join(t, "key")
-        .where((F.col("node") != F.col("b")) & (~F.col("exact") | (F.col("node") < F.col("b"))) & (apart <= max_bits))
+        .where((F.col("node") != F.col("b")) & (~F.col("exact") | (F.col("node") < F.col("b"))) & (apart <= max_bits) & first)
         .select(F.col("node").alias("a"), "b")
     )
     if words > 1:
