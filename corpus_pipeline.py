@@ -26,14 +26,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that stand on five sources or more go from the texts; every document stays."""
-    return _counted(linededup.drop_boilerplate(docs).select(docs.columns))
+    """Lines that stand on five sources or more, over different documents and not copies of one, go from the texts; every
+    document stays."""
+    return _counted(linededup.drop_boilerplate(docs, keep_copies=True).select(docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents joined by links of similarity 0.8 or more over shingles of five words, the one with the smallest
-    doc_id stays; rows without a doc_id stay, rows of one doc_id stay or go together."""
-    groups = simhash.near_duplicates(docs, shingle_words=5, similarity=0.8)
+    doc_id stays; rows without a doc_id or without words stay, rows of one doc_id stay or go together."""
+    groups = simhash.near_duplicates(docs.where(F.col("text").rlike(r"\S")), shingle_words=5, similarity=0.8)
     gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 

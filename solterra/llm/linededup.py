@@ -16,6 +16,8 @@ MIN_SITES = 5
 #: log2 of a sketch's registers, and the share around the threshold within which counts are taken exactly: over four
 #: standard errors of such a sketch.
 LOG_REGISTERS, NEAR = 12, 0.15
+#: The share of a text's characters in lines of its own from which its other lines can be boilerplate rather than copied with it.
+OWN = 0.2
 
 
 def _line_key(line):
@@ -40,15 +42,34 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, text_col: str = "te
     return sure.unionByName(exact.select("h1", "h2"))
 
 
-def drop_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, text_col: str = "text", site_col: str = "source", id_col: str = "doc_id") -> DataFrame:
+def boilerplate_of_texts(docs: DataFrame, min_sites: int = MIN_SITES, text_col: str = "text", site_col: str = "source") -> DataFrame:
+    """(h1, h2) as ``boilerplate``, without the spread that copies of one document give: rows of equal text count on one
+    site, and only texts count of which lines that stand on fewer sites make up OWN of the characters or more. Near copies
+    share nearly all their lines, so that they are no evidence for them; nor are texts of nothing but boilerplate."""
+    texts = [F.xxhash64(text_col).alias("t1"), F.xxhash64(F.col(text_col), F.lit(1)).alias("t2")]
+    rows = docs.where(F.col(site_col).isNotNull() & F.col(text_col).isNotNull()).select(*texts, F.col(text_col).alias("text"), F.col(site_col).cast("string").alias("site"))
+    copies = rows.groupBy("t1", "t2").agg(F.min_by("site", F.xxhash64("site", "t1")).alias("one"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    rows = rows.join(stage(copies, "copies"), ["t1", "t2"], "left").select("t1", "t2", "text", F.coalesce("one", "site").alias("site"))
+    hot = stage(boilerplate(rows, min_sites, "text", "site"), "hot")
+    parts = F.transform(F.split("text", "\n"), _trimmed)
+    total = F.aggregate(parts, F.lit(0).cast("long"), lambda n, line: n + F.length(line))
+    lines = rows.select("t1", "t2", "site", total.alias("total"), F.posexplode(parts).alias("at", "line")).where("line <> ''")
+    lines = lines.select("t1", "t2", "site", "total", "at", F.length("line").alias("n"), _line_key(F.col("line")).alias("key"))
+    lines = stage(lines.select("t1", "t2", "site", "total", "at", "n", F.col("key.h1").alias("h1"), F.col("key.h2").alias("h2")).join(hot, ["h1", "h2"]).distinct(), "hot_lines")
+    own = lines.groupBy("t1", "t2").agg(F.sum("n").alias("hot"), F.first("total").alias("total")).where(F.col("hot") <= (1 - OWN) * F.col("total"))
+    spread = lines.join(own.select("t1", "t2"), ["t1", "t2"], "left_semi").select("site", "h1", "h2").distinct()
+    return spread.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_sites).select("h1", "h2")
+
+
+def drop_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, text_col: str = "text", site_col: str = "source", id_col: str = "doc_id", keep_copies: bool = False) -> DataFrame:
     """docs with boilerplate lines cut from the text, all its columns, and n_lines, n_removed (long).
 
     Lines are parted by line feeds and compared without blanks, tabs and carriage returns around them; blank lines stay,
     so do lines of rows without an id. A null text stays null with no lines; a text of which all lines go is empty. Rows
     that share an id lose the lines at the places where any of them loses one of its own only if they share the text too:
-    rows are told apart by (id, hash of the text).
+    rows are told apart by (id, hash of the text). With ``keep_copies`` lines go by ``boilerplate_of_texts``.
     """
-    gone = stage(boilerplate(docs, min_sites, text_col, site_col), "boilerplate")
+    gone = stage((boilerplate_of_texts if keep_copies else boilerplate)(docs, min_sites, text_col, site_col), "boilerplate")
     body, own = F.col(text_col), F.xxhash64(text_col)
     lines = docs.select(F.col(id_col).alias("_id"), own.alias("_text"), F.posexplode(F.split(body, "\n")).alias("_at", "_line"))
     lines = lines.select("_id", "_text", "_at", _trimmed(F.col("_line")).alias("_line")).where("_line <> ''").select("_id", "_text", "_at", _line_key(F.col("_line")).alias("_key"))
