@@ -40,8 +40,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of benchmark items, ten words or more, are cut; documents that are mostly such passages go."""
-    return _counted(decontaminate.decontaminate(docs, read(spark, sf_dir, "benchmark")))
+    """Passages of benchmark items, ten words or more, are cut; documents that are mostly such passages, or items of
+    fewer words, go."""
+    return _counted(decontaminate.decontaminate(docs, read(spark, sf_dir, "benchmark"), cut_short=False))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

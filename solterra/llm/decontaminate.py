@@ -90,8 +90,9 @@ class Automaton:
             p = link[p]
         return copy
 
-    def matches(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set]:
-        """Hit stretches [from, to) of word positions in order, joined where they touch, and the items behind them."""
+    def matches(self, words: list[bytes], short: bool = True) -> tuple[list[tuple[int, int]], set]:
+        """Hit stretches [from, to) of word positions in order, joined where they touch, and the items behind them; without
+        ``short`` only those of whole windows."""
         ids = np.fromiter(map(self.vocabulary.get, words, repeat(0)), np.int64, len(words))
         edge = np.flatnonzero(np.diff(np.concatenate(([0], (ids != 0).view(np.int8), [0]))))
         stretches, items = [], set()
@@ -112,7 +113,7 @@ class Automaton:
                         s = self.link[s]
                     hit = self.window
                     items |= self.items[s]
-                if self.short:
+                if short and self.short:
                     while s:
                         if s in self.short and self.len[s] <= length:
                             hit = max(hit, self.len[s])
@@ -191,9 +192,10 @@ def cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(out)
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, max_coverage: float = 0.5) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, max_coverage: float = 0.5, cut_short: bool = True) -> DataFrame:
     """docs without contaminated spans: all its columns and rows, the hit words cut from ``text``. Rows of which more
-    than ``max_coverage`` of the words are hit go whole. Rows without hits pass unchanged, null texts too."""
+    than ``max_coverage`` of the words are hit go whole. Rows without hits pass unchanged, null texts too. Without
+    ``cut_short`` hits of items shorter than the window stay in the text, but count for the coverage."""
     context = docs.sparkSession.sparkContext
     models = [context.broadcast(a) for a in _blocks(items, window)]
     at = docs.columns.index("text")
@@ -205,6 +207,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, max_cover
                 words = words_of(text or b"")
                 hits = _joined([h for m in models for h in m.value.matches(words)[0]])
                 keep.append(sum(b - a for a, b in hits) <= max_coverage * len(words))
+                if hits and not cut_short and any(m.value.short for m in models):
+                    hits = _joined([h for m in models for h in m.value.matches(words, short=False)[0]])
                 texts.append(cut(text, hits) if hits else text)
             out = pa.array(texts, pa.binary()).cast(batch.column(at).type)
             yield batch.set_column(at, batch.schema.field(at), out).filter(pa.array(keep, pa.bool_()))

@@ -22,3 +22,12 @@ def test_pipeline_keeps_one_of_copies_on_many_sites(spark, tmp_path):
     assert all(texts[i] == t for i, t, _ in exact + near + empty) and all(texts[200 + i] == words(f"own{i}w", 30) for i in range(8))
     assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, lines, "").collect()} == {0, 100, *range(200, 208), 300, 301, 302}
     assert {r.n_removed for r in linededup.drop_boilerplate(docs.where("doc_id < 100")).collect()} == {10}
+
+
+def test_pipeline_cuts_no_items_shorter_than_ten_words(spark, tmp_path):
+    item = words("item", 12)
+    spark.createDataFrame([("a", "of the"), ("b", item), ("c", words("nine", 9))], "item_id string, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    clean, mixed = f"one of the {words('own', 20)} of the end", f"{words('own', 30)} {item} of the end of the day"
+    docs = spark.createDataFrame([(1, clean, "s"), (2, mixed, "s"), (3, f"now {words('nine', 9)}", "s")], COLUMNS)
+    got = {r.doc_id: r.text for r in corpus_pipeline.drop_benchmark(spark, docs, f"file://{tmp_path}").collect()}
+    assert got == {1: clean, 2: f"{words('own', 30)} of the end of the day"}
