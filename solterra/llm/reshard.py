@@ -9,10 +9,12 @@ outgrows HOT of a shard: then its documents are spread by their ids.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read, stage
+from .common import read, shared_dir, stage
 
 BLOCKS, SPREAD, HOT = 4096, 256, 0.5
 
@@ -68,9 +70,11 @@ def plan(docs: DataFrame, shards: int, old_shard: str = "old_shard", size: str =
     place = stage(place, "place")
     cold = place.where("_sub < 0").select("_old", "_k", F.col("shard").alias("_whole"))
     spread = place.where("_sub >= 0").select(F.col("_old").alias("_old2"), F.col("_k").alias("_k2"), "_sub", F.col("shard").alias("_piece"))
-    out = rows.join(cold, (rows[old_shard] == cold["_old"]) & (rows["_key"] == cold["_k"]), "left")
-    out = out.join(spread, (F.col(old_shard) == F.col("_old2")) & (F.col("_key") == F.col("_k2")) & (F.col("_part") == F.col("_sub")), "left")
-    return out.select(*(rows[c] for c in docs.columns), F.coalesce("_whole", "_piece").alias("shard"))
+    # BLOCKS rows a shard at most go to the tasks, so that rows of whole blocks, with all they carry, stay where they are.
+    out = rows.join(F.broadcast(cold), (rows[old_shard] == cold["_old"]) & (rows["_key"] == cold["_k"]), "left")
+    whole = out.where("_whole is not null").select(*docs.columns, F.col("_whole").alias("shard"))
+    out = out.where("_whole is null").join(spread, (F.col(old_shard) == F.col("_old2")) & (F.col("_key") == F.col("_k2")) & (F.col("_part") == F.col("_sub")), "left")
+    return whole.unionByName(out.select(*docs.columns, F.col("_piece").alias("shard")))
 
 
 def _order(i: int, j: int) -> tuple[int, int]:
@@ -89,21 +93,30 @@ def with_slots(placed: DataFrame) -> DataFrame:
     return joined.select(*(numbered[c] for c in placed.columns), (F.col("_own") + F.col("_before")).alias("slot"))
 
 
-def rewrite(docs: DataFrame, placed: DataFrame, out: str, old_shard: str = "old_shard") -> list[int]:
-    """Write the shards that the plan changes to ``out``/shard=k: rows of docs (doc_id, more), each with its new shard from
-    ``placed`` (doc_id, old shard, shard; one row a doc_id). Returns the shards written; the files of others stay as they are."""
+def rewrite(placed: DataFrame, out: str, old_shard: str = "old_shard") -> list[int]:
+    """Write the shards that the plan changes to ``out``/shard=k: the rows of placed (old shard, shard, more) that stand in them
+    now, whatever their ids. Returns the shards written or emptied; the files of others stay as they are."""
     moves = placed.where(F.col(old_shard) != F.col("shard")).select(F.explode(F.array(old_shard, "shard")).alias("shard")).distinct()
     changed = sorted(r["shard"] for r in moves.collect())  # at most a row a shard
-    rows = docs.join(placed.select("doc_id", "shard").where(F.col("shard").isin(changed)), "doc_id")
-    rows.write.mode("overwrite").partitionBy("shard").parquet(out)
+    placed.where(F.col("shard").isin(changed)).write.mode("overwrite").option("compression", "zstd").partitionBy("shard").parquet(out)
     return changed
 
 
 def op5_reshard(spark: SparkSession, sf_dir: str, old: int = 6, shards: int = 8) -> DataFrame:
-    """Every document, from ``old`` shards by the hash of the text to eight of near equal bytes."""
-    docs = read(spark, sf_dir, "documents").select(
-        "doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32")
-    )
-    docs = stage(docs.withColumn("old_shard", F.pmod("text_crc32", F.lit(old)).cast("int")), "sizes")
-    out = with_slots(plan(docs, shards))
+    """Every document, from ``old`` shards by the hash of the text to eight of near equal bytes: the old shards are laid out as
+    files, those that the plan changes are written anew with their texts, and the rows are read from the files of both."""
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    top = f"{shared_dir(spark)}/solterra/{uuid.uuid4().hex}"
+    laid = docs.withColumn("old_shard", F.pmod(crc, F.lit(old)).cast("int"))
+    laid.write.option("compression", "zstd").partitionBy("old_shard").parquet(f"{top}/old")
+    before = spark.read.schema(laid.schema).parquet(f"{top}/old")
+    size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size")
+    placed = plan(before.select("doc_id", "text", size, crc.alias("text_crc32"), "old_shard"), shards)
+    changed = rewrite(placed.select("doc_id", "text", "old_shard", "shard"), f"{top}/new")
+    columns = ["doc_id", "text", "old_shard", "shard"]
+    new = spark.read.schema(placed.select(columns).schema).parquet(f"{top}/new").select(columns)
+    same = before.where(~F.col("old_shard").isin(changed)).withColumn("shard", F.col("old_shard")).select(columns)
+    rows = stage(new.unionByName(same).select("doc_id", size, crc.alias("text_crc32"), "shard", "old_shard"), "membership")
+    out = with_slots(rows)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")

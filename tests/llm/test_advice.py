@@ -1,7 +1,7 @@
 """Cases in which the code once did less than the whole job."""
 
 import corpus_pipeline
-from solterra.llm import linededup
+from solterra.llm import linededup, reshard
 
 COLUMNS = "doc_id long, text string, source string"
 
@@ -31,3 +31,15 @@ def test_pipeline_cuts_no_items_shorter_than_ten_words(spark, tmp_path):
     docs = spark.createDataFrame([(1, clean, "s"), (2, mixed, "s"), (3, f"now {words('nine', 9)}", "s")], COLUMNS)
     got = {r.doc_id: r.text for r in corpus_pipeline.drop_benchmark(spark, docs, f"file://{tmp_path}").collect()}
     assert got == {1: clean, 2: f"{words('own', 30)} of the end of the day"}
+
+
+def test_reshard_writes_every_text_of_the_shards_it_changes(spark, tmp_path, monkeypatch):
+    rows = [(None if i % 7 == 0 else i // 3, None if i % 50 == 0 else words(f"t{i}w", i % 20)) for i in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    written, real = [], reshard.rewrite
+    monkeypatch.setattr(reshard, "rewrite", lambda placed, out: written.append((out, changed := real(placed, out))) or changed)
+    got = reshard.op5_reshard(spark, f"file://{tmp_path}").collect()
+    [(out, changed)] = written
+    files = [(r.doc_id, r.text) for r in spark.read.parquet(out).collect()]
+    assert changed == list(range(8)) and sorted(files, key=str) == sorted(rows, key=str)
+    assert len(got) == 400 and sorted(r["size"] for r in got) == sorted(len(t or "") + 1 for _, t in rows) and len({(r.shard, r.slot) for r in got}) == 400
