@@ -21,13 +21,11 @@ from .chunks import answered, chunk_table, pack, packs_of, unpack, unpack_words
 from .common import read, stage
 from .decontaminate import words_of
 
-#: Of FOLDS folds by crc32 of the id: 0 is never learned from, 1 fits the curve, the others are counted.
+#: Of FOLDS folds by crc32 of the id: 0 is never learned from, 1 fits the curve, the others are counted, with what of 1 the curve leaves.
 FOLDS = 5
 #: Rows that fit the curve at most (those of the smallest hashes of their ids).
 CURVE_ROWS = 20_000
 ORDER, DISCOUNT = 5, 0.75
-#: Slots (a prime) of the table of n-gram evidence that tasks load: its size has this bound whatever the corpus.
-SLOTS = 4_194_301
 
 
 def fold(doc_id) -> F.Column:
@@ -56,10 +54,9 @@ def grams_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return grams, np.repeat(np.arange(len(words)), n)
 
 
-def _tallies(table: DataFrame, labels: DataFrame) -> DataFrame:
-    """(part, word, toxic, ordinary) of every word of the corpus: counted toxic and ordinary documents that hold it."""
+def _tallies(table: DataFrame, known: DataFrame) -> DataFrame:
+    """(part, word, toxic, ordinary) of every word of the corpus: toxic and ordinary documents of ``known`` that hold it."""
     ids = table.select("chunk", F.posexplode("doc_ids").alias("pos", "doc_id"))
-    known = labels.where(fold(F.col("doc_id")) > 1).select("doc_id", "toxic")
     marks = ids.join(known, "doc_id").groupBy("chunk").agg(F.collect_list(F.struct("pos", "toxic")).alias("marks"))
     marked = table.join(marks, "chunk", "left").select("chunk", "lengths", "sizes", "codes", "uses", "packs", "marks")
 
@@ -94,9 +91,9 @@ def _tallies(table: DataFrame, labels: DataFrame) -> DataFrame:
     return counted.groupBy("part").applyInArrow(add, "part int, word binary, toxic long, ordinary long")
 
 
-def gram_evidence(tallies: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(gram, value) for the n-grams of the corpus that a class holds, and (context, value) for others after a known context:
-    the difference of the class models' log-probabilities of the last byte."""
+def gram_evidence(tallies: DataFrame) -> DataFrame:
+    """(gram, value) for the n-grams of the corpus that a class holds, or that follow a context that a class holds: the
+    difference of the class models' log-probabilities of the last byte. For any other it is zero."""
 
     def explode(batches):
         for batch in batches:
@@ -128,35 +125,37 @@ def gram_evidence(tallies: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     seen = grams.where("toxic + ordinary > 0").withColumn("context", F.shiftright("gram", 8)).withColumn("shorter", F.col("gram").bitwiseAND(F.lit((1 << 8 * (ORDER - 1)) - 1)))
     seen = seen.join(contexts, "context").join(shared.withColumnRenamed("gram", "shorter"), "shorter")
-    return seen.select("gram", F.log(p("toxic") / p("ordinary")).alias("value")), contexts.select("context", F.log(left("toxic") / left("ordinary")).alias("value"))
+    others = grams.where("toxic + ordinary = 0").select("gram", F.shiftright("gram", 8).alias("context")).join(contexts, "context")
+    return seen.select("gram", F.log(p("toxic") / p("ordinary")).alias("value")).unionByName(others.select("gram", F.log(left("toxic") / left("ordinary")).alias("value")))
 
 
-def _slots(keys: DataFrame) -> np.ndarray:
-    """The values of a (key, value) table by slot; keys that share one of the SLOTS slots give it their mean."""
-    key, value = keys.columns
-    rows = keys.groupBy(F.pmod(F.col(key), F.lit(SLOTS)).cast("int").alias("slot")).agg(F.avg(value).cast("float").alias("value")).toArrow()
-    out = np.full(SLOTS, np.nan, np.float32)
-    out[np.asarray(rows.column("slot"))] = np.asarray(rows.column("value"))
-    return out
+def _evidence(table: DataFrame, tallies: DataFrame) -> DataFrame:
+    """(doc_id, by_word, by_kind) of every document. The words of a part meet the values of just their own n-grams."""
 
+    def explode(batches):
+        for batch in batches:
+            part = np.asarray(batch.column("part"))
+            for k in np.unique(part):
+                grams = np.unique(grams_of(batch.filter(pa.array(part == k)).column("word").to_pylist())[0])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), k, np.int32)), pa.array(grams)], ["part", "gram"])
 
-def _evidence(table: DataFrame, tallies: DataFrame) -> DataFrame:
-    """(doc_id, by_word, by_kind) of every document."""
-    seen, contexts = gram_evidence(tallies)
-    models = table.sparkSession.sparkContext.broadcast((_slots(seen), _slots(contexts)))
+    values = tallies.select("part", "word").mapInArrow(explode, "part int, gram long").distinct().join(gram_evidence(tallies), "gram")
 
-    def rate(packs: pa.Table) -> pa.Table:
-        grams_at, contexts_at = models.value
+    def rate(packs: pa.Table, values: pa.Table) -> pa.Table:
         known: dict[bytes, int] = {}
         packed = [[known.setdefault(w, len(known)) for w in unpack_words(blob)] for blob in packs.column("words").to_pylist()]
-        grams, of = grams_of(list(known))
-        value = grams_at[grams % SLOTS]
-        value = np.where(np.isnan(value), contexts_at[(grams >> 8) % SLOTS], value)
-        value = np.bincount(of, np.nan_to_num(value), len(known)).astype("<f4")
+        value = np.zeros(len(known), "<f4")
+        if known and values.num_rows:
+            grams, of = grams_of(list(known))
+            keys, worth = np.asarray(values.column("gram")), np.asarray(values.column("value"))
+            order = np.argsort(keys)
+            keys, worth = keys[order], worth[order]
+            at = np.minimum(np.searchsorted(keys, grams), len(keys) - 1)
+            value = np.bincount(of, np.where(keys[at] == grams, worth[at], 0.0), len(known)).astype("<f4")
         out = [pack(value[np.array(words, np.int64)]) for words in packed]
         return pa.table({"chunk": packs.column("chunk"), "part": packs.column("part").cast(pa.int32()), "answer": pa.array(out, pa.binary())})
 
-    rated = packs_of(table).groupBy("part").applyInArrow(rate, "chunk long, part int, answer binary")
+    rated = packs_of(table).groupBy("part").cogroup(values.groupBy("part")).applyInArrow(rate, "chunk long, part int, answer binary")
 
     def sum_up(batches):
         for batch in batches:
@@ -196,8 +195,11 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     table = chunk_table(docs, words_of, bags=True)
-    evidence = stage(_evidence(table, stage(_tallies(table, known), "tallies")), "evidence")
-    fit = evidence.join(known.where(fold(F.col("doc_id")) == 1), "doc_id").orderBy(F.xxhash64("doc_id")).limit(CURVE_ROWS)
+    present = known.where(fold(F.col("doc_id")) == 1).join(table.select(F.explode("doc_ids").alias("doc_id")), "doc_id", "left_semi")
+    sample = stage(present.orderBy(F.xxhash64("doc_id"), "doc_id").limit(CURVE_ROWS), "curve")
+    counted = known.where(fold(F.col("doc_id")) > 0).join(sample.select("doc_id"), "doc_id", "left_anti").select("doc_id", "toxic")
+    evidence = stage(_evidence(table, stage(_tallies(table, counted), "tallies")), "evidence")
+    fit = evidence.join(sample, "doc_id").groupBy("doc_id", "toxic").agg(F.avg("by_word").alias("by_word"), F.avg("by_kind").alias("by_kind"))
     rows = fit.select("by_word", "by_kind", "toxic").toPandas()
     if rows["toxic"].nunique() == 2:
         a, b, offset = _curve(rows[["by_word", "by_kind"]].to_numpy(), rows["toxic"].to_numpy()).tolist()

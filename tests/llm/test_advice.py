@@ -1,7 +1,10 @@
 """Cases in which the code once did less than the whole job."""
 
+import random
+import zlib
+
 import corpus_pipeline
-from solterra.llm import linededup, reshard
+from solterra.llm import linededup, reshard, toxicity
 
 COLUMNS = "doc_id long, text string, source string"
 
@@ -43,3 +46,19 @@ def test_reshard_writes_every_text_of_the_shards_it_changes(spark, tmp_path, mon
     files = [(r.doc_id, r.text) for r in spark.read.parquet(out).collect()]
     assert changed == list(range(8)) and sorted(files, key=str) == sorted(rows, key=str)
     assert len(got) == 400 and sorted(r["size"] for r in got) == sorted(len(t or "") + 1 for _, t in rows) and len({(r.shard, r.slot) for r in got}) == 400
+
+
+def test_toxicity_knows_each_n_gram_by_itself_and_counts_what_the_curve_leaves(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SLOTS", 7, raising=False)  # once the places of a table that n-grams shared
+    monkeypatch.setattr(toxicity, "CURVE_ROWS", 100)
+    held, real = [], toxicity._tallies
+    monkeypatch.setattr(toxicity, "_tallies", lambda table, known: held.append(real(table, known)) or held[-1])
+    rng, rows = random.Random(1), []
+    for i in range(1500):
+        text = ["every", *(rng.choice("sun moon river stone cloud grass winter summer".split()) for _ in range(30))]
+        rows.append((i, " ".join([*text, *["scumbag"] * 2] if i % 4 == 0 else text), int(i % 4 == 0)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = toxicity.score(docs.drop("toxic"), docs.drop("text")).where("held_out").collect()
+    assert sum(r.predicted == (r.doc_id % 4 == 0) for r in got) > 0.97 * len(got) > 0
+    counts = {bytes(r.word): r.toxic + r.ordinary for r in held[0].collect()}
+    assert counts[b"every"] == sum(zlib.crc32(str(i).encode()) % 5 > 0 for i in range(1500)) - 100
