@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import solar
 
 DEGREE_M = 111_320.0
+TALL_CELL_M = 1000.0
 
 
 def to_metres(rows: DataFrame, lon0: float, lat0: float) -> DataFrame:
@@ -56,15 +57,19 @@ def indoor(points: DataFrame, buildings: DataFrame, cell_m: float = 100.0) -> Da
 def shadowed(points: DataFrame, buildings: DataFrame, max_height: float, min_altitude: float = math.radians(5), cell_m: float = 100.0) -> DataFrame:
     """(row_index, lit, in_shadow) of points (row_index, timestamp, lon, lat, x, y). lit: the sun stands above
     ``min_altitude``. in_shadow: a wall's shadow on the ground, or a footprint, covers the point. A point meets the
-    buildings of the cells on its way towards the sun, as far as a building of ``max_height`` throws a shadow; the test
+    buildings of the cells on its way towards the sun, as far as a building of ``max_height`` throws a shadow; a taller
+    building comes to the points of all cells that its own shadow can reach, of TALL_CELL_M. The test
     solves P - A = s (B - A) + t d for each wall AB. Walls along the sun's direction throw no shadow of their own."""
     sun = points.select("row_index", "x", "y", F.expr(solar.altitude()).alias("alt"), F.expr(solar.azimuth()).alias("az"))
     sun = sun.withColumn("lit", F.coalesce(F.col("alt") > min_altitude, F.lit(False)))
     up = sun.where("lit").withColumn("ux", F.sin("az") / F.tan("alt")).withColumn("uy", F.cos("az") / F.tan("alt"))
     ex, ey = F.col("x") - max_height * F.col("ux"), F.col("y") - max_height * F.col("uy")
-    left = _cells(up, F.least("x", ex), F.greatest("x", ex), F.least("y", ey), F.greatest("y", ey), cell_m)
+    short = _cells(up, F.least("x", ex), F.greatest("x", ex), F.least("y", ey), F.greatest("y", ey), cell_m)
     b = with_edges(buildings.where(F.col("height") <= max_height))
-    right = _cells(b, b.x0, b.x1, b.y0, b.y1, cell_m)
+    low = short.join(_cells(b, b.x0, b.x1, b.y0, b.y1, cell_m), ["_x", "_y"])
+    b = with_edges(buildings.where(F.col("height") > max_height))
+    reach = b.height / math.tan(min_altitude)
+    high = _cells(up, up.x, up.x, up.y, up.y, TALL_CELL_M).join(_cells(b, b.x0 - reach, b.x1 + reach, b.y0 - reach, b.y1 + reach, TALL_CELL_M), ["_x", "_y"])
     dx, dy = F.col("height") * F.col("ux"), F.col("height") * F.col("uy")
     x, y = F.col("x"), F.col("y")
 
@@ -74,7 +79,7 @@ def shadowed(points: DataFrame, buildings: DataFrame, max_height: float, min_alt
         return (det != 0) & F.try_divide(s, det).between(0, 1) & F.try_divide(t, det).between(0, 1)
 
     near = (x >= F.least("x0", F.col("x0") + dx)) & (x <= F.greatest("x1", F.col("x1") + dx)) & (y >= F.least("y0", F.col("y0") + dy)) & (y <= F.greatest("y1", F.col("y1") + dy))
-    hits = left.join(right, ["_x", "_y"]).where(near & (F.exists("edges", wall) | _inside(x, y))).select("row_index").distinct()
+    hits = low.unionByName(high).where(near & (F.exists("edges", wall) | _inside(x, y))).select("row_index").distinct()
     return sun.join(hits.withColumn("_hit", F.lit(True)), "row_index", "left").select("row_index", "lit", F.coalesce("_hit", F.lit(False)).alias("in_shadow"))
 
 
