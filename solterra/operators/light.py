@@ -11,65 +11,98 @@ from ..functions import solar
 
 DEGREE_M = 111_320.0
 TALL_CELL_M = 1000.0
+#: Positions per degree of ``to_units``: whole numbers, in which a point on an edge is told exactly.
+UNITS = 100_000
 
 
-def to_metres(rows: DataFrame, lon0: float, lat0: float) -> DataFrame:
-    """rows with x, y: metres east and north of an origin."""
-    return rows.withColumn("x", (F.col("lon") - lon0) * DEGREE_M * math.cos(math.radians(lat0))).withColumn("y", (F.col("lat") - lat0) * DEGREE_M)
+def to_units(rows: DataFrame) -> DataFrame:
+    """rows with x, y: lon and lat as whole numbers of 1e-5 degree, half to even. Null positions stay null."""
+    return rows.withColumn("x", F.bround(F.col("lon") * UNITS).cast("long")).withColumn("y", F.bround(F.col("lat") * UNITS).cast("long"))
+
+
+def unit_metres(lat0: float) -> tuple[float, float]:
+    """Metres of a unit eastward and northward at latitude ``lat0``."""
+    return DEGREE_M * math.cos(math.radians(lat0)) / UNITS, DEGREE_M / UNITS
+
+
+def ring_edges(ring: str | Column = "ring") -> Column:
+    """array<struct<ax,ay,bx,by>>: the edges of a ring (array<struct<x,y>>), last vertex to first; the edge that a closing
+    vertex adds has no length and changes nothing. An empty ring has no edges, a null ring null."""
+    ring = F.col(ring) if isinstance(ring, str) else ring
+    after = F.concat(F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1))
+    return F.zip_with(ring, after, lambda p, q: F.struct(p.x.alias("ax"), p.y.alias("ay"), q.x.alias("bx"), q.y.alias("by")))
+
+
+def ring_bounds(ring: str = "ring") -> list[Column]:
+    """x0, x1, y0, y1 of a ring; null for an empty one."""
+    bound = lambda f, c: f(F.transform(ring, lambda p: p[c]))
+    return [bound(F.array_min, "x").alias("x0"), bound(F.array_max, "x").alias("x1"), bound(F.array_min, "y").alias("y0"), bound(F.array_max, "y").alias("y1")]
 
 
 def with_edges(buildings: DataFrame) -> DataFrame:
-    """buildings (building_id, height, ring array<struct<x,y>> without the closing vertex) with edges and bounds."""
-    n = F.size("ring")
-    edge = lambda p, i: F.struct(p.x.alias("ax"), p.y.alias("ay"), F.get("ring", F.pmod(i + 1, n)).x.alias("bx"), F.get("ring", F.pmod(i + 1, n)).y.alias("by"))
-    bound = lambda f, c: f(F.transform("ring", lambda p: p[c]))
-    return buildings.select(
-        "building_id", "height", F.transform("ring", edge).alias("edges"),
-        bound(F.array_min, "x").alias("x0"), bound(F.array_max, "x").alias("x1"), bound(F.array_min, "y").alias("y0"), bound(F.array_max, "y").alias("y1"),
-    )
-
-
-def _inside(x: Column, y: Column) -> Column:
-    """Even-odd rule over edges, points on an edge included."""
-    crosses = lambda e: ((e.ay > y) != (e.by > y)) & (x < (e.bx - e.ax) * (y - e.ay) / (e.by - e.ay) + e.ax)
-    on = lambda e: (
-        ((e.bx - e.ax) * (y - e.ay) == (e.by - e.ay) * (x - e.ax)) & x.between(F.least(e.ax, e.bx), F.greatest(e.ax, e.bx)) & y.between(F.least(e.ay, e.by), F.greatest(e.ay, e.by))
-    )
-    odd = F.aggregate("edges", F.lit(0), lambda n, e: n + crosses(e).cast("int")) % 2 == 1
-    return odd | F.exists("edges", on)
-
-
-def _cells(rows: DataFrame, x0: Column, x1: Column, y0: Column, y1: Column, cell_m: float) -> DataFrame:
-    covered = lambda a, b: F.explode(F.sequence(F.floor(a / cell_m), F.floor(b / cell_m)))
-    return rows.withColumn("_x", covered(x0, x1)).withColumn("_y", covered(y0, y1))
-
-
-def indoor(points: DataFrame, buildings: DataFrame, cell_m: float = 100.0) -> DataFrame:
-    """(row_index, building_id) of points (row_index, x, y) in a footprint, its boundary included. A point lies in one
-    cell, so that no pair comes twice; null positions match nothing."""
-    left = points.select("row_index", "x", "y", F.floor(F.col("x") / cell_m).alias("_x"), F.floor(F.col("y") / cell_m).alias("_y"))
+    """buildings (building_id, height, ring array<struct<x,y>>, its closing vertex given or not) with edges and bounds.
+    Buildings without a vertex go."""
+    return buildings.where(F.size("ring") > 0).select("building_id", "height", ring_edges().alias("edges"), *ring_bounds())
+
+
+def in_ring(x: Column, y: Column, edges: str = "edges") -> Column:
+    """Even-odd rule over edges, points on an edge included. Nothing is divided: exact for whole numbers."""
+    turn = lambda e: (x - e.ax) * (e.by - e.ay) - (e.bx - e.ax) * (y - e.ay)
+    crosses = lambda e: ((e.ay > y) != (e.by > y)) & F.when(e.by > e.ay, turn(e) < 0).otherwise(turn(e) > 0)
+    on = lambda e: (turn(e) == 0) & x.between(F.least(e.ax, e.bx), F.greatest(e.ax, e.bx)) & y.between(F.least(e.ay, e.by), F.greatest(e.ay, e.by))
+    odd = F.aggregate(edges, F.lit(0), lambda n, e: n + crosses(e).cast("int")) % 2 == 1
+    return odd | F.exists(edges, on)
+
+
+def _cells(rows: DataFrame, x0: Column, x1: Column, y0: Column, y1: Column, cell_x: float, cell_y: float) -> DataFrame:
+    covered = lambda a, b, c: F.explode(F.sequence(F.floor(a / c), F.floor(b / c)))
+    return rows.withColumn("_x", covered(x0, x1, cell_x)).withColumn("_y", covered(y0, y1, cell_y))
+
+
+def _ray_cells(rows: DataFrame, ex: Column, ey: Column, cell_x: float, cell_y: float) -> DataFrame:
+    """rows in each cell that the way from (x, y) to (ex, ey) passes: column by column, the cells between where it enters
+    the column and where it leaves it."""
+    x, y = F.col("x"), F.col("y")
+    rows = rows.withColumn("_x", F.explode(F.sequence(F.floor(F.least(x, ex) / cell_x), F.floor(F.greatest(x, ex) / cell_x))))
+    at = lambda c: y + (F.least(F.greatest(c, F.least(x, ex)), F.greatest(x, ex)) - x) * F.try_divide(ey - y, ex - x)
+    enter, leave = at(F.col("_x") * cell_x), at((F.col("_x") + 1) * cell_x)
+    one_column = F.abs(ex - x) < 1e-9 * cell_x
+    low = F.when(one_column, F.least(y, ey)).otherwise(F.least(enter, leave))
+    high = F.when(one_column, F.greatest(y, ey)).otherwise(F.greatest(enter, leave))
+    margin = 1e-6 * cell_y  # of rounding
+    return rows.withColumn("_y", F.explode(F.sequence(F.floor((low - margin) / cell_y), F.floor((high + margin) / cell_y))))
+
+
+def indoor(points: DataFrame, buildings: DataFrame, cell: float = 100.0) -> DataFrame:
+    """(row_index, building_id) of points (row_index, x, y) in a footprint, its boundary included, both in the same unit.
+    A point lies in one cell, so that no pair comes twice; a point in several footprints gives a row for each; null
+    positions and empty tables match nothing."""
+    left = points.select("row_index", "x", "y", F.floor(F.col("x") / cell).alias("_x"), F.floor(F.col("y") / cell).alias("_y"))
     b = with_edges(buildings)
-    right = _cells(b, b.x0, b.x1, b.y0, b.y1, cell_m)
+    right = _cells(b, b.x0, b.x1, b.y0, b.y1, cell, cell)
     boxed = F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1"))
-    return left.join(right, ["_x", "_y"]).where(boxed & _inside(F.col("x"), F.col("y"))).select("row_index", "building_id")
+    return left.join(right, ["_x", "_y"]).where(boxed & in_ring(F.col("x"), F.col("y"))).select("row_index", "building_id")
 
 
-def shadowed(points: DataFrame, buildings: DataFrame, max_height: float, min_altitude: float = math.radians(5), cell_m: float = 100.0) -> DataFrame:
+def shadowed(points: DataFrame, buildings: DataFrame, max_height: float, min_altitude: float = math.radians(5), cell_m: float = 100.0, unit_m: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
     """(row_index, lit, in_shadow) of points (row_index, timestamp, lon, lat, x, y). lit: the sun stands above
-    ``min_altitude``. in_shadow: a wall's shadow on the ground, or a footprint, covers the point. A point meets the
-    buildings of the cells on its way towards the sun, as far as a building of ``max_height`` throws a shadow; a taller
-    building comes to the points of all cells that its own shadow can reach, of TALL_CELL_M. The test
-    solves P - A = s (B - A) + t d for each wall AB. Walls along the sun's direction throw no shadow of their own."""
+    ``min_altitude``. in_shadow: a wall's shadow on the ground, or a footprint, covers the point. x and y of points and
+    rings have ``unit_m`` metres east and north. A point meets the buildings of the cells on its way towards the sun, as
+    far as a building of ``max_height`` throws a shadow; a taller building comes to the points of all cells that its own
+    shadow can reach, of TALL_CELL_M: ``max_height`` parts the two ways and leaves no building out. The test solves
+    P - A = s (B - A) + t d for each wall AB. Walls along the sun's direction throw no shadow of their own; a null height
+    is 0. Null positions or times are not lit; repeated rows of one row_index share their shadow."""
+    (mx, my), tall = unit_m, F.coalesce(F.col("height"), F.lit(0.0)) > max_height
     sun = points.select("row_index", "x", "y", F.expr(solar.altitude()).alias("alt"), F.expr(solar.azimuth()).alias("az"))
     sun = sun.withColumn("lit", F.coalesce(F.col("alt") > min_altitude, F.lit(False)))
-    up = sun.where("lit").withColumn("ux", F.sin("az") / F.tan("alt")).withColumn("uy", F.cos("az") / F.tan("alt"))
-    ex, ey = F.col("x") - max_height * F.col("ux"), F.col("y") - max_height * F.col("uy")
-    short = _cells(up, F.least("x", ex), F.greatest("x", ex), F.least("y", ey), F.greatest("y", ey), cell_m)
-    b = with_edges(buildings.where(F.col("height") <= max_height))
-    low = short.join(_cells(b, b.x0, b.x1, b.y0, b.y1, cell_m), ["_x", "_y"])
-    b = with_edges(buildings.where(F.col("height") > max_height))
+    up = sun.where("lit and x is not null and y is not null").withColumn("ux", F.sin("az") / F.tan("alt") / mx).withColumn("uy", F.cos("az") / F.tan("alt") / my)
+    short = _ray_cells(up, F.col("x") - max_height * F.col("ux"), F.col("y") - max_height * F.col("uy"), cell_m / mx, cell_m / my)
+    b = with_edges(buildings.where(~tall)).withColumn("height", F.coalesce("height", F.lit(0.0)))
+    low = short.join(_cells(b, b.x0, b.x1, b.y0, b.y1, cell_m / mx, cell_m / my), ["_x", "_y"])
+    b = with_edges(buildings.where(tall))
     reach = b.height / math.tan(min_altitude)
-    high = _cells(up, up.x, up.x, up.y, up.y, TALL_CELL_M).join(_cells(b, b.x0 - reach, b.x1 + reach, b.y0 - reach, b.y1 + reach, TALL_CELL_M), ["_x", "_y"])
+    wide = _cells(b, b.x0 - reach / mx, b.x1 + reach / mx, b.y0 - reach / my, b.y1 + reach / my, TALL_CELL_M / mx, TALL_CELL_M / my)
+    high = _cells(up, up.x, up.x, up.y, up.y, TALL_CELL_M / mx, TALL_CELL_M / my).join(wide, ["_x", "_y"])
     dx, dy = F.col("height") * F.col("ux"), F.col("height") * F.col("uy")
     x, y = F.col("x"), F.col("y")
 
@@ -79,21 +112,21 @@ def shadowed(points: DataFrame, buildings: DataFrame, max_height: float, min_alt
         return (det != 0) & F.try_divide(s, det).between(0, 1) & F.try_divide(t, det).between(0, 1)
 
     near = (x >= F.least("x0", F.col("x0") + dx)) & (x <= F.greatest("x1", F.col("x1") + dx)) & (y >= F.least("y0", F.col("y0") + dy)) & (y <= F.greatest("y1", F.col("y1") + dy))
-    hits = low.unionByName(high).where(near & (F.exists("edges", wall) | _inside(x, y))).select("row_index").distinct()
+    hits = low.unionByName(high).where(near & (F.exists("edges", wall) | in_ring(x, y))).select("row_index").distinct()
     return sun.join(hits.withColumn("_hit", F.lit(True)), "row_index", "left").select("row_index", "lit", F.coalesce("_hit", F.lit(False)).alias("in_shadow"))
 
 
 def nearest_in_time(points: DataFrame, readings: DataFrame, by: str, value: str, tolerance: int = 86400) -> DataFrame:
     """points with ``value`` of the reading of the same ``by`` nearest in time (timestamp), ``tolerance`` seconds away at
     most, else null; of two as near, the earlier. Readings go to their own stretch of ``tolerance`` seconds and the two
-    beside it, so that a window holds one stretch of one key, however long the history."""
+    beside it, so that a window holds one stretch of one key, however long the history; both of its frames run over rows
+    before the current one, so that each is one pass. Points without time or key get null; no readings give null."""
     stretch = F.floor(F.col("timestamp") / tolerance)
     p = points.withColumn("_s", stretch).withColumn("_reading", F.lit(None).cast("struct<at:bigint,v:double>"))
     reading = F.struct(F.col("timestamp").cast("long").alias("at"), F.col(value).cast("double").alias("v")).alias("_reading")
-    r = readings.select(by, "timestamp", F.explode(F.array(stretch - 1, stretch, stretch + 1)).alias("_s"), reading)
-    w = Window.partitionBy(by, "_s").orderBy("timestamp")
-    before = F.last("_reading", True).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    after = F.first("_reading", True).over(w.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    r = readings.where(F.col("timestamp").isNotNull() & F.col(by).isNotNull()).select(by, "timestamp", F.explode(F.array(stretch - 1, stretch, stretch + 1)).alias("_s"), reading)
+    so_far = lambda order: Window.partitionBy(by, "_s").orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    before, after = (F.last("_reading", True).over(so_far(order)) for order in (F.asc("timestamp"), F.desc("timestamp")))
     both = p.unionByName(r, allowMissingColumns=True).withColumn("_b", before).withColumn("_a", after).where("_reading is null")
     back, ahead = F.col("timestamp") - F.col("_b.at"), F.col("_a.at") - F.col("timestamp")
     best = F.when(ahead.isNull() | (back <= ahead), F.col("_b")).otherwise(F.col("_a"))

@@ -46,10 +46,12 @@ def with_distance(points: DataFrame, by: str, order: list[str]) -> DataFrame:
 
 
 def position_at(points: DataFrame, queries: DataFrame, by: str) -> DataFrame:
-    """queries (by, at) with row_index of the first row at ``at`` or later, else of the last row: one window over both."""
+    """queries (by, at) with row_index of the first row at ``at`` or later, else of the last row: one window over both,
+    read from its end, so that each frame is one pass. Of rows at one instant the least row_index counts ahead, the
+    greatest behind; queries of a key without rows get null; repeated queries give one row."""
     p = points.select(by, F.col("timestamp").alias("at"), "row_index")
     q = queries.select(by, "at").distinct().withColumn("row_index", F.lit(None).cast("long"))
-    w = Window.partitionBy(by).orderBy("at", F.col("row_index").asc_nulls_first())
-    ahead = F.first("row_index", True).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    behind = F.last("row_index", True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    so_far = lambda *order: Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ahead = F.last("row_index", True).over(so_far(F.desc("at"), F.col("row_index").desc_nulls_last()))
+    behind = F.last("row_index", True).over(so_far(F.asc("at"), F.col("row_index").asc_nulls_first()))
     return p.unionByName(q).withColumn("found", F.coalesce(ahead, behind)).where("row_index is null").select(by, "at", F.col("found").alias("row_index"))

@@ -8,11 +8,11 @@ from ..functions import solar
 from ..operators import light, tracks
 from ..sources.views import STAYS_SQL, buildings, stays, weather
 
-LON0, LAT0 = -74.0, 40.7
+LAT0 = 40.7
 _ORDER = ("ad_id", ["timestamp", "row_index"])
 _TRACK = STAYS_SQL + ", track AS (SELECT *, start_time AS timestamp FROM stays)"
 _W = "OVER (PARTITION BY ad_id ORDER BY timestamp, row_index)"
-_METRES = "(lon + 74.0E0) * (111320.0E0 * cos(radians(40.7E0))) AS x, (lat - 40.7E0) * 111320.0E0 AS y"
+_UNITS = "CAST(round_even(lon * 100000, 0) AS BIGINT) AS x, CAST(round_even(lat * 100000, 0) AS BIGINT) AS y"
 
 
 def _track(spark, d):
@@ -20,14 +20,13 @@ def _track(spark, d):
 
 
 def _points(spark, d):
-    return light.to_metres(_track(spark, d), LON0, LAT0).select("row_index", "timestamp", "lon", "lat", "x", "y")
+    return light.to_units(_track(spark, d)).select("row_index", "timestamp", "lon", "lat", "x", "y")
 
 
 def _buildings(spark, d):
     b = buildings(spark, d)
-    mx, my = light.DEGREE_M * F.cos(F.radians(F.lit(LAT0))), F.lit(light.DEGREE_M)
-    ring = F.array(*(F.struct(((F.col(f"lon{i}") - LON0) * mx).alias("x"), ((F.col(f"lat{i}") - LAT0) * my).alias("y")) for i in range(4)))
-    return b.select("building_id", "height", ring.alias("ring"))
+    whole = lambda c: F.bround(F.col(c) * light.UNITS).cast("long")
+    return b.select("building_id", "height", F.array(*(F.struct(whole(f"lon{i}").alias("x"), whole(f"lat{i}").alias("y")) for i in range(4))).alias("ring"))
 
 
 def _weathered(spark, d):
@@ -38,7 +37,7 @@ def _weathered(spark, d):
 QUERIES = {
     "fn_sun_position": lambda s, d: _track(s, d).select("row_index", F.round(F.expr(solar.altitude()), 6).alias("altitude"), F.round(F.expr(solar.azimuth()), 6).alias("azimuth")),
     "join_indoor": lambda s, d: light.indoor(_points(s, d), _buildings(s, d)),
-    "join_point_shadow": lambda s, d: light.shadowed(_points(s, d), _buildings(s, d), max_height=60.0),
+    "join_point_shadow": lambda s, d: light.shadowed(_points(s, d), _buildings(s, d), max_height=60.0, unit_m=light.unit_metres(LAT0)),
     "join_weather_nearest": lambda s, d: _weathered(s, d),
     "fn_irradiance": lambda s, d: light.irradiance(weather(s), "grid").select("grid", "timestamp", F.round("watts", 6).alias("watts")),
     "win_segment_length": lambda s, d: tracks.long_segments(_track(s, d), *_ORDER, max_gap=21600, least_s=400).select("row_index", "segment", "segment_s"),
@@ -56,14 +55,17 @@ _BUILDINGS = """b AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 17 = 0 THEN
   -74.0E0 + (p_partkey * 13 % 400) * 0.0001E0 AS lon, 40.7E0 + (p_partkey * 7 % 250) * 0.0001E0 AS lat, p_partkey % 2 AS turned FROM part),
 corners AS (SELECT id, height, i, lon + CASE WHEN turned = 1 THEN [0.00012E0, 0E0, -0.00012E0, 0E0][i + 1] ELSE [0.0001E0, -0.0001E0, -0.0001E0, 0.0001E0][i + 1] END AS lon,
   lat + CASE WHEN turned = 1 THEN [0E0, 0.00008E0, 0E0, -0.00008E0][i + 1] ELSE [0.00006E0, 0.00006E0, -0.00006E0, -0.00006E0][i + 1] END AS lat FROM b, range(4) r(i)),
-m AS (SELECT id, height, i, """ + _METRES + """ FROM corners),
+m AS (SELECT id, height, i, """ + _UNITS + """ FROM corners),
 edges AS (SELECT p.id, p.height, p.x AS ax, p.y AS ay, q.x AS bx, q.y AS by_, c.x AS cx, c.y AS cy
   FROM m p JOIN m q ON p.id = q.id AND q.i = (p.i + 1) % 4 JOIN m c ON c.id = p.id AND c.i = 0)"""
-_POINTS = f"{_TRACK}, points AS (SELECT row_index, timestamp, lon, lat, {_METRES} FROM track)"
-_CROSS = "CASE WHEN (ay > y) <> (by_ > y) AND x < (bx - ax) * (y - ay) / nullif(by_ - ay, 0) + ax THEN 1 ELSE 0 END"
-_INDOOR = f"inside AS (SELECT row_index, id FROM points JOIN edges ON abs(x - cx) < 60 AND abs(y - cy) < 60 GROUP BY row_index, id HAVING sum({_CROSS}) % 2 = 1)"
+_POINTS = f"{_TRACK}, points AS (SELECT row_index, timestamp, lon, lat, {_UNITS} FROM track)"
+_TURN = "((x - ax) * (by_ - ay) - (bx - ax) * (y - ay))"
+_CROSS = f"CASE WHEN (ay > y) <> (by_ > y) AND CASE WHEN by_ > ay THEN {_TURN} < 0 ELSE {_TURN} > 0 END THEN 1 ELSE 0 END"
+_ON = f"{_TURN} = 0 AND x BETWEEN least(ax, bx) AND greatest(ax, bx) AND y BETWEEN least(ay, by_) AND greatest(ay, by_)"
+_INDOOR = f"inside AS (SELECT row_index, id FROM points JOIN edges ON abs(x - cx) < 60 AND abs(y - cy) < 60 GROUP BY row_index, id HAVING sum({_CROSS}) % 2 = 1 OR bool_or({_ON}))"
 _ALT = f"({solar.altitude()})"
-_REACH = "abs(x - ax) < 20 + height * abs(ux) AND abs(y - ay) < 20 + height * abs(uy)"
+_REACH = "abs(x - ax) < 40 + height * abs(ux) AND abs(y - ay) < 40 + height * abs(uy)"
+_MX, _MY = "(111320.0E0 * cos(radians(40.7E0)) / 100000)", "(111320.0E0 / 100000)"
 _WEATHER = """weather AS (SELECT g AS grid, 1704067200 + h * 3600 + (h * 7 % 5) * 60 AS timestamp, ((h * 7 + g * 3) % 100) / 100.0E0 AS tcc,
   (h % 24) * (1000.0E0 + g) * 3600 AS ssrd FROM range(720) a(h), range(4) c(g))"""
 _SEG = f"""sl AS (SELECT *, timestamp - lag(timestamp) {_W} AS dt FROM {{src}}),
@@ -75,7 +77,7 @@ SQL = {
     "fn_sun_position": f"WITH {_TRACK} SELECT row_index, round({solar.altitude()}, 6) AS altitude, round({solar.azimuth()}, 6) AS azimuth FROM track",
     "join_indoor": f"WITH {_POINTS}, {_BUILDINGS}, {_INDOOR} SELECT row_index, id AS building_id FROM inside",
     "join_point_shadow": f"""WITH {_POINTS}, {_BUILDINGS}, {_INDOOR}, sun AS MATERIALIZED (SELECT *, {_ALT} AS alt, {solar.azimuth()} AS az FROM points),
-      up AS MATERIALIZED (SELECT *, sin(az) / tan(alt) AS ux, cos(az) / tan(alt) AS uy FROM sun WHERE alt > radians(5)),
+      up AS MATERIALIZED (SELECT *, sin(az) / tan(alt) / {_MX} AS ux, cos(az) / tan(alt) / {_MY} AS uy FROM sun WHERE alt > radians(5)),
       near AS (SELECT *, (bx - ax) * height * uy - (by_ - ay) * height * ux AS det FROM up JOIN edges ON {_REACH}),
       hit AS (SELECT DISTINCT row_index FROM near WHERE det <> 0 AND ((x - ax) * height * uy - (y - ay) * height * ux) / det BETWEEN 0 AND 1
         AND ((bx - ax) * (y - ay) - (by_ - ay) * (x - ax)) / det BETWEEN 0 AND 1)
