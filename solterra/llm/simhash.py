@@ -3,7 +3,12 @@
 Documents get a fingerprint of 64 bits or a multiple of it. Each fingerprint is cut into segments; a table holds every
 (segment, value), small Hamming balls around each value are looked up in it, and complete distances decide. A bucket of
 more than ``BUCKET`` fingerprints is not expanded into pairs of rows: its members are compared in bounded blocks inside
-tasks, which give a spanning forest of the same links. Nothing is capped, so the components are exact for the radius.
+tasks, which give a spanning forest of the same links.
+
+With a fixed ``max_bits`` that the segments' balls cover, links are exactly the pairs within that distance. With a
+``similarity`` in its place the distance only proposes pairs: ``plan`` chooses segments of which the balls find a pair at
+that similarity with RECALL or more, at every size of the table, every segment is looked up, and a pair links if the
+Jaccard similarity of its shingles is ``similarity`` or more. Nothing is capped in either way.
 """
 
 from __future__ import annotations
@@ -23,6 +28,22 @@ from .components import connected_components
 
 #: Fingerprints in one bucket beyond which it is compared in blocks, and the rows of a block.
 BUCKET, BLOCK = 8, 1024
+#: The share of pairs at the border similarity that the lookup is to find.
+RECALL = 0.97
+
+
+def plan(n: int, similarity: float) -> tuple[int, int, int, int]:
+    """(words of the fingerprint, bits of a segment, segments, bits that may differ) for n documents.
+
+    A segment is as wide as keeps the chance matches of a value at four or fewer, 16 bits at least; their number follows
+    from RECALL, since a ball of radius 1 in each finds a pair at the border with a known probability. All bits of the
+    fingerprint are looked up. Three standard deviations above the mean distance at the border may differ."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    bits = max(16, 4 * math.ceil((math.log2(max(n, 1)) - 2) / 4))
+    found = (1 - p) ** bits + bits * p * (1 - p) ** (bits - 1)
+    words = math.ceil(bits * math.log(1 - RECALL) / math.log(1 - found) / 64)
+    total = 64 * words
+    return words, bits, total // bits, math.floor(total * p + 3 * math.sqrt(total * p * (1 - p)))
 
 
 def _more_words(h: np.ndarray, n: int) -> np.ndarray:
@@ -36,15 +57,20 @@ def _more_words(h: np.ndarray, n: int) -> np.ndarray:
     return np.stack(out, axis=1)
 
 
-def fingerprint(text: bytes, shingle_words: int, words: int = 1, distinct: bool = False) -> np.ndarray:
-    """``words`` 64-bit words; bit i is set if it is set in over half the hashes. No words: zero."""
+def shingle_hashes(text: bytes, shingle_words: int, distinct: bool = False) -> np.ndarray:
+    """Hashes of the text's shingles; a text of fewer words has itself as its one shingle, one of none has no shingle."""
     tokens = text.lower().split()
     if not tokens:
-        return np.zeros(words, np.int64)
+        return np.zeros(0, np.uint64)
     shingles = map(b" ".join, zip(*(tokens[i:] for i in range(shingle_words)))) if len(tokens) >= shingle_words else [b" ".join(tokens)]
     if distinct:
         shingles = set(shingles)
-    hashes = np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=42), shingles), np.uint64)
+    return np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=42), shingles), np.uint64)
+
+
+def fingerprint(text: bytes, shingle_words: int, words: int = 1, distinct: bool = False) -> np.ndarray:
+    """``words`` 64-bit words; bit i is set if it is set in over half the hashes. No words: zero."""
+    hashes = shingle_hashes(text, shingle_words, distinct)
     counts = np.zeros(64 * words, np.int64)
     for at in range(0, len(hashes), 16384):  # bounds the memory that a very long text takes
         bits = _more_words(hashes[at : at + 16384], words).astype("<u8", copy=False)
@@ -114,10 +140,17 @@ def _forest(rows: np.ndarray, ids: np.ndarray, left: np.ndarray, limit: int) ->
     return edges
 
 
-def links(nodes: DataFrame, words: int, max_bits: int, segment_bits: int, segments: int, radius: int) -> DataFrame:
-    """(a, b) links between different nodes (node long, fp array<long> of ``words`` items) whose fingerprints differ in ``max_bits`` or
-    fewer and meet in some segment within ``radius``. For max_bits < segments * (radius + 1) that is every such pair; a
-    bucket over BUCKET gives a spanning forest of its links in place of all of them."""
+def _close(pairs: DataFrame, nodes: DataFrame, max_bits: int) -> DataFrame:
+    """The pairs (a, b) of which the whole fingerprints differ in ``max_bits`` or fewer."""
+    fa, fb = nodes.select(F.col("node").alias("a"), F.col("fp").alias("fp_a")), nodes.select(F.col("node").alias("b"), F.col("fp").alias("fp_b"))
+    apart = F.aggregate(F.zip_with("fp_a", "fp_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return pairs.join(fa, "a").join(fb, "b").where(apart <= max_bits).select("a", "b").distinct()
+
+
+def candidates(nodes: DataFrame, words: int, max_bits: int, segment_bits: int, segments: int, radius: int) -> tuple[DataFrame, DataFrame | None]:
+    """(pairs, members): pairs (a, b) of nodes (node long, fp array<long> of ``words`` items) that differ in ``max_bits``
+    or fewer and meet in a bucket of BUCKET fingerprints or fewer; and for the larger buckets (None if there is none)
+    their members (key, node): those in the bucket, and those that look it up."""
     probes = _probes(nodes, words, segment_bits, segments, radius)
     table = probes.where("exact")
     carried = [f"sig{w}" for w in range(min(2, words))]
@@ -138,12 +171,19 @@ def links(nodes: DataFrame, words: int, max_bits: int, segment_bits: int, segmen
         .select(F.col("node").alias("a"), "b")
     )
     if words > 1:
-        fa, fb = nodes.select(F.col("node").alias("a"), F.col("fp").alias("fp_a")), nodes.select(F.col("node").alias("b"), F.col("fp").alias("fp_b"))
-        apart = F.aggregate(F.zip_with("fp_a", "fp_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-        pairs = pairs.distinct().join(fa, "a").join(fb, "b").where(apart <= max_bits).select("a", "b")
+        pairs = _close(pairs.distinct(), nodes, max_bits)
     if hot.isEmpty():
+        return pairs, None
+    return pairs, probes.join(hot, "key").select("key", "node").distinct()
+
+
+def links(nodes: DataFrame, words: int, max_bits: int, segment_bits: int, segments: int, radius: int) -> DataFrame:
+    """(a, b) links between different nodes (node long, fp array<long> of ``words`` items) whose fingerprints differ in ``max_bits`` or
+    fewer and meet in some segment within ``radius``. For max_bits < segments * (radius + 1) that is every such pair; a
+    bucket over BUCKET gives a spanning forest of its links in place of all of them."""
+    pairs, members = candidates(nodes, words, max_bits, segment_bits, segments, radius)
+    if members is None:
         return pairs
-    members = probes.join(hot, "key").select("key", "node").distinct()
     sizes = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     placed = members.join(stage(sizes, "blocks"), "key").join(nodes, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # Block i meets every block j >= i in a task of its own: a row goes to (min, max) of its block with each other one.
@@ -159,26 +199,131 @@ def links(nodes: DataFrame, words: int, max_bits: int, segment_bits: int, segmen
     return pairs.unionByName(meet.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct())
 
 
-def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, max_bits: int | None = None, words: int = 4, distinct: bool = True) -> DataFrame:
+def _sets(docs: DataFrame, nodes: DataFrame, shingle_words: int) -> DataFrame:
+    """(node, shingles): the sorted hashes of the distinct shingles of the documents that ``nodes`` names; ids that texts
+    share have a row for each text."""
+
+    def run(batches):
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t, shingle_words, True)).astype("<u8").tobytes() for t in as_bytes(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], ["node", "shingles"])
+
+    texts = id_text(docs).join(nodes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    texts = texts.withColumn("h", F.xxhash64("text")).dropDuplicates(["doc_id", "h"]).select("doc_id", "text")
+    return stage(texts.mapInArrow(run, "node long, shingles binary"), "sets")
+
+
+def _jaccard(x: bytes, y: bytes) -> float:
+    both = len(np.intersect1d(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), assume_unique=True))
+    return both / max(1, (len(x) + len(y)) // 8 - both)
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of which the shingle sets have the similarity. An ``a`` of many pairs is spread over parts of
+    BLOCK pairs, so that no task meets them all."""
+    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
+    left = parts.join(sets.withColumnRenamed("node", "a"), "a").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    left = left.select("a", "part", F.col("shingles").alias("x"))
+    right = pairs.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
+    right = right.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                some = batch.slice(at, 200)
+                keep = [_jaccard(x, y) >= similarity - 1e-9 for x, y in zip(some.column("x").to_pylist(), some.column("y").to_pylist())]
+                yield some.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return right.join(left, ["a", "part"]).select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
+
+
+def similar_links(docs: DataFrame, nodes: DataFrame, shingle_words: int, similarity: float, words: int, segment_bits: int, segments: int, max_bits: int) -> DataFrame:
+    """(a, b): verified links that connect what the proposed pairs of Jaccard ``similarity`` or more connect.
+
+    First every node is verified against one partner: its least, and the least member of its largest bucket over BUCKET.
+    What hangs together then needs no more pairs inside: only pairs between different groups are verified next, those of
+    large buckets in blocks inside tasks, where blocks of a bucket's largest group do not meet each other."""
+    pairs, members = candidates(nodes, words, max_bits, segment_bits, segments, 1)
+    pairs = stage(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "proposed")
+    one = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    if members is not None:
+        members = stage(members, "members")
+        sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("a"))
+        chosen = members.join(sizes, "key").groupBy(F.col("node").alias("b")).agg(F.max_by("a", F.struct("n", "key")).alias("a"))
+        one = one.unionByName(_close(chosen.where("a <> b").select("a", "b"), nodes, max_bits)).distinct()
+    one = stage(one, "one_partner")
+    sets = _sets(docs, pairs.unionByName(one).select(F.explode(F.array("a", "b")).alias("node")), shingle_words)
+    found = stage(_alike(one, sets, similarity), "verified")
+    group = stage(connected_components(found), "groups")
+    group_of = lambda df, c: df.join(group.toDF(c, f"{c}_group"), c, "left").withColumn(f"{c}_group", F.coalesce(f"{c}_group", c))
+    rest = stage(group_of(group_of(pairs, "a"), "b").where("a_group <> b_group").select("a", "b"), "rest")
+    found = found.unionByName(_alike(rest, sets, similarity))
+    if members is None:
+        return found
+    placed = group_of(members, "node").join(nodes, "node")
+    kinds = placed.groupBy("key", "node_group").agg(F.count(F.lit(1)).alias("n"))
+    kinds = kinds.groupBy("key").agg(F.max_by("node_group", F.struct("n", "node_group")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n")).where("n > n_main")
+    kinds = stage(kinds.select("key", "main", F.ceil(F.col("n_main") / BLOCK).cast("int").alias("mains"), F.ceil((F.col("n") - F.col("n_main")) / BLOCK).cast("int").alias("others")), "kinds")
+    of = F.when(F.col("node_group") == F.col("main"), F.pmod(F.xxhash64("node"), F.col("mains"))).otherwise(F.col("mains") + F.pmod(F.xxhash64("node"), F.col("others")))
+    meet = placed.join(kinds, "key").withColumn("block", of.cast("int"))
+    meet = meet.withColumn("other", F.explode(F.sequence(F.when(F.col("block") < F.col("mains"), F.col("mains")).otherwise(0), F.col("mains") + F.col("others") - 1)))
+    meet = meet.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "node_group", "fp")
+
+    def close(group: pa.Table) -> np.ndarray:
+        """Pairs of rows of the group that may link: close, of different groups, and across the two blocks if there are two."""
+        rows = np.asarray(group.column("fp").combine_chunks().flatten()).reshape(group.num_rows, -1).view(np.uint64)
+        block, of = np.asarray(group.column("block")), np.asarray(group.column("node_group"))
+        alone, out = block.min() == block.max(), []
+        for i in np.flatnonzero(block == block.min()):
+            near = (np.bitwise_count(rows[i] ^ rows).sum(axis=1, dtype=np.int32) <= max_bits) & (of != of[i])
+            near &= (np.arange(len(rows)) > i) if alone else block != block[i]
+            out += [(i, j) for j in np.flatnonzero(near)]
+        return np.array(out, np.int64).reshape(-1, 2)
+
+    def partnered(group: pa.Table) -> pa.Table:
+        return group.take(pa.array(np.unique(close(group))))
+
+    def verify(group: pa.Table) -> pa.Table:
+        sets, ids = group.column("shingles").to_pylist(), group.column("node").to_pylist()
+        parent = {g: g for g in group.column("node_group").to_pylist()}
+
+        def root(x):
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        of, out = group.column("node_group").to_pylist(), []
+        for i, j in close(group).tolist():
+            if (x := root(of[i])) != (y := root(of[j])) and _jaccard(sets[i], sets[j]) >= similarity - 1e-9:
+                parent[x] = y
+                out.append((ids[i], ids[j]))
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    shape = "key long, i int, j int, block int, node long, node_group long, fp array<long>"
+    open_rows = stage(meet.groupBy("key", "i", "j").applyInArrow(partnered, shape), "open")
+    if open_rows.isEmpty():
+        return found
+    more = open_rows.join(_sets(docs, open_rows.select("node"), shingle_words), "node")
+    return found.unionByName(more.groupBy("key", "i", "j").applyInArrow(verify, "a long, b long").distinct())
+
+
+def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, max_bits: int | None = None, distinct: bool = True) -> DataFrame:
     """(doc_id, fp, component_id) for every row of docs (doc_id, text).
 
-    ``max_bits`` fixes the distance that links two fingerprints; else it is the share of bits at which documents of
-    Jaccard ``similarity`` differ on average. Null or empty texts: fingerprint zero, linked like any other. Rows of equal
-    text link; a row whose doc_id is null gets the component of its fingerprint, null if only such rows have it. Repeated
-    rows stay as rows of one component. An empty table gives no rows.
+    With ``max_bits`` fingerprints of 64 bits link at that distance, all of them. Else documents link whose shingle sets
+    have a Jaccard similarity of ``similarity`` or more: pairs below it never do, of those at it RECALL or more do, and
+    the more of those above it; documents of one fingerprint, as long as ``plan`` says, count as alike. Null or empty
+    texts: fingerprint zero, linked with each other. Rows of equal text link; a row whose doc_id is null gets the
+    component of its fingerprint, null if only such rows have it. Repeated rows stay as rows of one component; texts that
+    share a doc_id are one node. An empty table gives no rows.
     """
+    words, bits, segments, limit = plan(docs.count(), similarity) if max_bits is None else (1, 32, 2, max_bits)
     fps = stage(fingerprints(docs, shingle_words, words, distinct), "fingerprints")
     classes = stage(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")), "classes")
     if max_bits is None:
-        cosine = 2 * similarity / (1 + similarity)
-        max_bits = math.floor(64 * words * math.acos(cosine) / math.pi)
-        n = classes.count()
-        bits, radius = (16, 1) if n < 1 << 20 else (24, 2) if n < 1 << 27 else (32, 3)
-        segments = min(10, 64 * words // bits)
+        found = similar_links(docs, classes, shingle_words, similarity, words, bits, segments, limit)
     else:
-        bits, segments = 32, 2 * words
-        radius = max_bits // segments
-    found = links(classes, words, max_bits, bits, segments, radius)
+        found = links(classes, words, limit, bits, segments, limit // segments)
     component = connected_components(found)
     labels = stage(classes.join(component, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id")), "labels")
     return fps.join(labels, "fp", "left").select("doc_id", "fp", "component_id")
@@ -186,5 +331,5 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: float =
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document: shingles of three words, repeats included; fingerprints link at two differing bits or fewer."""
-    out = near_duplicates(read(spark, sf_dir, "documents"), shingle_words=3, max_bits=2, words=1, distinct=False)
+    out = near_duplicates(read(spark, sf_dir, "documents"), shingle_words=3, max_bits=2, distinct=False)
     return out.select("doc_id", F.lpad(F.lower(F.hex(F.col("fp")[0])), 16, "0").alias("fingerprint"), "component_id")

@@ -73,7 +73,7 @@ def test_simhash_is_brute_force(spark, monkeypatch, bucket):
 
 
 def test_simhash_odd_rows(spark, odd):
-    rows = simhash.near_duplicates(odd, shingle_words=3, max_bits=2, words=1, distinct=False).collect()
+    rows = simhash.near_duplicates(odd, shingle_words=3, max_bits=2, distinct=False).collect()
     assert len(rows) == odd.count() and {r.component_id for r in rows if r.doc_id in (2, 3)} == {2} and {r.component_id for r in rows if r.doc_id in (0, 1)} == {0}
     assert simhash.near_duplicates(odd.limit(0)).count() == 0
 
