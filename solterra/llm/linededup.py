@@ -61,29 +61,37 @@ def boilerplate_of_texts(docs: DataFrame, min_sites: int = MIN_SITES, text_col:
     return spread.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_sites).select("h1", "h2")
 
 
-def drop_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, text_col: str = "text", site_col: str = "source", id_col: str = "doc_id", keep_copies: bool = False) -> DataFrame:
-    """docs with boilerplate lines cut from the text, all its columns, and n_lines, n_removed (long).
+def _without(text, places):
+    """The text without its lines at ``places`` (ascending, from 0): the stretches between them, each sliced once."""
+    starts, ends = F.concat(F.array(F.lit(-1)), places), lambda n: F.concat(places, F.array(n))
+    kept = lambda parts: F.flatten(F.zip_with(starts, ends(F.size(parts)), lambda a, b: F.slice(parts, a + 2, b - a - 1)))
+    return F.array_join(F.transform(F.array(F.split(text, "\n")), kept)[0], "\n")  # the array of one makes split run once
 
-    Lines are parted by line feeds and compared without blanks, tabs and carriage returns around them; blank lines stay,
-    so do lines of rows without an id. A null text stays null with no lines; a text of which all lines go is empty. Rows
-    that share an id lose the lines at the places where any of them loses one of its own only if they share the text too:
-    rows are told apart by (id, hash of the text). With ``keep_copies`` lines go by ``boilerplate_of_texts``.
+
+def drop_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, text_col: str = "text", site_col: str = "source", id_col: str = "doc_id", keep_copies: bool = False, counts: bool = True) -> DataFrame:
+    """docs with boilerplate lines cut from the text, all its columns, and with ``counts`` n_lines, n_removed (long), which
+    take the place of columns of these names.
+
+    Lines are parted by line feeds and compared without blanks, tabs and carriage returns around them; blank lines stay.
+    A null text stays null with no lines; a text of which all lines go is empty. Rows are told apart by (id, hash of the
+    text), a null id being one too: rows that share both lose the same lines. An empty table gives no rows. With
+    ``keep_copies`` lines go by ``boilerplate_of_texts``.
     """
     gone = stage((boilerplate_of_texts if keep_copies else boilerplate)(docs, min_sites, text_col, site_col), "boilerplate")
-    body, own = F.col(text_col), F.xxhash64(text_col)
-    lines = docs.select(F.col(id_col).alias("_id"), own.alias("_text"), F.posexplode(F.split(body, "\n")).alias("_at", "_line"))
-    lines = lines.select("_id", "_text", "_at", _trimmed(F.col("_line")).alias("_line")).where("_line <> ''").select("_id", "_text", "_at", _line_key(F.col("_line")).alias("_key"))
-    lines = lines.select("_id", "_text", "_at", F.col("_key.h1").alias("h1"), F.col("_key.h2").alias("h2"))
-    places = lines.join(gone, ["h1", "h2"]).groupBy("_id", "_text").agg(F.collect_set("_at").alias("_places"))
-    parts = F.split(body, "\n")
-    kept = F.filter(parts, lambda line, i: ~F.array_contains(F.col("_places"), i))
-    joined = docs.join(places, (docs[id_col] == places["_id"]) & (F.xxhash64(docs[text_col]) == places["_text"]), "left")
-    n = F.coalesce(F.size(parts), F.lit(0)).cast("long")
-    return joined.select(
-        *(docs[c] if c != text_col else F.when(F.col("_places").isNull(), docs[text_col]).otherwise(F.array_join(kept, "\n")).alias(text_col) for c in docs.columns),
-        F.when(docs[text_col].isNull(), 0).otherwise(n).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_places"), F.lit(0)).cast("long").alias("n_removed"),
-    )
+    # All columns of docs travel as one, so that none can clash.
+    rows = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("doc"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("body"))
+    lines = rows.select("id", "hash", F.posexplode(F.split("body", "\n")).alias("at", "line"))
+    lines = lines.select("id", "hash", "at", _trimmed(F.col("line")).alias("line")).where("line <> ''").select("id", "hash", "at", _line_key(F.col("line")).alias("key"))
+    lines = lines.select("id", "hash", "at", F.col("key.h1").alias("h1"), F.col("key.h2").alias("h2"))
+    places = lines.join(gone, ["h1", "h2"]).groupBy("id", "hash").agg(F.array_sort(F.collect_set("at")).alias("places"))
+    places = places.select(F.col("id").alias("of"), F.col("hash").alias("of_hash"), "places")
+    joined = rows.join(places, F.col("id").eqNullSafe(F.col("of")) & (F.col("hash") == F.col("of_hash")), "left")
+    text = F.when(F.col("places").isNull(), F.col("body")).otherwise(_without(F.col("body"), F.col("places")))
+    out = [(text if c == text_col else F.col("doc").getField(c)).alias(c) for c in docs.columns if not (counts and c in ("n_lines", "n_removed"))]
+    if counts:
+        n = F.when(F.col("body").isNull(), 0).otherwise(F.size(F.split("body", "\n")))
+        out += [n.cast("long").alias("n_lines"), F.coalesce(F.when(F.col("places").isNotNull(), F.size("places")), F.lit(0)).cast("long").alias("n_removed")]
+    return joined.select(*out)
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
