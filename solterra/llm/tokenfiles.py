@@ -3,6 +3,8 @@ encoded pages with page indexes, so that readers fetch the ids of some documents
 
 from __future__ import annotations
 
+import os
+import re
 import uuid
 import zlib
 from functools import lru_cache
@@ -38,10 +40,12 @@ class _Coder:
     """Ids of many texts at once: their distinct words go through the tokenizers library, the texts are gathered from them."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # special strings in a text are ordinary text
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.odd = "|".join([RARE_BYTES, *added])  # the library cuts added tokens out before all else: such texts go whole
         self.line = self.tokenizer.token_to_id("Ċ")
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
@@ -102,7 +106,7 @@ class _Coder:
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(lengths, ids) of texts, one after the other."""
-        odd = np.asarray(pc.match_substring_regex(texts, RARE_BYTES))
+        odd = np.asarray(pc.match_substring_regex(texts, self.odd))
         if not odd.any():
             return self.plain(texts)
         lengths = np.zeros(len(texts), np.int64)
