@@ -2,13 +2,14 @@
 
 What old shards hold beyond their new capacity flows to shards with room; a byte that stays costs nothing, a byte that
 moves costs one, so the cheapest flow moves the surplus and no more. The flow is solved over shards, whose number is
-bounded; blocks, groups of documents by the hash of their text, then fill each transfer, smallest blocks first to move, and
-only the files of shards that give or receive are rewritten. Equal texts share a block and so a shard, unless that block alone
-outgrows HOT of a shard: then its documents are spread by their ids.
+bounded. Rows of equal text stay together: large texts, a bounded number, are placed one by one, each at home where there is
+room; blocks of the others, by the hash of the text, fill the transfers of the flow, the smallest blocks first to move. Only a
+text that no shard has room for is spread, by the ids of its rows. Only the files of shards that give or receive are written anew.
 """
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,7 +17,9 @@ from pyspark.sql import functions as F
 
 from .common import read, shared_dir, stage
 
-BLOCKS, SPREAD, HOT = 4096, 256, 0.5
+#: Blocks of an old shard (64 for each new shard at least), parts of a text that is spread, and the share of the least shard from
+#: which a text is placed by itself.
+BLOCKS, SPREAD, LARGE = 4096, 256, 1 / 16
 
 
 def transfers(sizes: list[int], capacities: list[int]) -> dict[tuple[int, int], int]:
@@ -43,38 +46,67 @@ def _shares(total: int, weights: list[float]) -> list[int]:
     return [b - a for a, b in zip(edges, edges[1:])]
 
 
+def _placed(texts: list[tuple[int, int, int]], sizes: list[int], room: list[int]) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]]]:
+    """([(old, text, shard)], [(old, text)]) of the large texts (old, text, bytes): at home if there is room, else where
+    there is most, and those that fit nowhere. What they take goes off sizes and room."""
+    fixed, spread = [], []
+    for old, text, n in sorted(texts, key=lambda t: (-t[2], t[0], t[1])):
+        to = old if old < len(room) and room[old] >= n else max(range(len(room)), key=room.__getitem__)
+        if room[to] < n:
+            spread.append((old, text))
+            continue
+        fixed.append((old, text, to))
+        sizes[old] -= n
+        room[to] -= n
+    return fixed, spread
+
+
 def plan(docs: DataFrame, shards: int, old_shard: str = "old_shard", size: str = "size", block_key: str = "text_crc32", weights: list[float] | None = None) -> DataFrame:
-    """docs with a column ``shard``: rows (doc_id, old shard, size, block key, more) placed by the cheapest flow.
+    """docs with a column ``shard``: rows (doc_id, old shard, size, block key, more) placed by the cheapest flow; a column of
+    that name is replaced.
 
-    ``weights`` are the relative capacities of the new shards, equal by default. Sizes are at least 0; old shards are numbered from
-    0; shards beyond the new number are emptied. An empty table stays empty.
+    ``weights`` are the relative capacities of the new shards, equal by default. Null and negative sizes count as 0; old
+    shards are numbered from 0, rows without one are new and go where there is room; shards beyond the new number are
+    emptied. Rows of one block key and old shard share a shard unless none has room for them. Other columns can have
+    any names. An empty table stays empty.
     """
-    rows = docs.withColumn("_part", F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD)).cast("int")).withColumn("_key", F.pmod(F.xxhash64(block_key), F.lit(BLOCKS)).cast("int"))
-    fine = stage(rows.groupBy(old_shard, "_key", "_part").agg(F.sum(size).alias("bytes")), "fine")  # BLOCKS * SPREAD rows a shard at most
-    held = {r[0]: r[1] for r in fine.groupBy(old_shard).agg(F.sum("bytes")).collect()}  # a row a shard
+    spark, count = docs.sparkSession, max(BLOCKS, 64 * shards)
+    parts = F.pmod(F.xxhash64(F.col("doc_id") if "doc_id" in docs.columns else F.lit(0)), F.lit(SPREAD)).cast("int")
+    rows = docs.select(
+        F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("doc"), F.coalesce(F.col(old_shard).cast("int"), F.lit(-1)).alias("old"), F.greatest(F.coalesce(F.col(size), F.lit(0)), F.lit(0)).cast("long").alias("bytes"),
+        F.pmod(F.xxhash64(block_key), F.lit(count)).cast("int").alias("block"), F.xxhash64(block_key).alias("text"), parts.alias("part"),
+    )
+    out = lambda df: df.select(*(F.col("doc").getField(c).alias(c) for c in docs.columns if c != "shard"), F.col("to").cast("int").alias("shard"))
+    texts = stage(rows.groupBy("old", "block", "text").agg(F.sum("bytes").alias("bytes")), "texts")
+    held = {r["old"]: r["bytes"] for r in texts.groupBy("old").agg(F.sum("bytes").alias("bytes")).collect()}  # a row a shard
     if not held:
-        return docs.withColumn("shard", F.lit(None).cast("int"))
-    sizes = [held.get(i, 0) for i in range(max(max(held) + 1, shards))]
-    capacities = _shares(sum(sizes), weights or [1.0] * shards)
-    flow = transfers(sizes, capacities)
+        return out(rows.withColumn("to", F.lit(None)))
+    new = max(max(held) + 1, shards)  # the number by which rows without an old shard go
+    sizes = [held.get(i, 0) for i in range(new)] + [held.get(-1, 0)]
+    room = _shares(sum(sizes), weights or [1.0] * shards)
+    texts, rows = (df.withColumn("old", F.when(F.col("old") < 0, new).otherwise(F.col("old"))) for df in (texts, rows))
+    least = max(1.0, LARGE * min(c for c in room if c)) if any(room) else math.inf
+    # At most sum(sizes) / least rows, 16 for each shard of equal capacities.
+    fixed, spread = _placed([(r["old"], r["text"], r["bytes"]) for r in texts.where(F.col("bytes") >= least).select("old", "text", "bytes").collect()], sizes, room)
+    flow = transfers(sizes, room)
+    alone = spark.createDataFrame([(o, t, to) for o, t, to in fixed] + [(o, t, None) for o, t in spread], "old int, text long, at int")
+    blocks = texts.join(F.broadcast(alone.select("old", "text")), ["old", "text"], "left_anti").groupBy("old", "block").agg(F.sum("bytes").alias("bytes"))
+    pieces = rows.join(F.broadcast(alone.where("at is null").select("old", "text")), ["old", "text"]).groupBy("old", "text", "part").agg(F.sum("bytes").alias("bytes"))
+    units = blocks.unionByName(pieces, allowMissingColumns=True)
+    # Large units first: they stay, and the small ones at the end move.
+    upto = F.sum("bytes").over(Window.partitionBy("old").orderBy(F.desc("bytes"), "block", "text", "part").rowsBetween(Window.unboundedPreceding, 0))
+    units = units.withColumn("middle", upto - F.col("bytes") / 2)
     cut = [(i, j, float(sum(v for (a, b), v in flow.items() if a == i and _order(a, b) < _order(i, j))), float(v)) for (i, j), v in flow.items()]
-    hot = F.col("_bytes") > HOT * min(c for c in capacities if c) if any(capacities) else F.lit(False)
-    whole = fine.withColumn("_bytes", F.sum("bytes").over(Window.partitionBy(old_shard, "_key")))
-    blocks = whole.withColumn("_sub", F.when(hot, F.col("_part")).otherwise(-1)).groupBy(old_shard, "_key", "_sub").agg(F.sum("bytes").alias("bytes"))
-    # Large blocks first: they stay, and the small ones at the end move.
-    upto = F.sum("bytes").over(Window.partitionBy(old_shard).orderBy(F.desc("bytes"), "_key", "_sub").rowsBetween(Window.unboundedPreceding, 0))
-    blocks = blocks.withColumn("_middle", upto - F.col("bytes") / 2)
-    arcs = docs.sparkSession.createDataFrame(cut, "_from int, shard int, _begin double, _length double")  # a row a transfer
-    place = blocks.join(F.broadcast(arcs), (F.col(old_shard) == F.col("_from")) & (F.col("_middle") >= F.col("_begin")) & (F.col("_middle") < F.col("_begin") + F.col("_length")), "left")
-    place = place.select(F.col(old_shard).alias("_old"), F.col("_key").alias("_k"), "_sub", F.coalesce("shard", F.col(old_shard)).cast("int").alias("shard"))
-    place = stage(place, "place")
-    cold = place.where("_sub < 0").select("_old", "_k", F.col("shard").alias("_whole"))
-    spread = place.where("_sub >= 0").select(F.col("_old").alias("_old2"), F.col("_k").alias("_k2"), "_sub", F.col("shard").alias("_piece"))
-    # BLOCKS rows a shard at most go to the tasks, so that rows of whole blocks, with all they carry, stay where they are.
-    out = rows.join(F.broadcast(cold), (rows[old_shard] == cold["_old"]) & (rows["_key"] == cold["_k"]), "left")
-    whole = out.where("_whole is not null").select(*docs.columns, F.col("_whole").alias("shard"))
-    out = out.where("_whole is null").join(spread, (F.col(old_shard) == F.col("_old2")) & (F.col("_key") == F.col("_k2")) & (F.col("_part") == F.col("_sub")), "left")
-    return whole.unionByName(out.select(*docs.columns, F.col("_piece").alias("shard")))
+    arcs = spark.createDataFrame(cut, "source int, to int, begin double, length double")  # a row a transfer
+    inside = (F.col("old") == F.col("source")) & (F.col("middle") >= F.col("begin")) & (F.col("middle") < F.col("begin") + F.col("length"))
+    stay = F.when(F.col("old") < shards, F.col("old")).otherwise(F.pmod("old", F.lit(shards)))  # of units without bytes
+    place = stage(units.join(F.broadcast(arcs), inside, "left").select("old", "block", "text", "part", F.coalesce("to", stay).alias("to")), "place")
+    # Large texts are few and known; the places of blocks are as many as blocks, and are sent to the tasks or not by their size.
+    rows = rows.join(F.broadcast(alone.withColumn("alone", F.lit(True))), ["old", "text"], "left")
+    whole = rows.where("alone is null").join(place.where("text is null").select("old", "block", "to"), ["old", "block"])
+    at_once = rows.where("at is not null").withColumn("to", F.col("at"))
+    torn = rows.where("alone and at is null").join(place.where("text is not null").select("old", "text", "part", "to"), ["old", "text", "part"])
+    return out(whole).unionByName(out(at_once)).unionByName(out(torn))
 
 
 def _order(i: int, j: int) -> tuple[int, int]:
