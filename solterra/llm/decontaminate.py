@@ -1,14 +1,16 @@
 """Benchmark decontamination with a generalised suffix automaton over word ids.
 
-The words of the test items form one automaton for each block of items (a block holds at most ``BLOCK_WORDS`` words, so
-what a task loads has a fixed bound; a larger benchmark takes several blocks, each met by all documents). Documents
-stream through it: after each word it knows the longest run of words ending there that some item holds.
+The words of the test items form one automaton for each block of items. Items longer than a piece are cut into pieces that
+overlap by a window less a word, so that a block holds about ``BLOCK_WORDS`` words whatever the benchmark's size. Blocks are
+built in tasks and met one after the other: driver and workers hold one of them at a time. Documents stream through it:
+after each word it knows the longest run of words ending there that some item holds.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+import pickle
 from itertools import repeat
 
 import numpy as np
@@ -16,9 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, id_text, read
+from .common import as_bytes, id_text, read, stage
 
-BLOCK_WORDS = 500_000
+#: Words of a block, about, and of a piece of an item at most.
+BLOCK_WORDS, PIECE_WORDS = 100_000, 20_000
 
 #: Bytes of words, A-Z lowered: digits, letters and every byte of a non-ASCII character; all else becomes a space.
 _WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -55,6 +58,14 @@ class Automaton:
                 state = self.next[state][c]
             self.short.setdefault(state, set()).add(item)
         self.shortest = min([window, *(len(ids) for ids, _ in shorts)])
+        # Of each state: the ancestor that is the class of its last ``window`` words, and its nearest ancestor (itself too) that is
+        # a short item; -1 for none. So no word climbs the links by itself.
+        n = len(self.len)
+        self.top, self.near = [-1] * n, [-1] * n
+        for state in sorted(range(1, n), key=self.len.__getitem__):
+            if self.len[state] >= window:
+                self.top[state] = state if self.len[self.link[state]] < window else self.top[self.link[state]]
+            self.near[state] = state if state in self.short else self.near[self.link[state]]
 
     def _extend(self, last: int, c: int, ends: list[set]) -> int:
         nxt, link, length = self.next, self.link, self.len
@@ -95,7 +106,7 @@ class Automaton:
         ``short`` only those of whole windows."""
         ids = np.fromiter(map(self.vocabulary.get, words, repeat(0)), np.int64, len(words))
         edge = np.flatnonzero(np.diff(np.concatenate(([0], (ids != 0).view(np.int8), [0]))))
-        stretches, items = [], set()
+        stretches, seen, ends = [], set(), set()
         for begin, end in zip(edge[::2].tolist(), edge[1::2].tolist()):
             if end - begin < self.shortest:
                 continue
@@ -107,34 +118,102 @@ class Automaton:
                 if c in self.next[state]:
                     state = self.next[state][c]
                     length += 1
-                hit, s = 0, state
+                hit = 0
                 if length >= self.window:
-                    while self.len[self.link[s]] >= self.window:
-                        s = self.link[s]
                     hit = self.window
-                    items |= self.items[s]
-                if short and self.short:
-                    while s:
-                        if s in self.short and self.len[s] <= length:
-                            hit = max(hit, self.len[s])
-                            items |= self.short[s]
-                        s = self.link[s]
+                    seen.add(self.top[state])
+                if short and (s := self.near[state]) > 0:
+                    if self.len[s] > length:
+                        s = self.near[self.link[s]]
+                    if s > 0:
+                        hit = max(hit, self.len[s])  # the longest; shorter ones inside it follow below
+                        ends.add(s)
                 if hit:
                     if stretches and i - hit <= stretches[-1][1]:
                         while stretches and i - hit <= stretches[-1][1]:
                             hit = max(hit, i - stretches.pop()[0])
                     stretches.append((i - hit, i))
+        items = set().union(*(self.items[s] for s in seen))
+        for s in ends:  # a short item and all short items at its end: fewer than ``window``, their lengths differ
+            while s > 0:
+                items |= self.short[s]
+                s = self.near[self.link[s]]
         return stretches, items
 
 
-def _blocks(items: DataFrame, window: int):
-    """Automata for blocks of items of at most about BLOCK_WORDS words each; one item alone may be longer."""
+def automata(items: DataFrame, window: int) -> tuple[DataFrame, int]:
+    """((block, model binary), number of blocks): pickled automata of the items (item_id, text)."""
     sized = items.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-    total = sized.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
-    n = max(1, math.ceil(total / 2 / BLOCK_WORDS))  # a word takes two characters at least, with what parts it from the next
-    for k in range(n):
-        rows = sized.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()
-        yield Automaton([(r.item_id, words_of(r.text.encode())) for r in sorted(rows, key=lambda r: (r.item_id or "", r.text))], window)
+
+    piece = max(PIECE_WORDS, window)
+
+    def cut_up(batches):
+        step = piece - window + 1
+        for batch in batches:
+            rows = []
+            for item, text in zip(batch.column("item_id").to_pylist(), as_bytes(batch.column("text"))):
+                words = words_of(text)
+                rows += [(item, b" ".join(words[at : at + piece]), len(words[at : at + piece])) for at in range(0, max(len(words) - window + 1, 1), step) if words]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.int64())], ["item_id", "words", "n"])
+
+    pieces = stage(sized.mapInArrow(cut_up, "item_id string, words binary, n long").distinct(), "pieces")
+    n = math.ceil(pieces.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"] / BLOCK_WORDS)
+
+    def build(group: pa.Table) -> pa.Table:
+        rows = sorted(zip(group.column("item_id").to_pylist(), group.column("words").to_pylist()), key=lambda r: (r[0] or "", r[1]))
+        model = pickle.dumps(Automaton([(item, words.split(b" ")) for item, words in rows], window), pickle.HIGHEST_PROTOCOL)
+        return pa.table({"block": group.column("block")[:1], "model": pa.array([model], pa.binary())})
+
+    blocks = pieces.withColumn("block", F.pmod(F.xxhash64("item_id", "words"), F.lit(max(n, 1))).cast("int"))
+    return stage(blocks.groupBy("block").applyInArrow(build, "block int, model binary"), "automata"), n
+
+
+_loaded: dict[str, Automaton] = {}  # the one automaton that a worker holds
+
+
+def _automaton(key: str, blob: bytes) -> Automaton:
+    if key not in _loaded:
+        _loaded.clear()
+        _loaded[key] = pickle.loads(blob)
+    return _loaded[key]
+
+
+_SPAN = pa.struct([("from", pa.int32()), ("to", pa.int32())])
+_SPANS = "array<struct<from:int,to:int>>"
+
+
+def _matched(rows: DataFrame, items: DataFrame, window: int, finish, schema: str) -> DataFrame:
+    """What ``finish(batch, words of each row, hits, hits of whole windows, item ids)`` makes of rows (text, more) after
+    they met every block of items; between blocks they rest in a staged table with what they hit so far."""
+    context, names = rows.sparkSession.sparkContext, rows.columns
+    models, n = automata(items, window)
+    empty = [F.lit(None).cast(t).alias(c) for c, t in (("hits", _SPANS), ("wholes", _SPANS), ("found", "array<string>"))]
+    state = rows.select(*names, *empty)
+    for k in range(max(n, 1)):
+        one = models.where(F.col("block") == k).select("model").first()  # of bounded size, one at a time
+        blob = context.broadcast(one["model"] if one else pickle.dumps(Automaton([], window)))
+        name, final = f"{context.applicationId}-{models.staged_path}-{k}", k >= n - 1
+
+        def run(batches, blob=blob, name=name, final=final):
+            model = _automaton(name, blob.value)
+            for batch in batches:
+                texts = [words_of(t or b"") for t in as_bytes(batch.column("text"))]
+                before = [[[(s["from"], s["to"]) for s in x or []] for x in batch.column(c).to_pylist()] for c in ("hits", "wholes")]
+                hits, wholes, found = [], [], []
+                for words, hit, whole, ids in zip(texts, *before, batch.column("found").to_pylist()):
+                    more, of = model.matches(words)
+                    hits.append(_joined(hit + more))
+                    wholes.append(_joined(whole + (model.matches(words, short=False)[0] if more and model.short else more)))
+                    found.append(set(ids or []) | of)
+                if final:
+                    yield finish(batch, texts, hits, wholes, found)
+                else:
+                    spans = [pa.array([[{"from": a, "to": b} for a, b in x] for x in column], pa.list_(_SPAN)) for column in (hits, wholes)]
+                    kept = [batch.column(c) for c in names]
+                    yield pa.RecordBatch.from_arrays([*kept, *spans, pa.array([list(x) for x in found], pa.list_(pa.string()))], [*names, "hits", "wholes", "found"])
+
+        state = state.mapInArrow(run, schema) if final else stage(state.mapInArrow(run, state.schema), "met")
+    return state
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
@@ -144,29 +223,13 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFr
     item that has fewer. Null and empty texts have no words and no spans; items without words match nothing; items that
     repeat count once by id; a null item_id counts as no item, its windows still hit. An empty benchmark hits nothing.
     """
-    context = docs.sparkSession.sparkContext
-    models = [context.broadcast(a) for a in _blocks(items, window)]
-    schema = "doc_id long, n_words long, spans array<struct<from:int,to:int>>, item_ids array<string>"
-    span = pa.struct([("from", pa.int32()), ("to", pa.int32())])
 
-    def run(batches):
-        for batch in batches:
-            n_words, spans, found = [], [], []
-            for text in as_bytes(batch.column("text")):
-                words = words_of(text)
-                hits, ids = models[0].value.matches(words)
-                for more in models[1:]:
-                    also, of = more.value.matches(words)
-                    hits, ids = _joined(hits + also), ids | of
-                n_words.append(len(words))
-                spans.append([{"from": a, "to": b} for a, b in hits])
-                found.append(sorted(x for x in ids if x is not None))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(span)), pa.array(found, pa.list_(pa.string()))],
-                ["doc_id", "n_words", "spans", "item_ids"],
-            )
+    def finish(batch, texts, hits, wholes, found):
+        spans = [[{"from": a, "to": b} for a, b in x] for x in hits]
+        ids = [sorted(i for i in x if i is not None) for x in found]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(list(map(len, texts)), pa.int64()), pa.array(spans, pa.list_(_SPAN)), pa.array(ids, pa.list_(pa.string()))], ["doc_id", "n_words", "spans", "item_ids"])
 
-    return id_text(docs).mapInArrow(run, schema)
+    return _matched(id_text(docs), items, window, finish, f"doc_id long, n_words long, spans {_SPANS}, item_ids array<string>")
 
 
 def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -196,24 +259,20 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, max_cover
     """docs without contaminated spans: all its columns and rows, the hit words cut from ``text``. Rows of which more
     than ``max_coverage`` of the words are hit go whole. Rows without hits pass unchanged, null texts too. Without
     ``cut_short`` hits of items shorter than the window stay in the text, but count for the coverage."""
-    context = docs.sparkSession.sparkContext
-    models = [context.broadcast(a) for a in _blocks(items, window)]
-    at = docs.columns.index("text")
-
-    def run(batches):
-        for batch in batches:
-            keep, texts = [], []
-            for text in as_bytes(batch.column(at)):
-                words = words_of(text or b"")
-                hits = _joined([h for m in models for h in m.value.matches(words)[0]])
-                keep.append(sum(b - a for a, b in hits) <= max_coverage * len(words))
-                if hits and not cut_short and any(m.value.short for m in models):
-                    hits = _joined([h for m in models for h in m.value.matches(words, short=False)[0]])
-                texts.append(cut(text, hits) if hits else text)
-            out = pa.array(texts, pa.binary()).cast(batch.column(at).type)
-            yield batch.set_column(at, batch.schema.field(at), out).filter(pa.array(keep, pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    names = docs.columns
+    others = [c for c in names if c != "text"]
+
+    def finish(batch, texts, hits, wholes, found):
+        keep, out = [], []
+        for text, words, all_hits, long_hits in zip(as_bytes(batch.column("text")), texts, hits, wholes):
+            keep.append(sum(b - a for a, b in all_hits) <= max_coverage * len(words))
+            gone = all_hits if cut_short else long_hits
+            out.append(cut(text, gone) if gone else text)
+        columns = dict(zip(others, batch.column("doc").flatten())) | {"text": pa.array(out, pa.binary()).cast(batch.column("text").type)}
+        return pa.RecordBatch.from_arrays([columns[c] for c in names], names).filter(pa.array(keep, pa.bool_()))
+
+    rows = docs.select(F.struct(*(docs[f"`{c}`"] for c in others), F.lit(0).alias("more")).alias("doc"), F.col("text"))
+    return _matched(rows, items, window, finish, docs.schema)
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
