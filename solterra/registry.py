@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import light, mobility
+from .plans import light, mobility, rows
 
-QUERIES = mobility.QUERIES | light.QUERIES
-SQL = mobility.SQL | light.SQL
+_PLANS = [mobility, light, rows]
+QUERIES = {name: query for plan in _PLANS for name, query in plan.QUERIES.items()}
+SQL = {name: sql for plan in _PLANS for name, sql in plan.SQL.items()}
 FLAGSHIP = "agg_irbm_day"
