@@ -20,3 +20,23 @@ def altitude(t: str = "timestamp", lon: str = "lon", lat: str = "lat") -> str:
 def azimuth(t: str = "timestamp", lon: str = "lon", lat: str = "lat") -> str:
     """Radians from south, westward positive."""
     return _AZIMUTH.format(t=t, lon=lon, lat=lat)
+
+
+_NOON = "({day} + 43200)"
+_OFF = "atan2(sin(" + _HOUR.format(t=_NOON, lon="{lon}") + "), cos(" + _HOUR.format(t=_NOON, lon="{lon}") + "))"
+_COS_H = "((sin(radians(-0.833E0)) - sin(radians({lat})) * sin(" + _DECL.format(t=_NOON) + ")) / (cos(radians({lat})) * cos(" + _DECL.format(t=_NOON) + ")))"
+
+
+def _event(sign: str, day: str, lon: str, lat: str) -> str:
+    half = f"acos(greatest(-1.0E0, least(1.0E0, {_COS_H})))"
+    moment = f"({_NOON} - {_OFF} / (2 * pi()) * 86400 {sign} {half} / (2 * pi()) * 86400)"
+    return f"CASE WHEN abs({_COS_H}) <= 1 THEN {moment} END".format(day=day, lon=lon, lat=lat)
+
+
+def sunrise(day: str = "day", lon: str = "lon", lat: str = "lat") -> str:
+    """Epoch second at which the sun's upper edge rises about the noon of the UTC day that begins at ``day``; null where it does not."""
+    return _event("-", day, lon, lat)
+
+
+def sunset(day: str = "day", lon: str = "lon", lat: str = "lat") -> str:
+    return _event("+", day, lon, lat)

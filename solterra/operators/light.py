@@ -116,14 +116,16 @@ def shadowed(points: DataFrame, buildings: DataFrame, max_height: float, min_alt
     return sun.join(hits.withColumn("_hit", F.lit(True)), "row_index", "left").select("row_index", "lit", F.coalesce("_hit", F.lit(False)).alias("in_shadow"))
 
 
-def nearest_in_time(points: DataFrame, readings: DataFrame, by: str, value: str, tolerance: int = 86400) -> DataFrame:
-    """points with ``value`` of the reading of the same ``by`` nearest in time (timestamp), ``tolerance`` seconds away at
+def nearest_in_time(points: DataFrame, readings: DataFrame, by: str, value: str | list[str], tolerance: int = 86400) -> DataFrame:
+    """points with ``value``, one column or several, of the reading of the same ``by`` nearest in time (timestamp), ``tolerance`` seconds away at
     most, else null; of two as near, the earlier. Readings go to their own stretch of ``tolerance`` seconds and the two
     beside it, so that a window holds one stretch of one key, however long the history; both of its frames run over rows
     before the current one, so that each is one pass. Points without time or key get null; no readings give null."""
     stretch = F.floor(F.col("timestamp") / tolerance)
-    p = points.withColumn("_s", stretch).withColumn("_reading", F.lit(None).cast("struct<at:bigint,v:double>"))
-    reading = F.struct(F.col("timestamp").cast("long").alias("at"), F.col(value).cast("double").alias("v")).alias("_reading")
+    names = [value] if isinstance(value, str) else value
+    shape = "struct<at:bigint," + ",".join(f"v{k}:double" for k in range(len(names))) + ">"
+    p = points.withColumn("_s", stretch).withColumn("_reading", F.lit(None).cast(shape))
+    reading = F.struct(F.col("timestamp").cast("long").alias("at"), *(F.col(c).cast("double").alias(f"v{k}") for k, c in enumerate(names))).alias("_reading")
     r = readings.where(F.col("timestamp").isNotNull() & F.col(by).isNotNull()).select(by, "timestamp", F.explode(F.array(stretch - 1, stretch, stretch + 1)).alias("_s"), reading)
     so_far = lambda order: Window.partitionBy(by, "_s").orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     before, after = (F.last("_reading", True).over(so_far(order)) for order in (F.asc("timestamp"), F.desc("timestamp")))
@@ -131,7 +133,8 @@ def nearest_in_time(points: DataFrame, readings: DataFrame, by: str, value: str,
     back, ahead = F.col("timestamp") - F.col("_b.at"), F.col("_a.at") - F.col("timestamp")
     best = F.when(ahead.isNull() | (back <= ahead), F.col("_b")).otherwise(F.col("_a"))
     out = both.withColumn("_best", best)
-    return out.withColumn(value, F.when(F.abs(F.col("timestamp") - F.col("_best.at")) <= tolerance, F.col("_best.v"))).drop("_s", "_reading", "_b", "_a", "_best")
+    near = F.abs(F.col("timestamp") - F.col("_best.at")) <= tolerance
+    return out.withColumns({c: F.when(near, F.col(f"_best.v{k}")) for k, c in enumerate(names)}).drop("_s", "_reading", "_b", "_a", "_best")
 
 
 def irradiance(readings: DataFrame, by: str) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_m, mercator_cell
+from ..functions.text import utc
 
 
 def expand_stays(stays: DataFrame, step: int = 60) -> DataFrame:
@@ -15,34 +18,68 @@ def expand_stays(stays: DataFrame, step: int = 60) -> DataFrame:
     return stays.where("start_time is not null").withColumn("timestamp", F.explode(F.sequence(F.col("start_time"), F.col("start_time") + (n - 1) * step, F.lit(step).cast("long"))))
 
 
-def with_task(points: DataFrame, cell_m: float = 250.0) -> DataFrame:
-    """points with the minute and the cell that route them: minute_ts, cell_key, task_id."""
-    x, y = mercator_cell(F.col("lon"), F.col("lat"), cell_m)
-    minute = F.floor(F.col("timestamp") / 60) * 60
-    key = F.concat_ws(":", F.lit("square"), F.lit(int(cell_m)), x.cast("string"), y.cast("string"))
-    keyed = points.withColumn("minute_ts", minute).withColumn("cell_key", key)
+#: What identifies a task while it is counted; its text keys are made after that.
+KEYS = ["minute_ts", "cell_x", "cell_y"]
+CELL_M = 250
+
+
+def with_cell(rows: DataFrame, cell_m: int = CELL_M) -> DataFrame:
+    """rows with the square cell of lon, lat: cell_x, cell_y (null where the position is)."""
+    x, y = mercator_cell(F.col("lon"), F.col("lat"), float(cell_m))
+    return rows.withColumn("cell_x", x).withColumn("cell_y", y)
+
+
+def cell_key(cell_m: int = CELL_M) -> Column:
+    return F.concat_ws(":", F.lit("square"), F.lit(cell_m), F.col("cell_x").cast("string"), F.col("cell_y").cast("string"))
+
+
+def task_points(stays: DataFrame, step: int = 60) -> DataFrame:
+    """A row for each instant of each stay (see ``expand_stays``) with minute_ts and the stay's cell: the cell is worked out
+    once a stay. Stays without a position have a null cell."""
+    return expand_stays(with_cell(stays), step).withColumn("minute_ts", F.floor(F.col("timestamp") / 60) * 60)
+
+
+def with_task(points: DataFrame) -> DataFrame:
+    """points (timestamp, lon, lat) with minute_ts, cell_key and task_id as text."""
+    return named(with_cell(points).withColumn("minute_ts", F.floor(F.col("timestamp") / 60) * 60))
+
+
+def named(rows: DataFrame) -> DataFrame:
+    """rows with KEYS as cell_key and task_id in place of the cell's numbers."""
+    keyed = rows.withColumn("cell_key", cell_key()).drop("cell_x", "cell_y")
     return keyed.withColumn("task_id", F.concat_ws("|", F.col("minute_ts").cast("string"), "cell_key"))
 
 
-def task_stats(points: DataFrame) -> DataFrame:
-    return points.groupBy("task_id", "minute_ts", "cell_key").agg(
+def cells(points: DataFrame) -> DataFrame:
+    """Per minute and cell (KEYS): points, different files and bounds. A null file counts for no file."""
+    return points.groupBy(*KEYS).agg(
         F.count(F.lit(1)).alias("point_count"), F.countDistinct("file_relpath").alias("file_count"),
         F.min("lon").alias("west"), F.min("lat").alias("south"), F.max("lon").alias("east"), F.max("lat").alias("north"),
     )
 
 
+def task_stats(points: DataFrame) -> DataFrame:
+    """Tasks: ``cells`` of points (see ``task_points``) with their text keys. No points give no tasks."""
+    return named(cells(points))
+
+
 def memberships(points: DataFrame) -> DataFrame:
-    return points.groupBy("task_id", "file_relpath").agg(F.count(F.lit(1)).alias("point_count"))
+    """(task_id, file_relpath, point_count) of points; a null file is a file of its own."""
+    return named(points.groupBy(*KEYS, "file_relpath").agg(F.count(F.lit(1)).alias("point_count"))).select("task_id", "file_relpath", "point_count")
 
 
 def hourly(tasks: DataFrame) -> DataFrame:
-    at = F.timestamp_seconds("minute_ts")
+    """Per UTC date and hour: tasks, points, files, means, the most files of a task, and tasks at night (is_night; null: day)."""
+    at = utc(F.col("minute_ts"))
+    night = F.coalesce(F.col("is_night"), F.lit(0)) == 1 if "is_night" in tasks.columns else F.lit(False)
     return tasks.groupBy(F.date_format(at, "yyyy-MM-dd").alias("minute_date"), F.hour(at).cast("long").alias("minute_hour")).agg(
-        F.count(F.lit(1)).alias("task_count"), F.sum("point_count").alias("point_count"), F.max("file_count").alias("max_files")
+        F.count(F.lit(1)).alias("task_count"), F.sum("point_count").alias("point_count"), F.sum("file_count").alias("file_count"), F.round(F.avg("point_count"), 9).alias("avg_points_per_task"),
+        F.round(F.avg("file_count"), 9).alias("avg_files_per_task"), F.max("file_count").alias("max_files"), F.count_if(night).alias("night_task_count"),
     )
 
 
 def top_tasks(tasks: DataFrame, n: int) -> DataFrame:
+    """The ``n`` tasks of most points; ties by task_id."""
     return tasks.orderBy(F.desc("point_count"), "task_id").limit(n)
 
 
@@ -69,20 +106,29 @@ def gap_segments(points: DataFrame, by: str, order: list[str], max_gap: int = 60
     return points.withColumn("_break", breaks).withColumn("segment", F.sum("_break").over(w).cast("long")).drop("_break")
 
 
-def lit_spans(points: DataFrame, lit: Column, step: int = 60) -> DataFrame:
-    """Closed spans of consecutive lit instants of each source row: ad_id, row_index, cell_key, start_ts, end_ts, n."""
-    order = Window.partitionBy("row_index").orderBy("timestamp")
-    kept = points.where(lit).withColumn("_run", F.col("timestamp") - F.row_number().over(order) * step)
-    return kept.groupBy("ad_id", "row_index", "cell_key", "_run").agg(F.min("timestamp").alias("start_ts"), F.max("timestamp").alias("end_ts"), F.count(F.lit(1)).alias("n")).drop("_run")
+def lit_spans(stays: DataFrame, lit: Callable[[str], Column], step: int = 60) -> DataFrame:
+    """Closed spans of consecutive lit instants of each stay (row_index once): ad_id, row_index, cell_x, cell_y, start_ts, end_ts,
+    n. ``lit`` tells from an SQL expression of an instant whether it is lit there (lon, lat are at hand). Only the ends of spans
+    are shuffled: an instant begins one if it is lit and the one before isn't, or isn't of the stay. Stays with no lit instant
+    give none."""
+    one = expand_stays(with_cell(stays), step)
+    last = F.col("start_time") + F.greatest(F.lit(0), F.ceil(F.greatest(F.coalesce("end_time", "start_time") - F.col("start_time"), F.lit(0)) / step) - 1) * step
+    before = (F.col("timestamp") == F.col("start_time")) | ~lit(f"(timestamp - {step})")
+    after = (F.col("timestamp") == last) | ~lit(f"(timestamp + {step})")
+    ends = one.where(lit("timestamp")).where(before | after)
+    ends = ends.select("ad_id", "row_index", "cell_x", "cell_y", F.when(before, F.col("timestamp")).alias("a"), F.when(after, F.col("timestamp")).alias("b"))
+    sides = ends.groupBy("row_index").agg(*(F.first(c).alias(c) for c in ("ad_id", "cell_x", "cell_y")), F.array_sort(F.collect_list("a")).alias("a"), F.array_sort(F.collect_list("b")).alias("b"))
+    span = sides.select("ad_id", "row_index", "cell_x", "cell_y", F.explode(F.arrays_zip("a", "b")).alias("s"))
+    return span.select("ad_id", "row_index", "cell_x", "cell_y", F.col("s.a").alias("start_ts"), F.col("s.b").alias("end_ts"), ((F.col("s.b") - F.col("s.a")) / step + 1).cast("long").alias("n"))
 
 
 def span_tasks(spans: DataFrame, tasks: DataFrame) -> DataFrame:
-    """Spans with the tasks of their cell whose minute lies in them: an equi-join on the cell and the hours that a span
-    touches, then the exact bounds, so that a busy cell is spread over its hours."""
+    """Spans with the tasks (KEYS, more) of their cell whose minute lies in them: an equi-join on the cell and the hours that a
+    span touches, then the exact bounds, so that a busy cell is spread over its hours. Null cells meet nothing."""
     hours = F.explode(F.sequence(F.floor(F.col("start_ts") / 3600), F.floor(F.col("end_ts") / 3600)))
     s = spans.withColumn("_hour", hours)
-    t = tasks.select("task_id", "cell_key", "minute_ts", F.floor(F.col("minute_ts") / 3600).alias("_hour"))
-    return s.join(t, ["cell_key", "_hour"]).where("minute_ts between start_ts and end_ts").select("row_index", "start_ts", "end_ts", "task_id", "minute_ts")
+    t = tasks.withColumn("_hour", F.floor(F.col("minute_ts") / 3600))
+    return s.join(t, ["cell_x", "cell_y", "_hour"]).where("minute_ts between start_ts and end_ts").drop("_hour")
 
 
 def partition_grid(spark, west: float, south: float, east: float, north: float, cells: int) -> DataFrame:
@@ -109,28 +155,9 @@ def box_join(boxes: DataFrame, catalog: DataFrame, cell_deg: float = 0.01) -> Da
     return left.join(right, ["_x", "_y"]).where(touch & first).drop("_x", "_y")
 
 
-def home_cells(points: DataFrame, night_from: int = 22, night_to: int = 6) -> DataFrame:
-    """The cell where each device spends most night seconds: ties go to the first cell key."""
-    hour = F.pmod(F.floor(F.col("timestamp") / 3600), F.lit(24))
-    night = points.where((hour >= night_from) | (hour < night_to))
-    dwell = night.groupBy("ad_id", "cell_key").agg(F.sum("duration_s").alias("seconds"))
-    best = Window.partitionBy("ad_id").orderBy(F.desc("seconds"), "cell_key")
-    return dwell.withColumn("_rank", F.row_number().over(best)).where("_rank = 1").select("ad_id", "cell_key", "seconds")
-
-
-def daily_exposure(points: DataFrame) -> DataFrame:
-    """Per device and day: rows, minutes of light as seen and after cloud, and by part of the day."""
-    at = F.timestamp_seconds("timestamp")
-    hour = F.hour(at)
-    minutes = F.col("duration_s") / 60 * F.col("sunlit")
-    part = lambda a, b: F.round(F.sum(F.when((hour >= a) & (hour < b), minutes * F.col("factor")).otherwise(0.0)), 6)
-    return points.groupBy("ad_id", F.date_format(at, "yyyy-MM-dd").alias("date")).agg(
-        F.count(F.lit(1)).alias("n_samples"), F.round(F.sum(minutes), 6).alias("raw_sunlight_min"), F.round(F.sum(minutes * F.col("factor")), 6).alias("sunlight_min"),
-        part(6, 10).alias("morning_min"), part(10, 14).alias("midday_min"), part(14, 18).alias("afternoon_min"), part(18, 22).alias("evening_min"),
-    )
-
-
 def quality_flags(stays: DataFrame) -> DataFrame:
+    """One row: stays, and those without id, with an end before the start, outside the globe, and over an hour. What is null
+    breaks none of the last three rules; no stays give zeros."""
     return stays.agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("ad_id").isNull()).alias("no_id"), F.count_if(F.col("end_time") < F.col("start_time")).alias("reversed"),
         F.count_if(~F.col("lat").between(-90, 90) | ~F.col("lon").between(-180, 180)).alias("outside"), F.count_if(F.col("end_time") - F.col("start_time") > 3600).alias("over_hour"),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import solar
 from ..operators import light, tracks
-from ..sources.views import STAYS_SQL, buildings, stays, weather
+from ..sources.views import STAYS_SQL, WEATHER_SQL, buildings, stays, weather
 
 LAT0 = 40.7
 _ORDER = ("ad_id", ["timestamp", "row_index"])
@@ -31,7 +31,7 @@ def _buildings(spark, d):
 
 def _weathered(spark, d):
     p = _track(spark, d).withColumn("grid", F.floor((F.col("lon") + 74.0) * 100)).select("row_index", "timestamp", "grid")
-    return light.nearest_in_time(p, weather(spark), "grid", "tcc")
+    return light.nearest_in_time(p, weather(spark, d), "grid", "tcc")
 
 
 QUERIES = {
@@ -39,17 +39,16 @@ QUERIES = {
     "join_indoor": lambda s, d: light.indoor(_points(s, d), _buildings(s, d)),
     "join_point_shadow": lambda s, d: light.shadowed(_points(s, d), _buildings(s, d), max_height=60.0, unit_m=light.unit_metres(LAT0)),
     "join_weather_nearest": lambda s, d: _weathered(s, d),
-    "fn_irradiance": lambda s, d: light.irradiance(weather(s), "grid").select("grid", "timestamp", F.round("watts", 6).alias("watts")),
+    "fn_irradiance": lambda s, d: light.irradiance(weather(s, d), "grid").select("grid", "timestamp", F.round("watts", 6).alias("watts")),
     "win_segment_length": lambda s, d: tracks.long_segments(_track(s, d), *_ORDER, max_gap=21600, least_s=400).select("row_index", "segment", "segment_s"),
     "agg_clean_reasons": lambda s, d: tracks.clean(_track(s, d), *_ORDER, max_gap=86400, max_kmh=0.5, least_s=400).groupBy("reason").agg(F.count(F.lit(1)).alias("n")),
     "win_stay_groups": lambda s, d: tracks.stay_groups(_track(s, d).withColumn("place", F.col("row_index") % 2), "ad_id", "place", ["timestamp", "row_index"]),
-    "win_track_distance": lambda s, d: tracks.with_distance(_track(s, d), *_ORDER).groupBy("ad_id").agg(F.round(F.sum("step_m"), 4).alias("metres"), F.count(F.lit(1)).alias("n")),
     "win_cumulative_distance": lambda s, d: tracks.with_distance(_track(s, d), *_ORDER).select("row_index", F.round("total_m", 4).alias("total_m")),
     "win_position_at_time": lambda s, d: tracks.position_at(_track(s, d), stays(s, d).select("ad_id", (F.col("end_time") + 3600).alias("at")), "ad_id"),
 }
 
 _PREV = f"lag(lon) {_W} AS lo, lag(lat) {_W} AS la"
-_METRE = "2 * 6371000.0E0 * asin(sqrt(least(1.0E0, pow(sin(radians(lat - la) / 2), 2) + cos(radians(la)) * cos(radians(lat)) * pow(sin(radians(lon - lo) / 2), 2))))"
+_METRE = "2 * 6371000.0E0 * asin(sqrt(least(1.0E0 + 0 * (lat - la), pow(sin(radians(lat - la) / 2), 2) + cos(radians(la)) * cos(radians(lat)) * pow(sin(radians(lon - lo) / 2), 2))))"
 _STEPS = f"{_TRACK}, l AS (SELECT *, {_PREV} FROM track), steps AS (SELECT *, coalesce({_METRE}, 0.0E0) AS step_m FROM l)"
 _BUILDINGS = """b AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 17 = 0 THEN 12.0E0 ELSE CAST(p_size AS DOUBLE) END AS height,
   -74.0E0 + (p_partkey * 13 % 400) * 0.0001E0 AS lon, 40.7E0 + (p_partkey * 7 % 250) * 0.0001E0 AS lat, p_partkey % 2 AS turned FROM part),
@@ -66,26 +65,26 @@ _INDOOR = f"inside AS (SELECT row_index, id FROM points JOIN edges ON abs(x - cx
 _ALT = f"({solar.altitude()})"
 _REACH = "abs(x - ax) < 40 + height * abs(ux) AND abs(y - ay) < 40 + height * abs(uy)"
 _MX, _MY = "(111320.0E0 * cos(radians(40.7E0)) / 100000)", "(111320.0E0 / 100000)"
-_WEATHER = """weather AS (SELECT g AS grid, 1704067200 + h * 3600 + (h * 7 % 5) * 60 AS timestamp, ((h * 7 + g * 3) % 100) / 100.0E0 AS tcc,
-  (h % 24) * (1000.0E0 + g) * 3600 AS ssrd FROM range(720) a(h), range(4) c(g))"""
+_WEATHER = WEATHER_SQL
 _SEG = f"""sl AS (SELECT *, timestamp - lag(timestamp) {_W} AS dt FROM {{src}}),
 s AS (SELECT *, sum(CASE WHEN dt IS NULL OR dt <= 0 OR dt > {{gap}} THEN 1 ELSE 0 END) {_W} AS seg FROM sl),
 t AS (SELECT *, lead(timestamp) OVER (PARTITION BY ad_id, seg ORDER BY timestamp, row_index) - timestamp AS nxt FROM s),
 u AS (SELECT *, sum(CASE WHEN nxt IS NULL THEN 60 ELSE greatest(1, least(nxt, 300)) END) OVER (PARTITION BY ad_id, seg) AS segment_s FROM t)"""
+_SHADOW = f"""{_POINTS}, {_BUILDINGS}, {_INDOOR}, sun AS MATERIALIZED (SELECT *, {_ALT} AS alt, {solar.azimuth()} AS az FROM points),
+      up AS MATERIALIZED (SELECT *, sin(az) / tan(alt) / {_MX} AS ux, cos(az) / tan(alt) / {_MY} AS uy FROM sun WHERE alt > radians(5)),
+      near AS (SELECT *, (bx - ax) * height * uy - (by_ - ay) * height * ux AS det FROM up JOIN edges ON {_REACH}),
+      hit AS (SELECT DISTINCT row_index FROM near WHERE det <> 0 AND ((x - ax) * height * uy - (y - ay) * height * ux) / det BETWEEN 0 AND 1
+        AND ((bx - ax) * (y - ay) - (by_ - ay) * (x - ax)) / det BETWEEN 0 AND 1),
+      shadow AS MATERIALIZED (SELECT row_index, alt > radians(5) AS lit, alt > radians(5) AND (row_index IN (FROM hit) OR row_index IN (SELECT row_index FROM inside)) AS in_shadow FROM sun)"""
 
 SQL = {
     "fn_sun_position": f"WITH {_TRACK} SELECT row_index, round({solar.altitude()}, 6) AS altitude, round({solar.azimuth()}, 6) AS azimuth FROM track",
     "join_indoor": f"WITH {_POINTS}, {_BUILDINGS}, {_INDOOR} SELECT row_index, id AS building_id FROM inside",
-    "join_point_shadow": f"""WITH {_POINTS}, {_BUILDINGS}, {_INDOOR}, sun AS MATERIALIZED (SELECT *, {_ALT} AS alt, {solar.azimuth()} AS az FROM points),
-      up AS MATERIALIZED (SELECT *, sin(az) / tan(alt) / {_MX} AS ux, cos(az) / tan(alt) / {_MY} AS uy FROM sun WHERE alt > radians(5)),
-      near AS (SELECT *, (bx - ax) * height * uy - (by_ - ay) * height * ux AS det FROM up JOIN edges ON {_REACH}),
-      hit AS (SELECT DISTINCT row_index FROM near WHERE det <> 0 AND ((x - ax) * height * uy - (y - ay) * height * ux) / det BETWEEN 0 AND 1
-        AND ((bx - ax) * (y - ay) - (by_ - ay) * (x - ax)) / det BETWEEN 0 AND 1)
-      SELECT row_index, alt > radians(5) AS lit, alt > radians(5) AND (row_index IN (FROM hit) OR row_index IN (SELECT row_index FROM inside)) AS in_shadow FROM sun""",
+    "join_point_shadow": f"WITH {_SHADOW} SELECT row_index, lit, in_shadow FROM shadow",
     "join_weather_nearest": f"""WITH {_TRACK}, {_WEATHER}, p AS (SELECT row_index, timestamp, CAST(floor((lon + 74.0E0) * 100) AS BIGINT) AS grid FROM track)
       SELECT p.row_index, p.timestamp, p.grid, w.tcc FROM p LEFT JOIN weather w ON p.grid = w.grid AND abs(w.timestamp - p.timestamp) <= 86400
       QUALIFY row_number() OVER (PARTITION BY p.row_index ORDER BY abs(w.timestamp - p.timestamp), w.timestamp) = 1""",
-    "fn_irradiance": f"""WITH {_WEATHER}, l AS (SELECT *, ssrd - lag(ssrd) OVER w AS step, timestamp - lag(timestamp) OVER w AS dt FROM weather WINDOW w AS (PARTITION BY grid ORDER BY timestamp))
+    "fn_irradiance": f"""WITH {STAYS_SQL}, {_WEATHER}, l AS (SELECT *, ssrd - lag(ssrd) OVER w AS step, timestamp - lag(timestamp) OVER w AS dt FROM weather WINDOW w AS (PARTITION BY grid ORDER BY timestamp))
       SELECT grid, timestamp, round(greatest(0.0E0, CASE WHEN step < 0 THEN ssrd ELSE step END / dt), 6) AS watts FROM l""",
     "win_segment_length": f"""WITH {_TRACK}, {_SEG.format(src="track", gap=21600)}
       SELECT row_index, dense_rank() OVER (PARTITION BY ad_id ORDER BY seg) AS segment, CAST(segment_s AS BIGINT) AS segment_s FROM u WHERE segment_s >= 400""",
@@ -96,7 +95,6 @@ SQL = {
       SELECT reason, count(*) AS n FROM r GROUP BY ALL""",
     "win_stay_groups": f"""WITH {_TRACK}, k AS (SELECT *, row_index % 2 AS place FROM track), f AS (SELECT *, CASE WHEN lag(place) {_W} = place THEN 0 ELSE 1 END AS new FROM k),
       g AS (SELECT *, CAST(sum(new) {_W} AS BIGINT) AS grp FROM f) SELECT ad_id, place, grp, min(timestamp) AS start_ts, max(timestamp) AS end_ts, count(*) AS n FROM g GROUP BY ad_id, place, grp""",
-    "win_track_distance": f"WITH {_STEPS} SELECT ad_id, round(sum(step_m), 4) AS metres, count(*) AS n FROM steps GROUP BY ad_id",
     "win_cumulative_distance": f"WITH {_STEPS} SELECT row_index, round(sum(step_m) {_W}, 4) AS total_m FROM steps",
     "win_position_at_time": f"""WITH {_TRACK}, q AS (SELECT DISTINCT ad_id, end_time + 3600 AS at FROM stays),
       ahead AS (SELECT q.ad_id, q.at, row_index FROM q JOIN track t ON t.ad_id = q.ad_id AND t.timestamp >= q.at QUALIFY row_number() OVER (PARTITION BY q.ad_id, q.at ORDER BY timestamp, row_index) = 1),

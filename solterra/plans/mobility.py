@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.geo import sunlight_factor
+from ..functions import solar
+from ..operators import exposure as x
+from ..operators import graph as gr
 from ..operators import mobility as m
 from ..sources.views import STAYS_SQL, stays
 
@@ -19,11 +21,10 @@ _POINTS = (
 )
 _TRACK = STAYS_SQL + ", track AS (SELECT *, start_time AS timestamp FROM stays)"
 _W = "OVER (PARTITION BY ad_id ORDER BY timestamp, row_index)"
-_LIGHT = "CASE WHEN hour(to_timestamp(timestamp) AT TIME ZONE 'UTC') BETWEEN 6 AND 19 THEN 1 ELSE 0 END"
 
 
 def _points(spark, d):
-    return m.with_task(m.expand_stays(stays(spark, d)))
+    return m.task_points(stays(spark, d))
 
 
 def _tasks(spark, d):
@@ -35,72 +36,71 @@ def _track(spark, d):
 
 
 _ORDER = ("ad_id", ["timestamp", "row_index"])
+_BOX = (-74.01, 40.69, -73.95, 40.73)
 
 
-def _exposed(spark, d):
-    rows = m.durations(_track(spark, d), *_ORDER)
-    light = F.hour(F.timestamp_seconds("timestamp")).between(6, 19).cast("int")
-    return rows.withColumn("sunlit", light).withColumn("factor", sunlight_factor((F.col("row_index") % 120) / 100))
+def _lit_spans(spark, d):
+    return m.lit_spans(stays(spark, d), x.is_day)
 
 
-def _lit_spans(spark, d):
-    return m.lit_spans(_points(spark, d), F.hour(F.timestamp_seconds("timestamp")).between(6, 19))
+def partitions(spark):
+    return m.partition_grid(spark, *_BOX, 12)
 
 
 def _partitioned(spark, d):
-    return m.box_join(_tasks(spark, d), m.partition_grid(spark, -74.01, 40.69, -73.95, 40.73, 12)).select("task_id", "partition_id")
+    return m.box_join(_tasks(spark, d), partitions(spark))
+
+
+def _night(tasks):
+    middle = tasks.withColumn("lon", (F.col("west") + F.col("east")) / 2).withColumn("lat", (F.col("south") + F.col("north")) / 2)
+    return middle.withColumn("is_night", (~x.is_day("minute_ts")).cast("int"))
 
 
 QUERIES = {
     "gen_expand_stay": lambda s, d: m.expand_stays(stays(s, d)).select("row_index", "ad_id", "timestamp"),
+    "gen_daylight_filter": lambda s, d: x.daylight(m.expand_stays(stays(s, d))).groupBy("row_index").agg(F.count(F.lit(1)).alias("n"), F.min("timestamp").alias("first")),
     "agg_task_stats": _tasks,
     "agg_membership_count": lambda s, d: m.memberships(_points(s, d)),
-    "agg_hourly": lambda s, d: m.hourly(_tasks(s, d)),
-    "agg_files": lambda s, d: m.memberships(_points(s, d)).groupBy("file_relpath").agg(F.countDistinct("task_id").alias("tasks"), F.sum("point_count").alias("points")),
-    "agg_global_metrics": lambda s, d: _tasks(s, d).agg(F.count(F.lit(1)).alias("tasks"), F.countDistinct("cell_key").alias("cells"), F.sum("point_count").alias("points"), F.max("point_count").alias("largest")),
-    "agg_percentile": lambda s, d: _tasks(s, d).agg(*(F.round(F.percentile("point_count", F.lit(p)), 6).alias(f"p{int(100 * p)}") for p in (0.5, 0.9, 0.95))),
-    "agg_histogram": lambda s, d: _tasks(s, d).groupBy(F.floor(F.col("point_count") / 2).alias("bin")).agg(F.count(F.lit(1)).alias("n")),
+    "agg_hourly": lambda s, d: m.hourly(_night(m.cells(_points(s, d)))),
+    "agg_files": lambda s, d: gr.files(m.memberships(_points(s, d))),
+    "agg_global_metrics": lambda s, d: gr.global_metrics(_tasks(s, d)),
+    "agg_percentile": lambda s, d: gr.percentiles(m.cells(_points(s, d)), "point_count"),
     "srt_topk_tasks": lambda s, d: m.top_tasks(_tasks(s, d), 50).select("task_id", "point_count"),
     "win_duration": lambda s, d: m.durations(_track(s, d), *_ORDER).select("row_index", "duration_s"),
     "win_speed_jump": lambda s, d: m.speed_jumps(_track(s, d), *_ORDER, max_gap=86400, max_kmh=0.5).select("row_index", F.round("speed_kmh", 6).alias("speed_kmh"), "jump"),
     "win_gap_segments": lambda s, d: m.gap_segments(_track(s, d), *_ORDER, max_gap=86400).select("row_index", "segment"),
     "win_span_rle": lambda s, d: _lit_spans(s, d).select("row_index", "start_ts", "end_ts", "n"),
-    "join_span_task": lambda s, d: m.span_tasks(_lit_spans(s, d), _tasks(s, d)).groupBy("row_index").agg(F.count(F.lit(1)).alias("n_tasks"), F.min("minute_ts").alias("first_minute")),
-    "join_task_partition": _partitioned,
-    "agg_partition_fanout": lambda s, d: _partitioned(s, d).groupBy("partition_id").agg(F.count(F.lit(1)).alias("tasks")),
-    "agg_task_fanout": lambda s, d: _partitioned(s, d).groupBy("task_id").agg(F.count(F.lit(1)).alias("partitions")),
-    "agg_home_cell": lambda s, d: m.home_cells(m.with_task(m.durations(_track(s, d), *_ORDER))),
-    "agg_irbm_day": lambda s, d: m.daily_exposure(_exposed(s, d)),
+    "join_span_task": lambda s, d: m.span_tasks(_lit_spans(s, d), m.cells(_points(s, d)).select(*m.KEYS)).groupBy("row_index").agg(F.count(F.lit(1)).alias("n_tasks"), F.min("minute_ts").alias("first_minute")),
+    "join_task_partition": lambda s, d: m.box_join(gr.padded(_tasks(s, d), 100.0), partitions(s)).select("task_id", "partition_id", "minute_ts", "cell_key", "point_count", "file_count", "min_lon", "min_lat", "max_lon", "max_lat"),
+    "agg_partition_fanout": lambda s, d: gr.partition_fanout(_partitioned(s, d)).withColumn("avg_points_per_task", F.round("avg_points_per_task", 9)),
+    "agg_task_fanout": lambda s, d: gr.task_fanout(_partitioned(s, d)),
     "flt_quality_flags": lambda s, d: m.quality_flags(stays(s, d)),
-    "set_coord_dedupe": lambda s, d: stays(s, d).select(F.bround(F.col("lon") * 1e5).cast("long").alias("x"), F.bround(F.col("lat") * 1e5).cast("long").alias("y")).distinct(),
-    "join_existing_keys": lambda s, d: stays(s, d).join(stays(s, d).where("row_index % 3 = 0").select("row_index"), "row_index", "left_anti").select("row_index", "ad_id"),
+    "set_coord_dedupe": lambda s, d: gr.coord_keys(stays(s, d)),
+    "join_existing_keys": lambda s, d: gr.without_keys(stays(s, d), stays(s, d).where("row_index % 3 = 0"), ["row_index"]).select("row_index", "ad_id"),
 }
 
 _SPANS = f"""{_POINTS}, lit AS (SELECT row_index, cell_key, timestamp, timestamp - 60 * row_number() OVER (PARTITION BY row_index ORDER BY timestamp) AS run
-  FROM keyed WHERE {_LIGHT} = 1),
+  FROM keyed WHERE {solar.altitude()} > 0),
 spans AS (SELECT row_index, cell_key, min(timestamp) AS start_ts, max(timestamp) AS end_ts, count(*) AS n FROM lit GROUP BY row_index, cell_key, run)"""
 _GRID = """grid AS (SELECT concat('p_', i, '_', j) AS partition_id, -74.01E0 + i * ((-73.95E0 + 74.01E0) / 12) AS min_lon, 40.69E0 + j * ((40.73E0 - 40.69E0) / 12) AS min_lat,
   -74.01E0 + (i + 1) * ((-73.95E0 + 74.01E0) / 12) AS max_lon, 40.69E0 + (j + 1) * ((40.73E0 - 40.69E0) / 12) AS max_lat FROM range(12) a(i), range(12) b(j)),
 edges AS (SELECT task_id, partition_id FROM tasks JOIN grid ON west <= max_lon AND east >= min_lon AND south <= max_lat AND north >= min_lat)"""
 _DURATION = f"track2 AS (SELECT *, CASE WHEN gap IS NULL OR gap <= 0 THEN 60 ELSE least(gap, 300) END AS duration_s FROM (SELECT *, lead(timestamp) {_W} - timestamp AS gap FROM track))"
 _SPEED = "2 * 6371000.0E0 * asin(sqrt(least(1.0E0, pow(sin(radians(lat - la) / 2), 2) + cos(radians(la)) * cos(radians(lat)) * pow(sin(radians(lon - lo) / 2), 2)))) / dt * 3.6E0"
-_HOUR = "hour(to_timestamp(timestamp) AT TIME ZONE 'UTC')"
-
-
-def _part(a: int, b: int, name: str) -> str:
-    return f"round(sum(CASE WHEN {_HOUR} >= {a} AND {_HOUR} < {b} THEN duration_s / 60.0E0 * sunlit * factor ELSE 0.0E0 END), 6) AS {name}_min"
 
 
 SQL = {
     "gen_expand_stay": f"WITH {_POINTS} SELECT row_index, ad_id, timestamp FROM keyed",
     "agg_task_stats": f"WITH {_POINTS} SELECT * FROM tasks",
     "agg_membership_count": f"WITH {_POINTS} SELECT task_id, file_relpath, count(*) AS point_count FROM keyed GROUP BY ALL",
-    "agg_hourly": f"""WITH {_POINTS} SELECT strftime(to_timestamp(minute_ts) AT TIME ZONE 'UTC', '%Y-%m-%d') AS minute_date, hour(to_timestamp(minute_ts) AT TIME ZONE 'UTC') AS minute_hour,
-      count(*) AS task_count, CAST(sum(point_count) AS BIGINT) AS point_count, max(file_count) AS max_files FROM tasks GROUP BY ALL""",
+    "gen_daylight_filter": f"WITH {_POINTS} SELECT row_index, count(*) AS n, min(timestamp) AS first FROM points WHERE {solar.altitude()} > 0 GROUP BY 1",
+    "agg_hourly": f"""WITH {_POINTS}, n AS (SELECT *, (west + east) / 2 AS lon, (south + north) / 2 AS lat FROM tasks) SELECT strftime(to_timestamp(minute_ts) AT TIME ZONE 'UTC', '%Y-%m-%d') AS minute_date, hour(to_timestamp(minute_ts) AT TIME ZONE 'UTC') AS minute_hour,
+      count(*) AS task_count, CAST(sum(point_count) AS BIGINT) AS point_count, CAST(sum(file_count) AS BIGINT) AS file_count, round(avg(point_count), 9) AS avg_points_per_task, round(avg(file_count), 9) AS avg_files_per_task,
+      max(file_count) AS max_files, count(*) FILTER (NOT {solar.altitude('minute_ts')} > 0) AS night_task_count FROM n GROUP BY ALL""",
     "agg_files": f"WITH {_POINTS} SELECT file_relpath, count(DISTINCT task_id) AS tasks, count(*) AS points FROM keyed GROUP BY ALL",
-    "agg_global_metrics": f"WITH {_POINTS} SELECT count(*) AS tasks, count(DISTINCT cell_key) AS cells, CAST(sum(point_count) AS BIGINT) AS points, max(point_count) AS largest FROM tasks",
+    "agg_global_metrics": f"""WITH {_POINTS} SELECT count(*) AS tasks, count(DISTINCT cell_key) AS cells, count(DISTINCT minute_ts) AS minutes, CAST(sum(point_count) AS BIGINT) AS points, max(point_count) AS largest,
+      round(avg(point_count), 9) AS avg_points, round(avg(file_count), 9) AS avg_files, max(file_count) AS max_files FROM tasks""",
     "agg_percentile": f"WITH {_POINTS} SELECT " + ", ".join(f"round(quantile_cont(CAST(point_count AS DOUBLE), {p}), 6) AS p{int(100 * p)}" for p in (0.5, 0.9, 0.95)) + " FROM tasks",
-    "agg_histogram": f"WITH {_POINTS} SELECT CAST(floor(point_count / 2) AS BIGINT) AS bin, count(*) AS n FROM tasks GROUP BY ALL",
     "srt_topk_tasks": f"WITH {_POINTS} SELECT task_id, point_count FROM tasks ORDER BY point_count DESC, task_id LIMIT 50",
     "win_duration": f"WITH {_TRACK}, {_DURATION} SELECT row_index, duration_s FROM track2",
     "win_speed_jump": f"""WITH {_TRACK}, l AS (SELECT *, timestamp - lag(timestamp) {_W} AS dt, lag(lon) {_W} AS lo, lag(lat) {_W} AS la FROM track),
@@ -110,16 +110,10 @@ SQL = {
     "win_span_rle": f"WITH {_SPANS} SELECT row_index, start_ts, end_ts, n FROM spans",
     "join_span_task": f"""WITH {_SPANS} SELECT row_index, count(*) AS n_tasks, min(minute_ts) AS first_minute FROM spans JOIN tasks
       ON spans.cell_key = tasks.cell_key AND minute_ts BETWEEN start_ts AND end_ts GROUP BY row_index""",
-    "join_task_partition": f"WITH {_POINTS}, {_GRID} SELECT * FROM edges",
-    "agg_partition_fanout": f"WITH {_POINTS}, {_GRID} SELECT partition_id, count(*) AS tasks FROM edges GROUP BY ALL",
-    "agg_task_fanout": f"WITH {_POINTS}, {_GRID} SELECT task_id, count(*) AS partitions FROM edges GROUP BY ALL",
-    "agg_home_cell": f"""WITH {_TRACK}, {_DURATION}, night AS (SELECT ad_id, concat('square:250:', {_X}, ':', {_Y}) AS cell_key, duration_s FROM track2 WHERE {_HOUR} >= 22 OR {_HOUR} < 6),
-      dwell AS (SELECT ad_id, cell_key, CAST(sum(duration_s) AS BIGINT) AS seconds FROM night GROUP BY ALL)
-      SELECT ad_id, cell_key, seconds FROM dwell QUALIFY row_number() OVER (PARTITION BY ad_id ORDER BY seconds DESC, cell_key) = 1""",
-    "agg_irbm_day": f"""WITH {_TRACK}, {_DURATION}, lit AS (SELECT *, {_LIGHT} AS sunlit, greatest(0.15E0, 1 - 0.85E0 * greatest(0.0E0, least((row_index % 120) / 100.0E0, 1.0E0))) AS factor FROM track2)
-      SELECT ad_id, strftime(to_timestamp(timestamp) AT TIME ZONE 'UTC', '%Y-%m-%d') AS date, count(*) AS n_samples, round(sum(duration_s / 60.0E0 * sunlit), 6) AS raw_sunlight_min,
-      round(sum(duration_s / 60.0E0 * sunlit * factor), 6) AS sunlight_min, {_part(6, 10, 'morning')}, {_part(10, 14, 'midday')}, {_part(14, 18, 'afternoon')}, {_part(18, 22, 'evening')}
-      FROM lit GROUP BY ALL""",
+    "join_task_partition": f"""WITH {_POINTS}, {_GRID}, p AS (SELECT *, 100.0E0 / 111320 AS a, CASE WHEN abs(cos(radians((south + north) / 2))) < 1e-6 THEN 180.0 ELSE 100.0E0 / 111320 / abs(cos(radians((south + north) / 2))) END AS o FROM tasks)
+      SELECT task_id, partition_id, minute_ts, cell_key, point_count, file_count, min_lon, min_lat, max_lon, max_lat FROM p JOIN grid ON west - o <= max_lon AND east + o >= min_lon AND south - a <= max_lat AND north + a >= min_lat""",
+    "agg_partition_fanout": f"WITH {_POINTS}, {_GRID} SELECT partition_id, count(*) AS task_count, CAST(sum(point_count) AS BIGINT) AS point_count, round(avg(point_count), 9) AS avg_points_per_task FROM edges JOIN tasks USING (task_id) GROUP BY ALL",
+    "agg_task_fanout": f"WITH {_POINTS}, {_GRID} SELECT task_id, min(minute_ts) AS minute_ts, min(cell_key) AS cell_key, max(point_count) AS point_count, max(file_count) AS file_count, count(*) AS partition_count FROM edges JOIN tasks USING (task_id) GROUP BY ALL",
     "flt_quality_flags": f"""WITH {STAYS_SQL} SELECT count(*) AS n, count(*) FILTER (ad_id IS NULL) AS no_id, count(*) FILTER (end_time < start_time) AS reversed,
       count(*) FILTER (NOT lat BETWEEN -90 AND 90 OR NOT lon BETWEEN -180 AND 180) AS outside, count(*) FILTER (end_time - start_time > 3600) AS over_hour FROM stays""",
     "set_coord_dedupe": f"WITH {STAYS_SQL} SELECT DISTINCT CAST(round_even(lon * 1e5, 0) AS BIGINT) AS x, CAST(round_even(lat * 1e5, 0) AS BIGINT) AS y FROM stays",

@@ -33,15 +33,20 @@ def buildings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.select(F.col("p_partkey").alias("building_id"), height.alias("height"), *corners)
 
 
-def weather(spark: SparkSession, hours: int = 720, grids: int = 4) -> DataFrame:
-    """(grid, timestamp, tcc, ssrd): readings about an hour apart; ssrd is a running sum that starts anew each day."""
-    h, g = F.floor(F.col("id") / grids), F.col("id") % grids
-    return spark.range(hours * grids).select(
-        g.alias("grid"), (F.lit(1704067200) + h * 3600 + (h * 7 % 5) * 60).alias("timestamp"),
-        ((h * 7 + g * 3) % 100 / 100.0).alias("tcc"), ((h % 24) * (F.lit(1000.0) + g) * 3600).alias("ssrd"),
+def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(grid, timestamp, tcc, ssrd): a reading for each hour and grid cell that holds a stay's start; ssrd is a running sum that starts
+    anew each day."""
+    at = stays(spark, sf_dir).select(F.floor((F.col("lon") + 74.0) * 100).alias("g"), F.floor(F.col("start_time") / 3600).alias("h")).distinct()
+    return at.select(
+        F.col("g").alias("grid"), (F.col("h") * 3600 + (F.col("h") * 7 % 5) * 60).alias("timestamp"),
+        ((F.col("h") * 7 + F.col("g") * 3) % 100 / 100.0).alias("tcc"), ((F.col("h") % 24) * (F.lit(1000.0) + F.col("g")) * 3600).alias("ssrd"),
     )
 
 
+WEATHER_SQL = """weather AS (SELECT g AS grid, h * 3600 + (h * 7 % 5) * 60 AS timestamp, ((h * 7 + g * 3) % 100) / 100.0E0 AS tcc, (h % 24) * (1000.0E0 + g) * 3600 AS ssrd
+  FROM (SELECT DISTINCT CAST(floor((lon + 74.0E0) * 100) AS BIGINT) AS g, CAST(floor(start_time / 3600) AS BIGINT) AS h FROM stays))"""
+
+
 #: Views as (base table, expressions that Spark and other engines both take). {epoch}: epoch second of ts; {iso}: its ISO text.
 _LON, _LAT = "concat('-73.9', lpad(CAST((user_id * 37 + event_id * 7) % 9000 AS STRING), 4, '0'))", "concat('40.7', lpad(CAST((user_id * 53 + event_id * 11) % 9000 AS STRING), 4, '0'))"
 VIEWS = {
