@@ -143,3 +143,74 @@ def irradiance(readings: DataFrame, by: str) -> DataFrame:
     w = Window.partitionBy(by).orderBy("timestamp")
     step, dt = F.col("ssrd") - F.lag("ssrd").over(w), F.col("timestamp") - F.lag("timestamp").over(w)
     return readings.withColumn("watts", F.greatest(F.lit(0.0), F.when(step < 0, F.col("ssrd")).otherwise(step) / F.when(dt > 0, dt)))
+
+
+def in_polygon(x: Column, y: Column, edges: str = "edges") -> Column:
+    """Even-odd rule over the edges of all rings of a polygon: holes are outside, their boundary and the outer one inside."""
+    return in_ring(x, y, edges)
+
+
+def polygon_edges(rings: Column) -> Column:
+    """Edges of all rings (array<array<struct<x,y>>>) of a polygon."""
+    return F.flatten(F.transform(rings, ring_edges))
+
+
+def touches_polygon(buildings: DataFrame, polygon: list[tuple[int, int]]) -> DataFrame:
+    """Buildings (ring, more) that share a point with the polygon (corners in the rings' unit, not closed): a corner of one lies in the
+    other, or edges cross. Boundaries count. The polygon is a literal; bounds are tested first."""
+    corner = lambda p: F.struct(F.lit(p[0]).cast("double").alias("x"), F.lit(p[1]).cast("double").alias("y"))
+    shape = F.array(*map(corner, polygon))
+    b = buildings.withColumn("_e", ring_edges("ring")).withColumn("_p", ring_edges(shape)).withColumn("_c", shape)
+    side = lambda e, px, py: (px - e.ax) * (e.by - e.ay) - (e.bx - e.ax) * (py - e.ay)
+    across = lambda e, f: (side(e, f.ax, f.ay) * side(e, f.bx, f.by) < 0) & (side(f, e.ax, e.ay) * side(f, e.bx, e.by) < 0)
+    vertex_in = F.exists("ring", lambda p: in_ring(p.x, p.y, "_p"))
+    corner_in = F.exists("_c", lambda p: in_ring(p.x, p.y, "_e"))
+    crossing = F.exists("_e", lambda e: F.exists("_p", lambda f: across(e, f)))
+    xs, ys = [p[0] for p in polygon], [p[1] for p in polygon]
+    x0, x1, y0, y1 = (F.array_min(F.transform("ring", lambda p: p.x)), F.array_max(F.transform("ring", lambda p: p.x)), F.array_min(F.transform("ring", lambda p: p.y)), F.array_max(F.transform("ring", lambda p: p.y)))
+    boxed = b.where((x0 <= max(xs)) & (x1 >= min(xs)) & (y0 <= max(ys)) & (y1 >= min(ys)))
+    return boxed.where(vertex_in | corner_in | crossing).drop("_e", "_p", "_c")
+
+
+def within_reach(targets: DataFrame, buildings: DataFrame, margin: float, max_height: float, unit_m: tuple[float, float], cell_m: float = 200.0) -> DataFrame:
+    """(task_id, building_id): buildings (building_id, height, x0 .. y1) that can shade a target box (task_id, x0 .. y1, elevation in
+    radians above 0): those no farther from it than their own shadow and ``margin`` metres. A target goes to the cells within
+    the reach of ``max_height``, no building may be higher (the job fails on one). Targets with the sun down keep none."""
+    mx, my = unit_m
+    up = targets.where("elevation > 0").select("task_id", *(F.col(c).alias(f"t{c}") for c in ("x0", "x1", "y0", "y1")), "elevation")
+    far = max_height / F.tan("elevation") + margin
+    t = _cells(up, F.col("tx0") - far / mx, F.col("tx1") + far / mx, F.col("ty0") - far / my, F.col("ty1") + far / my, cell_m / mx, cell_m / my)
+    low = F.when(F.col("height") <= max_height, F.col("height")).otherwise(F.raise_error(F.lit("a building is higher than max_height")))
+    b = _cells(buildings.withColumn("height", low), F.col("x0"), F.col("x1"), F.col("y0"), F.col("y1"), cell_m / mx, cell_m / my)
+    gap = lambda a0, a1, b0, b1, m: F.greatest(F.lit(0.0), F.greatest(F.col(b0) - F.col(a1), F.col(a0) - F.col(b1)) * m)
+    apart = F.hypot(gap("tx0", "tx1", "x0", "x1", mx), gap("ty0", "ty1", "y0", "y1", my))
+    met = t.join(b, ["_x", "_y"]).where(apart <= F.col("height") / F.tan("elevation") + margin)
+    return met.select("task_id", "building_id").distinct()
+
+
+def indoor_by_partition(points: DataFrame, partitions: DataFrame, cell: int) -> DataFrame:
+    """As ``indoor``, of footprints stored by the cell (px, py, whole numbers of ``cell`` units) that they touch, one row a cell: a point
+    reads the partition it lies in, so that only those partitions are scanned."""
+    p = points.select("row_index", "x", "y", F.floor(F.col("x") / cell).alias("px"), F.floor(F.col("y") / cell).alias("py"))
+    b = partitions.where(F.size("ring") > 0).select("building_id", ring_edges().alias("edges"), *ring_bounds(), "px", "py")
+    boxed = F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1"))
+    return p.join(b, ["px", "py"]).where(boxed & in_ring(F.col("x"), F.col("y"))).select("row_index", "building_id")
+
+
+def coverage(points: DataFrame, lit: DataFrame, by: list[str]) -> DataFrame:
+    """Per ``by`` of points (row_index): the share of them in shadow in per cent, and how many; null where the sun is down for all."""
+    joined = points.join(lit, "row_index")
+    return joined.groupBy(*by).agg(F.round(F.avg(F.when(F.col("lit"), F.col("in_shadow").cast("double"))) * 100, 9).alias("coverage"), F.count(F.lit(1)).alias("n"))
+
+
+def sun_profile(points: DataFrame, lit: DataFrame, by: list[str], step_s: int) -> DataFrame:
+    """Per ``by`` of points at instants ``step_s`` apart: minutes in the sun."""
+    return points.join(lit, "row_index").groupBy(*by).agg((F.count_if(F.col("lit") & ~F.col("in_shadow")) * step_s / 60).alias("sun_min"))
+
+
+def nearest_by_hour(points: DataFrame, readings: DataFrame, by: str, value: str | list[str]) -> DataFrame:
+    """points with values of the reading nearest to their hour: each (hour, ``by``) is looked up once, its points share the answer."""
+    keyed = points.withColumn("_hour", F.floor(F.col("timestamp") / 3600) * 3600)
+    keys = keyed.select(F.col("_hour").alias("timestamp"), by).distinct()
+    told = nearest_in_time(keys, readings, by, value).withColumnRenamed("timestamp", "_hour")
+    return keyed.join(told, ["_hour", by], "left").drop("_hour")

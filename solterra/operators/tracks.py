@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_m
-from .mobility import gap_segments, speed_jumps
+from .mobility import durations, gap_segments, speed_jumps
 
 
 def long_segments(points: DataFrame, by: str, order: list[str], max_gap: int = 600, least_s: int = 300) -> DataFrame:
@@ -19,15 +19,21 @@ def long_segments(points: DataFrame, by: str, order: list[str], max_gap: int = 6
     return kept.withColumn("segment", F.dense_rank().over(Window.partitionBy(by).orderBy("segment")).cast("long")).drop("_step")
 
 
-def clean(points: DataFrame, by: str, order: list[str], max_gap: int = 600, max_kmh: float = 200.0, least_s: int = 300) -> DataFrame:
-    """row_index and reason of every row: kept, invalid (position or time), jump_speed or short_segment."""
+def cleaned(points: DataFrame, by: str, order: list[str], max_gap: int = 600, max_kmh: float = 200.0, least_s: int = 300) -> DataFrame:
+    """points (row_index once) with reason (kept, invalid (position or time), jump_speed or short_segment), segment (of kept rows,
+    from 1) and duration_s (see ``durations``)."""
     valid = F.col("lon").between(-180, 180) & F.col("lat").between(-90, 90) & F.col("timestamp").isNotNull()
     flagged = points.withColumn("_valid", F.coalesce(valid, F.lit(False)))
     jumped = speed_jumps(flagged.where("_valid"), by, order, max_gap, max_kmh)
-    kept = long_segments(jumped.where("not jump"), by, order, max_gap, least_s).select("row_index", F.lit("kept").alias("_kept"))
+    kept = long_segments(jumped.where("not jump"), by, order, max_gap, least_s).select("row_index", "segment")
     marks = jumped.select("row_index", "jump").join(kept, "row_index", "left")
-    reason = F.when(F.col("jump").isNull(), "invalid").when(F.col("jump"), "jump_speed").when(F.col("_kept").isNull(), "short_segment").otherwise("kept")
-    return points.select("row_index").join(marks, "row_index", "left").select("row_index", reason.alias("reason"))
+    reason = F.when(F.col("jump").isNull(), "invalid").when(F.col("jump"), "jump_speed").when(F.col("segment").isNull(), "short_segment").otherwise("kept")
+    return durations(points, by, order).join(marks, "row_index", "left").withColumn("reason", reason).drop("jump")
+
+
+def clean(points: DataFrame, by: str, order: list[str], max_gap: int = 600, max_kmh: float = 200.0, least_s: int = 300) -> DataFrame:
+    """row_index and reason of every row (see ``cleaned``)."""
+    return cleaned(points, by, order, max_gap, max_kmh, least_s).select("row_index", "reason")
 
 
 def stay_groups(points: DataFrame, by: str, key: str, order: list[str]) -> DataFrame:

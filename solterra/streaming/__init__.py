@@ -1,0 +1 @@
+"""The task graph's windows and merges as Structured Streaming."""
