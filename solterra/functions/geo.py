@@ -19,8 +19,8 @@ def haversine_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Colum
 
 
 def mercator_cell(lon: Column, lat: Column, size_m: float) -> tuple[Column, Column]:
-    """(x, y) of the square cell: a routing key only, never a position."""
-    clamped = F.greatest(F.least(lat, F.lit(MAX_LAT)), F.lit(-MAX_LAT))
+    """(x, y) of the square cell: a routing key only, never a position. Null positions have none."""
+    clamped = F.when(lat.isNotNull(), F.greatest(F.least(lat, F.lit(MAX_LAT)), F.lit(-MAX_LAT)))
     x, y = F.radians(lon) * MERCATOR_M, F.ln(F.tan(F.lit(math.pi / 4) + F.radians(clamped) / 2)) * MERCATOR_M
     return F.floor(x / size_m), F.floor(y / size_m)
 
@@ -73,7 +73,7 @@ def cell_roundup(base: Column, wanted: Column) -> Column:
 def metres_to_degrees(metres: Column, lat: Column) -> Column:
     """The larger of the degrees east and north that hold so many metres, either sign; the cosine is 0.1 at least."""
     m = F.abs(metres)
-    return F.greatest(m / SHORT_DEGREE_M, m / (SHORT_DEGREE_M * F.greatest(F.lit(0.1), F.abs(F.cos(F.radians(lat))))))
+    return F.when(lat.isNotNull(), F.greatest(m / SHORT_DEGREE_M, m / (SHORT_DEGREE_M * F.greatest(F.lit(0.1), F.abs(F.cos(F.radians(lat)))))))
 
 
 def web_tile(lon: Column, lat: Column, zoom: Column) -> tuple[Column, Column]:
@@ -123,7 +123,7 @@ def ring_center(ring: Column) -> Column:
 
 def close_ring(ring: Column) -> Column:
     """The ring with its first vertex at its end too; closed and empty rings stay."""
-    first, last = F.element_at(ring, 1), F.element_at(ring, -1)
+    first, last = F.try_element_at(ring, F.lit(1)), F.try_element_at(ring, F.lit(-1))
     return F.when((F.size(ring) > 0) & ((first.x != last.x) | (first.y != last.y)), F.concat(ring, F.slice(ring, 1, 1))).otherwise(ring)
 
 
@@ -131,7 +131,7 @@ def ring_issues(ring: Column) -> Column:
     """array<string> of what is wrong with a ring of degrees: ``incomplete`` (fewer than four vertices, or null: nothing else is
     looked at), ``out_of_range``, ``open``, ``area`` (below 1 m² or above 10 km²). Empty: none."""
     short = F.coalesce(F.size(ring) < 4, F.lit(True))
-    first, last = F.element_at(ring, 1), F.element_at(ring, -1)
+    first, last = F.try_element_at(ring, F.lit(1)), F.try_element_at(ring, F.lit(-1))
     area = ring_area_m2(ring)
     found = F.array(
         F.when(F.exists(ring, lambda p: (F.abs(p.x) > 180) | (F.abs(p.y) > 90)), "out_of_range"), F.when((first.x != last.x) | (first.y != last.y), "open"),
@@ -182,7 +182,8 @@ def dashes(lon1: Column, lat1: Column, lon2: Column, lat2: Column, dash_m: float
 def gfs_indices(lon: Column, lat: Column) -> tuple[Column, Column]:
     """(lat index, lon index) of a 0.25 degree grid from 90 north down and from 0 east: half rounds up."""
     half_up = lambda v: F.floor(v + 0.5)
-    return half_up((90 - F.greatest(F.least(lat, F.lit(90.0)), F.lit(-90.0))) / 0.25), half_up(F.pmod(lon, F.lit(360.0)) / 0.25)
+    held = F.when(lat.isNotNull(), F.greatest(F.least(lat, F.lit(90.0)), F.lit(-90.0)))
+    return half_up((90 - held) / 0.25), half_up(F.pmod(lon, F.lit(360.0)) / 0.25)
 
 
 def gfs_run(seconds: Column) -> tuple[Column, Column, Column]:

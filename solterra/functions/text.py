@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from datetime import datetime
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_EPOCH = datetime(1970, 1, 1)
+_EPOCH = "1970-01-01 00:00:00"
 NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 _ISO = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([T ][0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]{1,6})?)?(Z|[+-][0-9]{2}:[0-9]{2})?)?$"
 
@@ -35,7 +33,7 @@ def minute_iso(seconds: Column) -> Column:
 
 def bucket(seconds: Column, minutes: Column) -> tuple[Column, Column]:
     """[start, end) of the bucket of ``minutes`` (held to 1..1440) that holds the second."""
-    width = F.greatest(F.lit(1), F.least(minutes, F.lit(1440))) * 60
+    width = F.when(minutes.isNotNull(), F.greatest(F.lit(1), F.least(minutes, F.lit(1440))) * 60)
     start = F.floor(seconds / width) * width
     return start, start + width
 
@@ -49,7 +47,8 @@ def bucket_key(text: Column) -> Column:
 def iso_seconds(text: Column) -> Column:
     """Epoch seconds (double) of ISO text: a date, or date and time with or without a zone, UTC without one; else null."""
     t = F.trim(text)
-    dated = F.when(F.length(t) == 10, F.concat(t, F.lit("T00:00:00Z"))).when(t.rlike(r"(Z|[+-][0-9]{2}:[0-9]{2})$"), t).otherwise(F.concat(t, F.lit("Z")))
+    whole = F.regexp_replace(t, r"^(.{10}[T ][0-9]{2}:[0-9]{2})(?=Z|[+-]|$)", "$1:00")
+    dated = F.when(F.length(t) == 10, F.concat(t, F.lit("T00:00:00Z"))).when(t.rlike(r"(Z|[+-][0-9]{2}:[0-9]{2})$"), whole).otherwise(F.concat(whole, F.lit("Z")))
     return F.when(t.rlike(_ISO), dated.try_cast("timestamp").cast("double"))
 
 

@@ -68,7 +68,7 @@ def dwell(points: DataFrame, by: str, order: list[str], zone: str, max_gap: int,
     night = text.is_local_night(F.col("timestamp"), zone, night_from, night_to)
     gap = F.lead("timestamp").over(Window.partitionBy(by).orderBy(*order)) - F.col("timestamp")
     counts = night & F.col("lon").isNotNull() & F.col("lat").isNotNull()
-    return points.withColumn("night", night).withColumn("dwell_s", F.when(counts, F.greatest(F.lit(0), F.least(gap, F.lit(max_gap)))))
+    return points.withColumn("night", night).withColumn("dwell_s", F.when(counts & gap.isNotNull(), F.greatest(F.lit(0), F.least(gap, F.lit(max_gap)))))
 
 
 def dwell_cells(rows: DataFrame, by: str, cell_m: float) -> DataFrame:

@@ -137,12 +137,17 @@ def nearest_in_time(points: DataFrame, readings: DataFrame, by: str, value: str
     return out.withColumns({c: F.when(near, F.col(f"_best.v{k}")) for k, c in enumerate(names)}).drop("_s", "_reading", "_b", "_a", "_best")
 
 
-def irradiance(readings: DataFrame, by: str) -> DataFrame:
-    """watts from the running sum ``ssrd`` (joules) of each ``by``: the step's difference, or the reading itself after a
-    reset, over the step's seconds, zero at least; null for the first."""
+def irradiance(readings: DataFrame, by: str, incremental: Column | None = None) -> DataFrame:
+    """watts of each ``by`` from ``ssrd`` (joules), over the seconds since the reading before, zero at least. ssrd is a running sum:
+    its difference counts, or the reading itself after a reset; where ``incremental`` holds it is the step's own energy. Null for the
+    first, for steps without time and for null readings."""
     w = Window.partitionBy(by).orderBy("timestamp")
     step, dt = F.col("ssrd") - F.lag("ssrd").over(w), F.col("timestamp") - F.lag("timestamp").over(w)
-    return readings.withColumn("watts", F.greatest(F.lit(0.0), F.when(step < 0, F.col("ssrd")).otherwise(step) / F.when(dt > 0, dt)))
+    joules = F.when(step < 0, F.col("ssrd")).otherwise(step)
+    if incremental is not None:
+        joules = F.when(incremental, F.col("ssrd")).otherwise(joules)
+    watts = joules / F.when(dt > 0, dt)
+    return readings.withColumn("watts", F.when(watts > 0, watts).when(watts.isNotNull(), 0.0))
 
 
 def in_polygon(x: Column, y: Column, edges: str = "edges") -> Column:

@@ -66,7 +66,7 @@ def height_by_area(height: Column, area: Column) -> Column:
 
 def levels_of(height: Column) -> Column:
     """Storeys of three metres, one at least; half rounds up."""
-    return F.greatest(F.lit(1), F.floor(height / 3 + 0.5)).cast("long")
+    return F.when(height.isNotNull(), F.greatest(F.lit(1), F.floor(height / 3 + 0.5)).cast("long"))
 
 
 def height_by_type(height: Column, levels: Column, kind: Column) -> Column:

@@ -30,7 +30,7 @@ def exposed(s, d):
 
 
 _WATTS = f"""{_WEATHER}, wl AS (SELECT *, ssrd - lag(ssrd) OVER w AS step, timestamp - lag(timestamp) OVER w AS dt FROM weather WINDOW w AS (PARTITION BY grid ORDER BY timestamp)),
-  readings AS (SELECT grid, timestamp, tcc, greatest(0.0E0, CASE WHEN step < 0 THEN ssrd ELSE step END / dt) AS watts FROM wl)"""
+  readings AS (SELECT grid, timestamp, tcc, CASE WHEN step IS NOT NULL THEN greatest(0.0E0, CASE WHEN step < 0 THEN ssrd ELSE step END / dt) END AS watts FROM wl)"""
 _EXPOSED = f"""{_SHADOW}, {_WATTS}, timed AS (SELECT *, CAST(floor((lon + 74.0E0) * 100) AS BIGINT) AS grid, CASE WHEN gap IS NULL OR gap <= 0 THEN 60 ELSE least(gap, 300) END AS duration_s FROM (SELECT *, lead(timestamp) {_W} - timestamp AS gap FROM track)),
   near_w AS (SELECT t.row_index, r.tcc AS cloud, r.watts AS irradiance FROM timed t LEFT JOIN readings r ON r.grid = t.grid AND abs(r.timestamp - t.timestamp) <= 86400
     QUALIFY row_number() OVER (PARTITION BY t.row_index ORDER BY abs(r.timestamp - t.timestamp), r.timestamp) = 1),
@@ -60,7 +60,7 @@ add("fn_sunrise_sunset", lambda s, d: stays(s, d).select("row_index", (F.floor(F
 _PLACED = "CASE WHEN row_index % 13 = 0 THEN NULL ELSE lon END AS lon, lat, row_index % 3 = 0 AS stay"
 _placed = lambda s, d: _track(s, d).withColumn("lon", F.when(F.col("row_index") % 13 > 0, F.col("lon"))).withColumn("stay", F.col("row_index") % 3 == 0)
 _NIGHT = f"(hour({_LOCAL}) >= 22 OR hour({_LOCAL}) < 6)"
-_DWELL = f"""{_TRACK}, placed AS (SELECT ad_id, row_index, timestamp, {_PLACED} FROM track), dw AS (SELECT *, {_NIGHT} AS night, CASE WHEN {_NIGHT} AND lon IS NOT NULL AND lat IS NOT NULL THEN greatest(0, least(lead(timestamp) {_W} - timestamp, 7200)) END AS dwell_s FROM placed)"""
+_DWELL = f"""{_TRACK}, placed AS (SELECT ad_id, row_index, timestamp, {_PLACED} FROM track), dw AS (SELECT *, {_NIGHT} AS night, CASE WHEN {_NIGHT} AND lon IS NOT NULL AND lat IS NOT NULL AND lead(timestamp) {_W} IS NOT NULL THEN greatest(0, least(lead(timestamp) {_W} - timestamp, 7200)) END AS dwell_s FROM placed)"""
 add("win_dwell_cell", lambda s, d: x.dwell(_placed(s, d), *_ORDER, ZONE, 7200).select("row_index", "night", F.col("dwell_s").cast("long")), f"WITH {_DWELL} SELECT row_index, night, CASE WHEN dwell_s IS NOT NULL THEN dwell_s END AS dwell_s FROM dw")
 _CELLS = lambda cond: f"(SELECT ad_id, {_X} AS cx, {_Y} AS cy, CAST(sum(dwell_s) AS BIGINT) AS seconds, sum(lon * dwell_s) / nullif(sum(dwell_s), 0) AS lon, sum(lat * dwell_s) / nullif(sum(dwell_s), 0) AS lat FROM dw WHERE dwell_s IS NOT NULL AND {cond} GROUP BY ALL HAVING sum(dwell_s) > 0)"
 _BEST = "QUALIFY row_number() OVER (PARTITION BY ad_id ORDER BY seconds DESC, cx, cy) = 1"

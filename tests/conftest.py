@@ -10,7 +10,7 @@ sys.path.insert(0, str(Path(__file__).parents[1]))
 @pytest.fixture(scope="session")
 def spark():
     conf = {"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.sql.session.timeZone": "UTC", "spark.driver.memory": "6g"}
-    session = SparkSession.builder.master("local[4]").config(map=conf).getOrCreate()
+    session = SparkSession.builder.master("local[2]").config(map=conf).getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

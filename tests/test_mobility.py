@@ -4,26 +4,35 @@ import pytest
 from solterra import registry
 from solterra.operators import mobility as m
 
-SF = "/root/testdata/sf0.001"
+SF, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
 
 def plain(v):
     return "null" if v is None else f"{v:.6f}" if isinstance(v, float) else str(v)
 
 
-@pytest.mark.parametrize("name", sorted(registry.QUERIES))
-def test_query_gives_the_rows_of_its_sql(spark, name):
+def compare(spark, name, where):
     duckdb.sql("SET timezone = 'UTC'")
-    for table in ("events", "part"):
-        duckdb.sql(f"CREATE OR REPLACE VIEW {table} AS FROM '{SF}/{table}.parquet'")
+    for table in ("events", "part", "orders"):
+        duckdb.sql(f"CREATE OR REPLACE VIEW {table} AS FROM '{where}/{table}.parquet'")
     wanted = duckdb.sql(registry.SQL[name])
     columns = sorted(wanted.columns)
     at = [list(wanted.columns).index(c) for c in columns]
-    got = registry.QUERIES[name](spark, SF)
+    got = registry.QUERIES[name](spark, where)
     assert sorted(got.columns) == columns
     assert sorted(tuple(plain(r[c]) for c in columns) for r in got.collect()) == sorted(tuple(plain(r[i]) for i in at) for r in wanted.fetchall())
 
 
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+def test_query_gives_the_rows_of_its_sql(spark, name):
+    compare(spark, name, SF)
+
+
+@pytest.mark.parametrize("name", ["join_indoor", "join_point_shadow", "fn_shadow_wall", "join_point_shadow_ring", "pipe_exact_solver"])
+def test_boundaries_hold_on_the_larger_tables(spark, name):
+    compare(spark, name, LARGER)
+
+
 def test_stays_expand_to_one_instant_at_least(spark):
     rows = spark.createDataFrame([(1, 0, None), (2, 100, 50), (3, 0, 0), (4, 0, 61)], "id long, start_time long, end_time long")
     assert {r["id"]: r["count"] for r in m.expand_stays(rows).groupBy("id").count().collect()} == {1: 1, 2: 1, 3: 1, 4: 2}
