@@ -67,7 +67,7 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
     host = F.nullif(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1)), F.lit(""))
     code = F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+/([a-zA-Z]{2})(?:[/?#]|$)", 1))
     declared = F.lower(F.regexp_extract(F.coalesce("html", F.lit("")), r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([a-zA-Z]{2,3})\b", 1))
-    rows = pages.select("page_id", host.alias("host"), F.concat_ws("/", F.regexp_extract(host, r"([^.]+)$", 1), code).alias("suffix"), declared.alias("declared"), F.coalesce("html", F.lit("")).alias("html"))
+    rows = pages.select("page_id", host.alias("host"), F.nullif(F.concat_ws("/", F.regexp_extract(host, r"([^.]+)$", 1), code), F.lit("")).alias("suffix"), declared.alias("declared"), F.coalesce("html", F.lit("")).alias("html"))
     if not langs:
         return rows.select("page_id", F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("confidence"), F.lit(None).cast("string").alias("text_lang"), "declared", "suffix", "host")
     model = pages.sparkSession.sparkContext.broadcast(table)
