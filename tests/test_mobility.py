@@ -23,9 +23,21 @@ def compare(spark, name, where):
     assert sorted(tuple(plain(r[c]) for c in columns) for r in got.collect()) == sorted(tuple(plain(r[i]) for i in at) for r in wanted.fetchall())
 
 
+@pytest.fixture(scope="module")
+def quick(spark):
+    """Plans run as they are, without compiling code for each: the tables are small and the queries many."""
+    plain_ = {"spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "2"}
+    before = {k: spark.conf.get(k) for k in plain_}
+    for k, v in plain_.items():
+        spark.conf.set(k, v)
+    yield spark
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
-def test_query_gives_the_rows_of_its_sql(spark, name):
-    compare(spark, name, SF)
+def test_query_gives_the_rows_of_its_sql(quick, name):
+    compare(quick, name, SF)
 
 
 @pytest.mark.parametrize("name", ["join_indoor", "join_point_shadow", "fn_shadow_wall", "join_point_shadow_ring", "pipe_exact_solver"])
