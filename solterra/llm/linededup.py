@@ -53,7 +53,8 @@ def boilerplate_of_texts(docs: DataFrame, min_sites: int = MIN_SITES, text_col:
     hot = stage(boilerplate(rows, min_sites, "text", "site"), "hot")
     parts = F.transform(F.split("text", "\n"), _trimmed)
     total = F.aggregate(parts, F.lit(0).cast("long"), lambda n, line: n + F.length(line))
-    lines = rows.select("t1", "t2", "site", total.alias("total"), F.posexplode(parts).alias("at", "line")).where("line <> ''")
+    rows = rows.select("t1", "t2", "site", total.alias("total"), parts.alias("parts"))  # once a text, before its lines part
+    lines = rows.select("t1", "t2", "site", "total", F.posexplode("parts").alias("at", "line")).where("line <> ''")
     lines = lines.select("t1", "t2", "site", "total", "at", F.length("line").alias("n"), _line_key(F.col("line")).alias("key"))
     lines = stage(lines.select("t1", "t2", "site", "total", "at", "n", F.col("key.h1").alias("h1"), F.col("key.h2").alias("h2")).join(hot, ["h1", "h2"]).distinct(), "hot_lines")
     own = lines.groupBy("t1", "t2").agg(F.sum("n").alias("hot"), F.first("total").alias("total")).where(F.col("hot") <= (1 - OWN) * F.col("total"))
