@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import bpe, chat, decontaminate, embeddings, language, linededup, repair, reshard, simhash, tokenfiles, toxicity
+from . import align, bpe, chat, decontaminate, embeddings, language, linededup, repair, reshard, simhash, tokenfiles, toxicity
 
 QUERIES = {
     "op1_line_dedup": linededup.op1_line_dedup,
@@ -17,6 +17,7 @@ QUERIES = {
     "op8_language": language.op8_language,
     "op9_bpe": bpe.op9_bpe,
     "op10_embeddings": embeddings.op10_embeddings,
+    "op11_align": align.op11_align,
     "op13_repair": repair.op13_repair,
     "pipeline": corpus_pipeline.run,
 }
