@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import align, bpe, chat, decontaminate, embeddings, language, linededup, repair, reshard, simhash, tokenfiles, toxicity
+from . import align, bpe, chat, decontaminate, embeddings, language, linededup, repair, reshard, simhash, substrings, tokenfiles, toxicity
 
 QUERIES = {
     "op1_line_dedup": linededup.op1_line_dedup,
@@ -18,10 +18,11 @@ QUERIES = {
     "op9_bpe": bpe.op9_bpe,
     "op10_embeddings": embeddings.op10_embeddings,
     "op11_align": align.op11_align,
+    "op12_substrings": substrings.op12_substrings,
     "op13_repair": repair.op13_repair,
     "pipeline": corpus_pipeline.run,
 }
 
-SQL = {"op1_line_dedup": linededup.OP1_SQL, "op2_chat": chat.OP2_SQL, "op7_decontaminate": decontaminate.OP7_SQL}
+SQL = {"op1_line_dedup": linededup.OP1_SQL, "op2_chat": chat.OP2_SQL, "op7_decontaminate": decontaminate.OP7_SQL, "op12_substrings": substrings.OP12_SQL}
 if corpus_pipeline.ORACLE_SQL:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
