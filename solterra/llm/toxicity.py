@@ -184,14 +184,8 @@ def _curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.append(w[:-1] / spread, w[-1] - (w[:-1] * mean / spread).sum())
 
 
-def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for every row of docs, from labels (doc_id, toxic 0 or 1).
-
-    Null and empty texts have no evidence and get the score of evidence 0. Labels that are null or name no document are
-    ignored; a document labelled both ways counts as toxic. Fold 0 by crc32 of the id is never learned from. Without
-    labels of both kinds in the fold that fits the curve, every score is the toxic share of the labels learned from (0
-    without any). A null doc_id is held out. Repeated rows score alike; an empty table gives no rows.
-    """
+def _scored(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, bool]:
+    """``score`` of docs, and whether a curve could be fitted."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     table = chunk_table(docs, words_of, bags=True)
@@ -201,18 +195,34 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     evidence = stage(_evidence(table, stage(_tallies(table, counted), "tallies")), "evidence")
     fit = evidence.join(sample, "doc_id").groupBy("doc_id", "toxic").agg(F.avg("by_word").alias("by_word"), F.avg("by_kind").alias("by_kind"))
     rows = fit.select("by_word", "by_kind", "toxic").toPandas()
-    if rows["toxic"].nunique() == 2:
+    fitted = rows["toxic"].nunique() == 2
+    if fitted:
         a, b, offset = _curve(rows[["by_word", "by_kind"]].to_numpy(), rows["toxic"].to_numpy()).tolist()
         value = 1 / (1 + F.exp(-(F.lit(a) * F.col("by_word") + F.lit(b) * F.col("by_kind") + F.lit(offset))))
     else:
         value = F.lit(known.where(fold(F.col("doc_id")) > 0).agg(F.coalesce(F.avg("toxic"), F.lit(0.0)).alias("s")).first()["s"])
     held = F.coalesce(fold(F.col("doc_id")) == 0, F.lit(True))
-    return evidence.select("doc_id", held.alias("held_out"), value.alias("score"), (value >= 0.5).cast("int").alias("predicted"))
+    return evidence.select("doc_id", held.alias("held_out"), value.alias("score"), (value >= 0.5).cast("int").alias("predicted")), fitted
+
+
+def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, held_out, score, predicted) for every row of docs, from labels (doc_id, toxic 0 or 1).
+
+    Null and empty texts have no evidence and get the score of evidence 0. Labels that are null or name no document are
+    ignored; a document labelled both ways counts as toxic. Fold 0 by crc32 of the id is never learned from. Without
+    labels of both kinds in the fold that fits the curve, every score is the toxic share of the labels learned from (0
+    without any). A null doc_id is held out. Repeated rows score alike; an empty table gives no rows.
+    """
+    return _scored(docs, labels)[0]
 
 
 def keep_ordinary(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, that are not predicted toxic; rows without a doc_id stay."""
-    return docs.join(score(docs, labels).where("predicted = 1").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """The rows of docs, all columns, that are not predicted toxic; rows without a doc_id stay. Where labels of one kind, or
+    none, fit no curve, nothing tells toxic rows from others and all stay."""
+    scored, fitted = _scored(docs, labels)
+    if not fitted:
+        return docs
+    return docs.join(scored.where("predicted = 1").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
