@@ -158,6 +158,6 @@ def split_cell_key(key: Column) -> dict[str, Column]:
 
 
 def plain_number(value: Column) -> Column:
-    """Six digits behind the point at most, no trailing zeros: ``0``, ``1``, ``0.25``."""
-    text = F.format_string("%.6f", value)
+    """Six digits behind the point at most, no trailing zeros: ``0``, ``1``, ``0.25``; null stays null."""
+    text = F.when(value.isNotNull(), F.format_string("%.6f", value))
     return F.regexp_replace(F.regexp_replace(text, "0+$", ""), r"\.$", "")

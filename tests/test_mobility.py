@@ -1,3 +1,5 @@
+import math
+
 import duckdb
 import pytest
 
@@ -7,8 +9,15 @@ from solterra.operators import mobility as m
 SF, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
 
-def plain(v):
-    return "null" if v is None else f"{v:.6f}" if isinstance(v, float) else str(v)
+def place(row):
+    """Where a row sorts: nulls apart from every text, floats last and coarsely."""
+    return [(v is None, "" if v is None else str(v)) for v in row if not isinstance(v, float)], [(v is None, 0.0 if v is None else round(v, 6)) for v in row if isinstance(v, float)]
+
+
+def same(a, b):
+    if isinstance(a, float) and isinstance(b, float):
+        return math.isclose(a, b, rel_tol=1e-9, abs_tol=1.5e-6) or (math.isnan(a) and math.isnan(b))
+    return a is None and b is None if a is None or b is None else str(a) == str(b)
 
 
 def compare(spark, name, where):
@@ -20,7 +29,9 @@ def compare(spark, name, where):
     at = [list(wanted.columns).index(c) for c in columns]
     got = registry.QUERIES[name](spark, where)
     assert sorted(got.columns) == columns
-    assert sorted(tuple(plain(r[c]) for c in columns) for r in got.collect()) == sorted(tuple(plain(r[i]) for i in at) for r in wanted.fetchall())
+    rows, expected = sorted(([r[c] for c in columns] for r in got.collect()), key=place), sorted(([r[i] for i in at] for r in wanted.fetchall()), key=place)
+    assert len(rows) == len(expected)
+    assert not [(a, b) for a, b in zip(rows, expected) if not all(map(same, a, b))][:3]
 
 
 @pytest.fixture(scope="module")
