@@ -5,10 +5,10 @@ string, a super-k-mer, to their minimiser's bucket. Equal windows have equal min
 
 1. Documents become chunks of word codes (see ``chunks``). Of each chunk only its distinct minimisers are counted over the corpus: a
    minimiser that stands once marks windows that repeat nowhere, and their words never travel.
-2. Super-k-mers of repeated minimisers are packed. Of equal ones only the first, over all documents, goes to its
-   bucket: every window of the others stands earlier.
-3. A bucket sorts its windows and tells which stand earlier. Buckets of more than ``BUCKET`` different super-k-mers are
-   dealt out by window instead, so that no task holds one.
+2. Of equal super-k-mers, told by 128 bits of their words, the first over all documents leads its bucket: every window of
+   the others stands earlier. Leaders alone in their bucket settle at once and never travel either.
+3. The other leaders' words are packed and go to their bucket, which sorts its windows and tells which stand earlier. Buckets
+   of more than ``BUCKET`` leaders are dealt out by window instead, so that no task holds one.
 4. Chunks take back the runs of windows to remove, and drop the words that these cover.
 """
 
@@ -70,73 +70,97 @@ def super_kmers(hashes: np.ndarray, lengths: np.ndarray, window: int, gram: int)
 
 
 class _Chunk:
-    """A row of the chunk table, unpacked: words by code, codes, and its super-k-mers."""
+    """A row of the chunk table, unpacked: words by code, codes, and where each document begins."""
 
-    def __init__(self, row: dict, window: int, gram: int):
+    def __init__(self, row: dict):
         self.words = [w for blob in row["packs"] if blob is not None for w in unpack_words(blob)]
         self.codes = unpack(row["codes"], "<u4")[0]
-        self.ids, self.lengths = [_NULL_ID if i is None else i for i in row["doc_ids"]], np.array(row["lengths"], np.int64)
+        self.lengths = np.array(row["lengths"], np.int64)
         self.begins = np.cumsum(self.lengths) - self.lengths
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, self.words), np.uint64, len(self.words))
-        self.runs = super_kmers(hashes[self.codes], self.lengths, window, gram)
+
+    def hashed(self) -> np.ndarray:
+        """128 bits of each word of the documents."""
+        bits = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, self.words)), np.uint64).reshape(-1, 2)
+        return bits[self.codes]
 
     def text(self, a: int, b: int) -> bytes:
         return b" ".join(map(self.words.__getitem__, self.codes[a:b].tolist()))
 
 
+_COLUMNS = ["doc_ids", "lengths", "codes", "packs"]
+
+
 def _minimisers(chunks: DataFrame, window: int, gram: int) -> DataFrame:
     """(chunk, minimisers): those of each chunk that the corpus holds in more than one place."""
 
     def count(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                *_, h, times = _Chunk(row, window, gram).runs
+                chunk = _Chunk(row)
+                *_, h, times = super_kmers(chunk.hashed()[:, 0], chunk.lengths, window, gram)
                 kinds, of = np.unique(h, return_inverse=True)
                 n = np.bincount(of, times, len(kinds)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(kinds), row["chunk"], np.int64)), pa.array(kinds, pa.int64()), pa.array(np.minimum(n, 2), pa.int64())], ["chunk", "h", "n"])
 
-    held = chunks.select("chunk", "doc_ids", "lengths", "codes", "packs").mapInArrow(count, "chunk long, h long, n long").repartition("h")
+    held = chunks.select("chunk", *_COLUMNS).mapInArrow(count, "chunk long, h long, n long").repartition("h")
     often = held.groupBy("h").agg(F.sum("n").alias("times")).where("times > 1")
     return held.join(often, "h").groupBy("chunk").agg(F.collect_list("h").alias("minimisers"))
 
 
-_RUN = "h long, packed binary, doc long, chunk long, at int, start long, n int"
+def _keyed(chunks: DataFrame, repeated: DataFrame, window: int, gram: int) -> DataFrame:
+    """(h, key, doc, chunk, at, start, n, times, own): the super-k-mers of repeated minimisers, each once a chunk at its first
+    place there; own: places of the others, whose windows are repeats in any case."""
+    schema = "h long, key binary, doc long, chunk long, at int, start long, n int, times int, own array<struct<at:int,start:long>>"
+    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.struct([("at", pa.int32()), ("start", pa.int64())]))]
+    names = [x.split()[0] for x in schema.split(", ")]
 
-
-def _packed(chunks: DataFrame, repeated: DataFrame, window: int, gram: int) -> DataFrame:
-    """(h, packed, doc, chunk, at, start, n, own): the super-k-mers of repeated minimisers, each once a chunk at its first place
-    there; own: places of the others, which are repeats wherever the first stands."""
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                one = batch.slice(k, 1)
+                row = one.select(_COLUMNS).to_pylist()[0]
+                chunk, ids = _Chunk(row), [_NULL_ID if i is None else i for i in row["doc_ids"]]
+                bits = chunk.hashed()
+                runs = super_kmers(bits[:, 0], chunk.lengths, window, gram)
+                keep = np.isin(runs[3], np.asarray(one.column("minimisers").flatten()))
+                doc, start, many, h, times = (x[keep] for x in runs)
+                a = (chunk.begins[doc] + start).tolist()
+                b = (chunk.begins[doc] + start + many + window - 1).tolist()
+                number, places = one.column("chunk")[0].as_py(), {}
+                for i, (x, y, d, s) in enumerate(zip(a, b, doc.tolist(), start.tolist())):
+                    places.setdefault(xxhash.xxh3_128_digest(bits[x:y]), []).append((ids[d], d, s, i))
+                many, h, times, out = many.tolist(), h.tolist(), times.tolist(), []
+                for key, found in places.items():
+                    (order, d, s, i), *rest = sorted(found) if len(found) > 1 else found
+                    out.append((h[i], key, order, number, d, s, many[i], min(times[i], 2), [{"at": d2, "start": s2} for _, d2, s2, _ in rest]))
+                for at in range(0, len(out), 10_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out[at : at + 10_000]), kinds)], names)
+
+    rows = chunks.select("chunk", *_COLUMNS).join(repeated.hint("merge"), "chunk")
+    return stage(rows.mapInArrow(run, schema), "super_kmers")
+
+
+def _packed(chunks: DataFrame, leaders: DataFrame, window: int) -> DataFrame:
+    """(h, packed, doc, chunk, at, start, n): leaders (h, doc, chunk, at, start, n) with their words as one string."""
+    wanted = leaders.groupBy("chunk").agg(F.collect_list(F.struct("h", "doc", "at", "start", "n")).alias("runs"))
 
     def run(batches):
         for batch in batches:
             for k in range(batch.num_rows):
                 one = batch.slice(k, 1)
-                chunk = _Chunk(one.select(["doc_ids", "lengths", "codes", "packs"]).to_pylist()[0], window, gram)
-                number, hot = one.column("chunk")[0].as_py(), np.asarray(one.column("minimisers").flatten())
-                keep = np.isin(chunk.runs[3], hot)
-                doc, start, many, h = (x[keep].tolist() for x in chunk.runs[:4])
-                begins, first = chunk.begins.tolist(), {}
-                for i, (d, s, n) in enumerate(zip(doc, start, many)):
-                    text = chunk.text(begins[d] + s, begins[d] + s + n + window - 1)
-                    first.setdefault(text, []).append((chunk.ids[d], d, s, i))
-                names = ["h", "packed", "doc", "chunk", "at", "start", "n", "own"]
-                out: list[tuple] = []
-
-                def batch_of(rows):
-                    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.struct([("at", pa.int32()), ("start", pa.int64())]))]
-                    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), kinds)], names)
-
-                for text, places in first.items():
-                    (order, d, s, i), *rest = sorted(places)
-                    out.append((h[i], text, order, number, d, s, many[i], [{"at": d2, "start": s2} for _, d2, s2, _ in rest]))
-                    if len(out) == 5000:
-                        yield batch_of(out)
-                        out = []
-                if out:
-                    yield batch_of(out)
-
-    rows = chunks.select("chunk", "doc_ids", "lengths", "codes", "packs").join(repeated.hint("merge"), "chunk")
-    return stage(rows.mapInArrow(run, _RUN + ", own array<struct<at:int,start:long>>"), "super_kmers")
+                chunk, number = _Chunk(one.select(_COLUMNS).to_pylist()[0]), one.column("chunk")[0]
+                runs = one.column("runs").flatten()
+                h, doc, at, start, n = runs.flatten()
+                a = chunk.begins[np.asarray(at)] + np.asarray(start)
+                b = a + np.asarray(n) + window - 1
+                for x in range(0, len(a), 5000):
+                    some = slice(x, x + 5000)
+                    texts = pa.array([chunk.text(i, j) for i, j in zip(a[some].tolist(), b[some].tolist())], pa.binary())
+                    cut = [c.slice(x, 5000) for c in (h, doc, at, start, n)]
+                    yield pa.RecordBatch.from_arrays([cut[0], texts, cut[1], pa.array([number.as_py()] * len(texts), pa.int64()), *cut[2:]], ["h", "packed", "doc", "chunk", "at", "start", "n"])
+
+    rows = chunks.select("chunk", *_COLUMNS).join(wanted.hint("merge"), "chunk")
+    return stage(rows.mapInArrow(run, "h long, packed binary, doc long, chunk long, at int, start long, n int"), "packed")
 
 
 _ORDER = ["doc", "chunk", "at", "start"]
@@ -200,16 +224,17 @@ def _dealt_windows(rows: DataFrame, window: int) -> DataFrame:
 def repeated_windows(chunks: DataFrame, window: int = WINDOW, gram: int = GRAM, bucket: int | None = None) -> DataFrame:
     """(chunk, at, start, n): runs of n windows from word ``start`` of the chunk's document number ``at`` whose words all stand
     earlier, by doc_id, chunk, place in the chunk and start."""
-    packed = _packed(chunks, _minimisers(chunks, window, gram), window, gram)
-    dealt = packed.withColumn("place", F.struct(*_ORDER)).repartition("packed")
-    first = dealt.groupBy("packed").agg(F.min("place").alias("first"))
-    placed = stage(dealt.join(first, "packed").select(*(x.split()[0] for x in _RUN.split(", ")), "own", (F.col("place") == F.col("first")).alias("leads")), "placed")
-    own = placed.select("chunk", "n", F.explode("own").alias("x")).select("chunk", "x.at", "x.start", "n")
+    keyed = _keyed(chunks, _minimisers(chunks, window, gram), window, gram)
+    dealt = keyed.select("h", "key", *_ORDER, "n", "times", F.struct(*_ORDER).alias("place")).repartition("key")
+    first = dealt.groupBy("key").agg(F.min("place").alias("first"))
+    placed = stage(dealt.join(first, "key").select("h", *_ORDER, "n", "times", (F.col("place") == F.col("first")).alias("leads")), "placed")
+    own = keyed.select("chunk", "n", F.explode("own").alias("x")).select("chunk", "x.at", "x.start", "n")
     follow = placed.where("not leads").select("chunk", "at", "start", "n")
-    leads = placed.where("leads").drop("own", "leads")
-    large = leads.groupBy("h").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > (bucket or BUCKET)).select("h")
-    small = _sorted_buckets(leads.join(large, "h", "left_anti"), window)
-    return own.unionByName(follow).unionByName(small).unionByName(_dealt_windows(leads.join(large, "h", "left_semi"), window))
+    members = placed.where("leads").groupBy("h").agg(F.count(F.lit(1)).alias("members"), F.max("times").alias("times")).where("members > 1 or times > 1")
+    packed = _packed(chunks, placed.where("leads").drop("times", "leads").join(members.select("h"), "h", "left_semi"), window)
+    large = members.where(F.col("members") > (bucket or BUCKET)).select("h")
+    small = _sorted_buckets(packed.join(large, "h", "left_anti"), window)
+    return own.unionByName(follow).unionByName(small).unionByName(_dealt_windows(packed.join(large, "h", "left_semi"), window))
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bucket: int | None = None, text: bool = False) -> DataFrame:
@@ -228,10 +253,9 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bucket: int |
         for batch in batches:
             for k in range(batch.num_rows):
                 one = batch.slice(k, 1)
-                row = one.select(["doc_ids", "lengths", "codes", "packs"]).to_pylist()[0]
-                words = [w for blob in row["packs"] if blob is not None for w in unpack_words(blob)]
-                codes, lengths = unpack(row["codes"], "<u4")[0], np.array(row["lengths"], np.int64)
-                begins = np.cumsum(lengths) - lengths
+                row = one.select(_COLUMNS).to_pylist()[0]
+                chunk = _Chunk(row)
+                words, codes, lengths, begins = chunk.words, chunk.codes, chunk.lengths, chunk.begins
                 edge = np.zeros(len(codes) + 1, np.int64)
                 found = one.column("runs").flatten()
                 if len(found):
@@ -251,7 +275,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bucket: int |
                 columns = [pa.array(row["doc_ids"], pa.int64()), pa.array(lengths), pa.array(removed), pa.array(digests, pa.string())] + [pa.array(texts, pa.string())] * text
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["text"] * text)
 
-    rows = chunks.select("chunk", "doc_ids", "lengths", "codes", "packs").join(runs.hint("merge"), "chunk", "left")
+    rows = chunks.select("chunk", *_COLUMNS).join(runs.hint("merge"), "chunk", "left")
     return rows.mapInArrow(write, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * text)
 
 
