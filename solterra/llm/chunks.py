@@ -73,10 +73,10 @@ def rows_of(batches: Iterable[pa.RecordBatch], step: int = 100):
             yield from zip(part.column("doc_id").to_pylist(), as_bytes(part.column("text")))
 
 
-def chunk_table(docs: DataFrame, split: Callable[[bytes], Iterable], parts: int | None = None, bags: bool = False) -> DataFrame:
+def chunk_table(docs: DataFrame, split: Callable[[bytes], Iterable], parts: int | None = None, bags: bool = False, chunk_bytes: int | None = None) -> DataFrame:
     """The staged chunk table of docs (doc_id, text). ``split`` gives a text's words, as bytes or str. With ``bags`` a
     document has its distinct codes in ascending order, as differences, and how often it uses each, in place of the sequence."""
-    parts = parts or partitions(docs.sparkSession)
+    parts, full = parts or partitions(docs.sparkSession), chunk_bytes or CHUNK_BYTES
 
     def close(task: int, seq: int, ids: list, lengths: list, codes: list, words: dict) -> pa.RecordBatch:
         known = [w.encode() if isinstance(w, str) else w for w in words]
@@ -112,7 +112,7 @@ def chunk_table(docs: DataFrame, split: Callable[[bytes], Iterable], parts: int
             lengths.append(len(mine))
             codes.append(mine)
             size += len(text)
-            if size >= CHUNK_BYTES:
+            if size >= full:
                 yield close(task, seq, ids, lengths, codes, words)
                 ids, lengths, codes, words, size, seq = [], [], [], defaultdict(), 0, seq + 1
                 words.default_factory = words.__len__

@@ -28,6 +28,8 @@ from .chunks import chunk_table, gather, unpack, unpack_words
 from .common import read, stage
 
 WINDOW, GRAM = 20, 8
+#: Text of a chunk: its words' hashes and windows are arrays of some ten times that.
+CHUNK_BYTES = 5 << 20
 #: Different super-k-mers of a bucket that one task sorts.
 BUCKET = 4096
 #: Windows of a super-k-mer at most, so that a text of one word over and over gives strings of bounded length.
@@ -245,7 +247,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bucket: int |
     before in the same one. Windows are judged on the input. Kept words are joined by one space. Null and empty texts, and texts
     shorter than a window, lose nothing; an empty table gives no rows.
     """
-    chunks = chunk_table(docs, _words, parts=1)
+    chunks = chunk_table(docs, _words, parts=1, chunk_bytes=CHUNK_BYTES)
     runs = repeated_windows(chunks, window, gram, bucket)
     runs = runs.groupBy("chunk").agg(F.collect_list(F.struct("at", "start", "n")).alias("runs"))
 

@@ -140,7 +140,7 @@ def test_substrings_of_the_table(spark, monkeypatch):
     assert rows_of(substrings.op12_substrings(spark, SF)) == wanted and sum(r[2] for r in wanted) > 5000
     duckdb.sql(f"CREATE OR REPLACE VIEW documents AS FROM '{SF}/documents.parquet'")
     assert sorted_rows(duckdb.sql(f"SELECT doc_id, n_words, n_removed, kept_sha256 FROM ({substrings.OP12_SQL})").fetchall()) == wanted
-    monkeypatch.setattr("solterra.llm.chunks.CHUNK_BYTES", 20_000)  # chunks that see few documents each
+    monkeypatch.setattr(substrings, "CHUNK_BYTES", 20_000)  # chunks that see few documents each
     kept = {r.doc_id: r for r in substrings.dedup(spark.read.parquet(f"{SF}/documents.parquet"), text=True).collect()}
     assert sorted_rows((i, r.n_words, r.n_removed, hashlib.sha256(r.text.encode()).hexdigest()) for i, r in kept.items()) == wanted
 
