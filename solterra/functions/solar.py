@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+
 _DAYS = "(({t} - 946728000) / 86400.0E0)"
 _G = f"radians(357.529E0 + 0.98560028E0 * {_DAYS})"
 _L = f"radians(280.459E0 + 0.98564736E0 * {_DAYS} + 1.915E0 * sin({_G}) + 0.020E0 * sin(2 * {_G}))"
@@ -40,3 +42,29 @@ def sunrise(day: str = "day", lon: str = "lon", lat: str = "lat") -> str:
 
 def sunset(day: str = "day", lon: str = "lon", lat: str = "lat") -> str:
     return _event("+", day, lon, lat)
+
+
+def _place(t):
+    """(declination, Greenwich hour angle) of the sun at epoch seconds t, by the same formulae over arrays."""
+    days = (t - 946728000) / 86400.0
+    g = np.radians(357.529 + 0.98560028 * days)
+    length = np.radians(280.459 + 0.98564736 * days + 1.915 * np.sin(g) + 0.020 * np.sin(2 * g))
+    tilt = np.radians(23.439 - 0.00000036 * days)
+    return np.arcsin(np.sin(tilt) * np.sin(length)), np.radians((18.697374558 + 24.06570982441908 * days) * 15) - np.arctan2(np.cos(tilt) * np.sin(length), np.cos(length))
+
+
+def altitude_at(t, lon, lat):
+    """As ``altitude``, over arrays."""
+    decl, hour = _place(t)
+    return np.arcsin(np.clip(np.sin(np.radians(lat)) * np.sin(decl) + np.cos(np.radians(lat)) * np.cos(decl) * np.cos(hour + np.radians(lon)), -1.0, 1.0))
+
+
+def crossing(noon, lon, lat, limit, up: bool):
+    """Epoch second, within about a second, at which the sun passes the altitude ``limit`` before a noon (``up``) or after it."""
+    t, sign = noon, 1 if up else -1
+    for _ in range(3):
+        decl, hour = _place(t)
+        hour = np.arctan2(np.sin(hour + np.radians(lon)), np.cos(hour + np.radians(lon)))
+        half = np.arccos(np.clip((np.sin(limit) - np.sin(np.radians(lat)) * np.sin(decl)) / (np.cos(np.radians(lat)) * np.cos(decl)), -1.0, 1.0))
+        t = t - (hour + sign * half) / (2 * np.pi) * 86400
+    return t

@@ -120,9 +120,31 @@ def global_metrics(tasks: DataFrame) -> DataFrame:
     )
 
 
-def percentiles(rows: DataFrame, value: str, shares: tuple[float, ...] = (0.5, 0.9, 0.95)) -> DataFrame:
-    """Percentiles between neighbours, exact: p50, p90 ... Nulls count for nothing; no rows give nulls."""
-    return rows.agg(*(F.round(F.percentile(value, F.lit(p)), 6).alias(f"p{int(100 * p)}") for p in shares))
+def run_files(file_runs: DataFrame) -> DataFrame:
+    """As ``files``, of tasks by file as runs of minutes: each minute is a task."""
+    n = F.col("to_min") - F.col("from_min")
+    return file_runs.groupBy("file_relpath").agg(F.sum(n).alias("tasks"), F.sum(n * F.col("point_count")).alias("points"))
+
+
+def run_metrics(runs: DataFrame) -> DataFrame:
+    """As ``global_metrics``, of tasks as runs of minutes. The minutes of the globe are counted from the different stretches of each
+    hour, the cells from themselves, the rest by weight: one small row each."""
+    n = F.col("to_min") - F.col("from_min")
+    total = runs.agg(
+        F.coalesce(F.sum(n), F.lit(0)).alias("tasks"), F.sum(n * F.col("point_count")).alias("points"), F.max("point_count").alias("largest"), F.sum(n * F.col("file_count")).alias("_files"), F.max("file_count").alias("max_files")
+    )
+    cells = runs.where("cell_x is not null or cell_y is not null").select("cell_x", "cell_y").distinct().agg(F.count(F.lit(1)).alias("cells"))
+    minutes = runs.select("from_min", "to_min").distinct().select(F.explode(F.sequence(F.col("from_min"), F.col("to_min") - 1)).alias("m")).distinct().agg(F.count(F.lit(1)).alias("minutes"))
+    mean = lambda c: F.round(F.col(c) / F.nullif(F.col("tasks"), F.lit(0)), 9)
+    one = total.crossJoin(F.broadcast(cells)).crossJoin(F.broadcast(minutes))  # a row each
+    return one.select("tasks", "cells", "minutes", "points", "largest", mean("points").alias("avg_points"), mean("_files").alias("avg_files"), "max_files")
+
+
+def percentiles(rows: DataFrame, value: str, shares: tuple[float, ...] = (0.5, 0.9, 0.95), weight: Column | None = None) -> DataFrame:
+    """Percentiles between neighbours, exact: p50, p90 ... Nulls count for nothing; no rows give nulls. ``weight``: how often a row
+    counts. Equal values are counted first, so that one task sees different values alone."""
+    counts = rows.groupBy(F.col(value).alias("v")).agg(F.sum(F.lit(1) if weight is None else weight).alias("n"))
+    return counts.agg(*(F.round(F.percentile("v", F.lit(p), F.col("n")), 6).alias(f"p{int(100 * p)}") for p in shares))
 
 
 def percentiles_at(rows: DataFrame, by: list[str], value: str, shares: tuple[float, ...] = (0.9, 0.95, 0.99)) -> DataFrame:

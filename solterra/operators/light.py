@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import solar
+from .boxes import box_join
 
 DEGREE_M = 111_320.0
 TALL_CELL_M = 1000.0
@@ -20,9 +21,26 @@ def to_units(rows: DataFrame) -> DataFrame:
     return rows.withColumn("x", F.bround(F.col("lon") * UNITS).cast("long")).withColumn("y", F.bround(F.col("lat") * UNITS).cast("long"))
 
 
-def unit_metres(lat0: float) -> tuple[float, float]:
-    """Metres of a unit eastward and northward at latitude ``lat0``."""
-    return DEGREE_M * math.cos(math.radians(lat0)) / UNITS, DEGREE_M / UNITS
+#: Units of latitude that share one metric frame: within it, a unit east has the metres of its middle.
+FRAME = 5_000
+NORTH_M = DEGREE_M / UNITS
+
+
+def frame_of(y: Column) -> Column:
+    return F.floor(y / FRAME)
+
+
+def east_metres(frame: Column) -> Column:
+    """Metres of a unit eastward in a frame."""
+    return DEGREE_M * F.cos(F.radians((frame + 0.5) * (FRAME / UNITS))) / UNITS
+
+
+def _framed(rows: DataFrame, plane: bool, y0: Column, y1: Column | None = None) -> DataFrame:
+    """rows with _f, the frame of y0 or each between y0 and y1, and its metres _mx, _my; of a plane in metres there is one frame."""
+    if plane:
+        return rows.withColumn("_f", F.lit(0).cast("long")).withColumn("_mx", F.lit(1.0)).withColumn("_my", F.lit(1.0))
+    rows = rows.withColumn("_f", frame_of(y0) if y1 is None else F.explode(F.sequence(frame_of(y0), frame_of(y1))))
+    return rows.withColumn("_mx", east_metres(F.col("_f"))).withColumn("_my", F.lit(NORTH_M))
 
 
 def ring_edges(ring: str | Column = "ring") -> Column:
@@ -84,35 +102,50 @@ def indoor(points: DataFrame, buildings: DataFrame, cell: float = 100.0) -> Data
     return left.join(right, ["_x", "_y"]).where(boxed & in_ring(F.col("x"), F.col("y"))).select("row_index", "building_id")
 
 
-def shadowed(points: DataFrame, buildings: DataFrame, max_height: float, min_altitude: float = math.radians(5), cell_m: float = 100.0, unit_m: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
+def shadowed(points: DataFrame, buildings: DataFrame, max_height: float, min_altitude: float = math.radians(5), cell_m: float = 100.0, plane: bool = True) -> DataFrame:
     """(row_index, lit, in_shadow) of points (row_index, timestamp, lon, lat, x, y). lit: the sun stands above
     ``min_altitude``. in_shadow: a wall's shadow on the ground, or a footprint, covers the point. x and y of points and
-    rings have ``unit_m`` metres east and north. A point meets the buildings of the cells on its way towards the sun, as
-    far as a building of ``max_height`` throws a shadow; a taller building comes to the points of all cells that its own
-    shadow can reach, of TALL_CELL_M: ``max_height`` parts the two ways and leaves no building out. The test solves
-    P - A = s (B - A) + t d for each wall AB. Walls along the sun's direction throw no shadow of their own; a null height
-    is 0. Null positions or times are not lit; repeated rows of one row_index share their shadow."""
-    (mx, my), tall = unit_m, F.coalesce(F.col("height"), F.lit(0.0)) > max_height
+    rings are metres of a ``plane``, or else units of ``to_units``, which have the metres of the point's own frame, a belt of latitude:
+    buildings come to each frame that their shadow can reach, so that any latitude is right.
+
+    A point meets the walls of the cells on its way towards the sun, as far as a building of ``max_height`` throws a
+    shadow; a taller building comes to the points of all cells that its own shadow can reach, of TALL_CELL_M: ``max_height``
+    parts the two ways and leaves no building out. The test solves P - A = s (B - A) + t d for each wall AB. Walls along
+    the sun's direction throw no shadow of their own; a null height is 0. Null positions or times are not lit; repeated
+    rows of one row_index share their shadow."""
     sun = points.select("row_index", "x", "y", F.expr(solar.altitude()).alias("alt"), F.expr(solar.azimuth()).alias("az"))
     sun = sun.withColumn("lit", F.coalesce(F.col("alt") > min_altitude, F.lit(False)))
-    up = sun.where("lit and x is not null and y is not null").withColumn("ux", F.sin("az") / F.tan("alt") / mx).withColumn("uy", F.cos("az") / F.tan("alt") / my)
-    short = _ray_cells(up, F.col("x") - max_height * F.col("ux"), F.col("y") - max_height * F.col("uy"), cell_m / mx, cell_m / my)
-    b = with_edges(buildings.where(~tall)).withColumn("height", F.coalesce("height", F.lit(0.0)))
-    low = short.join(_cells(b, b.x0, b.x1, b.y0, b.y1, cell_m / mx, cell_m / my), ["_x", "_y"])
-    b = with_edges(buildings.where(tall))
-    reach = b.height / math.tan(min_altitude)
-    wide = _cells(b, b.x0 - reach / mx, b.x1 + reach / mx, b.y0 - reach / my, b.y1 + reach / my, TALL_CELL_M / mx, TALL_CELL_M / my)
-    high = _cells(up, up.x, up.x, up.y, up.y, TALL_CELL_M / mx, TALL_CELL_M / my).join(wide, ["_x", "_y"])
-    dx, dy = F.col("height") * F.col("ux"), F.col("height") * F.col("uy")
-    x, y = F.col("x"), F.col("y")
-
-    def wall(e: Column) -> Column:
-        det = (e.bx - e.ax) * dy - (e.by - e.ay) * dx
-        s, t = ((x - e.ax) * dy - (y - e.ay) * dx), ((e.bx - e.ax) * (y - e.ay) - (e.by - e.ay) * (x - e.ax))
-        return (det != 0) & F.try_divide(s, det).between(0, 1) & F.try_divide(t, det).between(0, 1)
-
-    near = (x >= F.least("x0", F.col("x0") + dx)) & (x <= F.greatest("x1", F.col("x1") + dx)) & (y >= F.least("y0", F.col("y0") + dy)) & (y <= F.greatest("y1", F.col("y1") + dy))
-    hits = low.unionByName(high).where(near & (F.exists("edges", wall) | in_ring(x, y))).select("row_index").distinct()
+    x, y, mx, my = F.col("x"), F.col("y"), F.col("_mx"), F.col("_my")
+    up = _framed(sun.where("lit and x is not null and y is not null"), plane, y)
+    up = up.select("row_index", "x", "y", "_f", "_mx", "_my", (F.sin("az") / F.tan("alt") / mx).alias("ux"), (F.cos("az") / F.tan("alt") / my).alias("uy"))
+    walls = buildings.where(F.size("ring") > 0).select(F.coalesce("height", F.lit(0.0)).alias("height"), F.explode(ring_edges()).alias("e")).select("height", "e.*").distinct()
+    north, far = (1.0 if plane else NORTH_M), 1 / math.tan(min_altitude)
+    bounds = F.least("ax", "bx"), F.greatest("ax", "bx"), F.least("ay", "by"), F.greatest("ay", "by")
+
+    low = walls.where(F.col("height") <= max_height)
+    low = _framed(low, plane, bounds[2] - max_height * far / north, bounds[3] + max_height * far / north)
+    low = _cells(low, *bounds, cell_m / mx, cell_m / my).drop("_mx", "_my")
+    way = _ray_cells(up, x - max_height * F.col("ux"), y - max_height * F.col("uy"), cell_m / mx, cell_m / my).drop("_mx", "_my")
+
+    tall = walls.where(F.col("height") > max_height).withColumn("_r", F.col("height") * far)
+    tall = _framed(tall, plane, bounds[2] - F.col("_r") / north, bounds[3] + F.col("_r") / north)
+    tall = _cells(tall, bounds[0] - F.col("_r") / mx, bounds[1] + F.col("_r") / mx, bounds[2] - F.col("_r") / my, bounds[3] + F.col("_r") / my, TALL_CELL_M / mx, TALL_CELL_M / my).drop("_mx", "_my", "_r")
+    here = _cells(up, x, x, y, y, TALL_CELL_M / mx, TALL_CELL_M / my).drop("_mx", "_my")
+
+    def struck(p: DataFrame, w: DataFrame) -> DataFrame:
+        """row_index of points p on which a wall of w throws its shadow. Both sides are dealt out by cell: the work is in the pairs of
+        a cell, however few files the points come from, and a crowded cell can be split."""
+        w = w.withColumnsRenamed({c: f"w{c}" for c in ("_f", "_x", "_y")}).hint("merge")
+        dx, dy = F.col("height") * F.col("ux"), F.col("height") * F.col("uy")
+        ax, ay, bx, by = (F.col(c) for c in ("ax", "ay", "bx", "by"))
+        det = (bx - ax) * dy - (by - ay) * dx
+        s, t = ((x - ax) * dy - (y - ay) * dx), ((bx - ax) * (y - ay) - (by - ay) * (x - ax))
+        between = lambda v: F.when(det > 0, (v >= 0) & (v <= det)).when(det < 0, (v <= 0) & (v >= det))
+        hit = (det != 0) & between(s) & between(t)
+        return p.join(w, [F.col("_f") == F.col("w_f"), F.col("_x") == F.col("w_x"), F.col("_y") == F.col("w_y"), hit], "left_semi").select("row_index")
+
+    inside = indoor(up, buildings, cell_m).select("row_index")
+    hits = struck(way, low).unionByName(struck(here, tall)).unionByName(inside).distinct()
     return sun.join(hits.withColumn("_hit", F.lit(True)), "row_index", "left").select("row_index", "lit", F.coalesce("_hit", F.lit(False)).alias("in_shadow"))
 
 
@@ -177,20 +210,24 @@ def touches_polygon(buildings: DataFrame, polygon: list[tuple[int, int]]) -> Dat
     return boxed.where(vertex_in | corner_in | crossing).drop("_e", "_p", "_c")
 
 
-def within_reach(targets: DataFrame, buildings: DataFrame, margin: float, max_height: float, unit_m: tuple[float, float], cell_m: float = 200.0) -> DataFrame:
+def within_reach(targets: DataFrame, buildings: DataFrame, margin: float, plane: bool = False) -> DataFrame:
     """(task_id, building_id): buildings (building_id, height, x0 .. y1) that can shade a target box (task_id, x0 .. y1, elevation in
-    radians above 0): those no farther from it than their own shadow and ``margin`` metres. A target goes to the cells within
-    the reach of ``max_height``, no building may be higher (the job fails on one). Targets with the sun down keep none."""
-    mx, my = unit_m
+    radians): those no farther from it than their own shadow and ``margin`` metres, measured in the frame of the target's middle.
+    Targets with the sun down keep none; a null height is 0. Buildings are classed by powers of two of their height, and a target
+    looks for each class within that class's reach, by a join of boxes of any size: no height or elevation is too much."""
     up = targets.where("elevation > 0").select("task_id", *(F.col(c).alias(f"t{c}") for c in ("x0", "x1", "y0", "y1")), "elevation")
-    far = max_height / F.tan("elevation") + margin
-    t = _cells(up, F.col("tx0") - far / mx, F.col("tx1") + far / mx, F.col("ty0") - far / my, F.col("ty1") + far / my, cell_m / mx, cell_m / my)
-    low = F.when(F.col("height") <= max_height, F.col("height")).otherwise(F.raise_error(F.lit("a building is higher than max_height")))
-    b = _cells(buildings.withColumn("height", low), F.col("x0"), F.col("x1"), F.col("y0"), F.col("y1"), cell_m / mx, cell_m / my)
-    gap = lambda a0, a1, b0, b1, m: F.greatest(F.lit(0.0), F.greatest(F.col(b0) - F.col(a1), F.col(a0) - F.col(b1)) * m)
-    apart = F.hypot(gap("tx0", "tx1", "x0", "x1", mx), gap("ty0", "ty1", "y0", "y1", my))
-    met = t.join(b, ["_x", "_y"]).where(apart <= F.col("height") / F.tan("elevation") + margin)
-    return met.select("task_id", "building_id").distinct()
+    frame = frame_of((F.col("ty0") + F.col("ty1")) / 2)
+    mx, my = (F.lit(1.0), F.lit(1.0)) if plane else (east_metres(frame), F.lit(NORTH_M))
+    tall = F.greatest(F.coalesce("height", F.lit(0.0)), F.lit(0.0))
+    b = buildings.select("building_id", tall.alias("height"), "x0", "x1", "y0", "y1", F.greatest(F.lit(0), F.ceil(F.log2(tall))).cast("int").alias("_class"))
+    b = b.withColumns({"min_lon": F.col("x0"), "max_lon": F.col("x1"), "min_lat": F.col("y0"), "max_lat": F.col("y1")})
+    classes = [r[0] for r in b.select("_class").distinct().collect()]  # as many as a height has powers of two
+    t = up.withColumns({"_mx": mx, "_my": my, "_class": F.explode(F.array(*map(F.lit, classes or [0])))})
+    far = F.pow(F.lit(2.0), F.col("_class")) / F.tan("elevation") + margin
+    t = t.withColumns({"west": F.col("tx0") - far / F.col("_mx"), "east": F.col("tx1") + far / F.col("_mx"), "south": F.col("ty0") - far / F.col("_my"), "north": F.col("ty1") + far / F.col("_my")})
+    gap = lambda a0, a1, b0, b1, m: F.greatest(F.lit(0.0), F.greatest(F.col(b0) - F.col(a1), F.col(a0) - F.col(b1)) * F.col(m))
+    apart = F.hypot(gap("tx0", "tx1", "x0", "x1", "_mx"), gap("ty0", "ty1", "y0", "y1", "_my"))
+    return box_join(t, b, ["_class"], globe=False).where(apart <= F.col("height") / F.tan("elevation") + margin).select("task_id", "building_id")
 
 
 def indoor_by_partition(points: DataFrame, partitions: DataFrame, cell: int) -> DataFrame:
@@ -202,12 +239,6 @@ def indoor_by_partition(points: DataFrame, partitions: DataFrame, cell: int) ->
     return p.join(b, ["px", "py"]).where(boxed & in_ring(F.col("x"), F.col("y"))).select("row_index", "building_id")
 
 
-def coverage(points: DataFrame, lit: DataFrame, by: list[str]) -> DataFrame:
-    """Per ``by`` of points (row_index): the share of them in shadow in per cent, and how many; null where the sun is down for all."""
-    joined = points.join(lit, "row_index")
-    return joined.groupBy(*by).agg(F.round(F.avg(F.when(F.col("lit"), F.col("in_shadow").cast("double"))) * 100, 9).alias("coverage"), F.count(F.lit(1)).alias("n"))
-
-
 def sun_profile(points: DataFrame, lit: DataFrame, by: list[str], step_s: int) -> DataFrame:
     """Per ``by`` of points at instants ``step_s`` apart: minutes in the sun."""
     return points.join(lit, "row_index").groupBy(*by).agg((F.count_if(F.col("lit") & ~F.col("in_shadow")) * step_s / 60).alias("sun_min"))

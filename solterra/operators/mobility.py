@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_m, mercator_cell
 from ..functions.text import utc
+from .daylight import lit_count
 
 
 def expand_stays(stays: DataFrame, step: int = 60) -> DataFrame:
@@ -122,13 +123,69 @@ def lit_spans(stays: DataFrame, lit: Callable[[str], Column], step: int = 60) ->
     return span.select("ad_id", "row_index", "cell_x", "cell_y", F.col("s.a").alias("start_ts"), F.col("s.b").alias("end_ts"), ((F.col("s.b") - F.col("s.a")) / step + 1).cast("long").alias("n"))
 
 
-def span_tasks(spans: DataFrame, tasks: DataFrame) -> DataFrame:
-    """Spans with the tasks (KEYS, more) of their cell whose minute lies in them: an equi-join on the cell and the hours that a
-    span touches, then the exact bounds, so that a busy cell is spread over its hours. Null cells meet nothing."""
-    hours = F.explode(F.sequence(F.floor(F.col("start_ts") / 3600), F.floor(F.col("end_ts") / 3600)))
-    s = spans.withColumn("_hour", hours)
-    t = tasks.withColumn("_hour", F.floor(F.col("minute_ts") / 3600))
-    return s.join(t, ["cell_x", "cell_y", "_hour"]).where("minute_ts between start_ts and end_ts").drop("_hour")
+def file_runs(stays: DataFrame) -> DataFrame:
+    """Tasks by file as runs of minutes: (cell_x, cell_y, hour, from_min, to_min, file_relpath, point_count, west .. north), of stays
+    whose instants are a minute apart. Within from_min..to_min (numbers of minutes, the last not included) the same stays are in the
+    cell, so that each of its minutes has this row's counts and bounds.
+
+    A stay is cut by hours, not minutes. The starts and ends within an hour of a cell, sixty at most, are gathered by
+    aggregation, and each piece takes the stretches between them that it spans: what meets in a cell and hour is summed
+    before it is counted, and a crowded cell is spread over its hours. Stays without a start give none; a null cell is one."""
+    first = F.floor(F.col("start_time") / 60)
+    length = F.greatest(F.coalesce(F.col("end_time"), F.col("start_time")) - F.col("start_time"), F.lit(0))
+    s = with_cell(stays.where("start_time is not null")).select("cell_x", "cell_y", "file_relpath", "lon", "lat", first.alias("_a"), (first + F.greatest(F.lit(1), F.ceil(length / 60))).alias("_b"))
+    s = s.withColumn("hour", F.explode(F.sequence(F.floor(F.col("_a") / 60), F.floor((F.col("_b") - 1) / 60))))
+    s = s.withColumn("_a", F.greatest("_a", F.col("hour") * 60)).withColumn("_b", F.least("_b", F.col("hour") * 60 + 60))
+    s = s.withColumn("_cell", F.xxhash64(F.col("cell_x").isNull(), "cell_x", "cell_y", "hour"))  # one key that is never null
+    keys = ["_cell", "cell_x", "cell_y", "hour"]
+    marks = s.groupBy(*keys).agg(F.array_sort(F.array_union(F.collect_set("_a"), F.collect_set("_b"))).alias("_marks"))
+    runs = F.transform(F.slice("_marks", 1, F.size("_marks") - 1), lambda m, i: F.struct(m.alias("a"), F.get("_marks", i + 1).alias("b")))
+    marks = marks.select("_cell", *(F.col(c).alias(f"_k{c}") for c in keys[1:]), runs.alias("_runs"))
+    same = F.col("_cell") == F.col("_k_cell")
+    for c in keys[1:]:
+        same = same & F.col(c).eqNullSafe(F.col(f"_k{c}"))
+    met = s.join(marks.withColumnRenamed("_cell", "_k_cell"), same).select(*keys, "file_relpath", "lon", "lat", F.explode(F.filter("_runs", lambda r: (r.a >= F.col("_a")) & (r.b <= F.col("_b")))).alias("r"))
+    return met.groupBy(*keys, F.col("r.a").alias("from_min"), F.col("r.b").alias("to_min"), "file_relpath").agg(
+        F.count(F.lit(1)).alias("point_count"), F.min("lon").alias("west"), F.min("lat").alias("south"), F.max("lon").alias("east"), F.max("lat").alias("north")
+    )
+
+
+def task_runs(stays: DataFrame) -> DataFrame:
+    """Tasks as runs of minutes: ``file_runs`` over all files, with file_count; a null file counts for no file."""
+    return file_runs(stays).groupBy("_cell", "cell_x", "cell_y", "hour", "from_min", "to_min").agg(
+        F.sum("point_count").alias("point_count"), F.count("file_relpath").alias("file_count"), F.min("west").alias("west"), F.min("south").alias("south"), F.max("east").alias("east"), F.max("north").alias("north")
+    ).drop("_cell")
+
+
+def minutes_of_runs(runs: DataFrame) -> DataFrame:
+    """A row for each minute of each run: minute_ts in place of hour, from_min and to_min."""
+    return runs.withColumn("minute_ts", F.explode(F.sequence(F.col("from_min") * 60, (F.col("to_min") - 1) * 60, F.lit(60).cast("long")))).drop("_cell", "hour", "from_min", "to_min")
+
+
+def hourly_runs(runs: DataFrame) -> DataFrame:
+    """``hourly`` of tasks as runs: a minute of a task is at night if the sun is down at the middle of its bounds, or these are unknown."""
+    n = F.col("to_min") - F.col("from_min")
+    lit = lit_count(runs.withColumn("_n", n), F.col("from_min") * 60, n, (F.col("west") + F.col("east")) / 2, (F.col("south") + F.col("north")) / 2)
+    sums = lit.groupBy("hour").agg(
+        F.sum("_n").alias("task_count"), F.sum(F.col("_n") * F.col("point_count")).alias("point_count"), F.sum(F.col("_n") * F.col("file_count")).alias("file_count"),
+        F.max("file_count").alias("max_files"), F.sum(F.col("_n") - F.col("lit")).alias("night_task_count"),
+    )
+    at = utc(F.col("hour") * 3600)
+    mean = lambda c: F.round(F.col(c) / F.col("task_count"), 9)
+    return sums.select(
+        F.date_format(at, "yyyy-MM-dd").alias("minute_date"), F.hour(at).cast("long").alias("minute_hour"), "task_count", "point_count", "file_count", mean("point_count").alias("avg_points_per_task"),
+        mean("file_count").alias("avg_files_per_task"), "max_files", "night_task_count",
+    )
+
+
+def span_minutes(spans: DataFrame, runs: DataFrame) -> DataFrame:
+    """Spans (cell_x, cell_y, start_ts, end_ts, more) with the runs (see ``task_runs``) of their cell that they share minutes with: first_min,
+    last_min of these, by an equi-join on the cell and the hours that a span touches. Null cells meet nothing."""
+    first, last = F.ceil(F.col("start_ts") / 60), F.floor(F.col("end_ts") / 60)
+    s = spans.withColumns({"_first": first, "_last": last}).where("_first <= _last").withColumn("hour", F.explode(F.sequence(F.floor(F.col("_first") / 60), F.floor(F.col("_last") / 60))))
+    met = s.join(runs.select("cell_x", "cell_y", "hour", "from_min", "to_min"), ["cell_x", "cell_y", "hour"])
+    met = met.withColumns({"first_min": F.greatest("_first", "from_min"), "last_min": F.least(F.col("_last"), F.col("to_min") - 1)})
+    return met.where("first_min <= last_min").drop("_first", "_last", "hour", "from_min", "to_min")
 
 
 def partition_grid(spark, west: float, south: float, east: float, north: float, cells: int) -> DataFrame:
@@ -143,18 +200,6 @@ def partition_grid(spark, west: float, south: float, east: float, north: float,
     )
 
 
-def box_join(boxes: DataFrame, catalog: DataFrame, cell_deg: float = 0.01) -> DataFrame:
-    """Boxes (west, south, east, north, more) with the rectangles (min_lon .. max_lat, more) that they touch, edges included.
-    Both sides go to the grid cells they cover and join on the cell; a pair counts in the first cell of its overlap."""
-    at = lambda c: F.floor(c / cell_deg)
-    covered = lambda a, b: F.explode(F.sequence(at(a), at(b)))
-    left = boxes.withColumn("_x", covered(F.col("west"), F.col("east"))).withColumn("_y", covered(F.col("south"), F.col("north")))
-    right = catalog.withColumn("_x", covered(F.col("min_lon"), F.col("max_lon"))).withColumn("_y", covered(F.col("min_lat"), F.col("max_lat")))
-    touch = (F.col("west") <= F.col("max_lon")) & (F.col("east") >= F.col("min_lon")) & (F.col("south") <= F.col("max_lat")) & (F.col("north") >= F.col("min_lat"))
-    first = (F.col("_x") == at(F.greatest("west", "min_lon"))) & (F.col("_y") == at(F.greatest("south", "min_lat")))
-    return left.join(right, ["_x", "_y"]).where(touch & first).drop("_x", "_y")
-
-
 def quality_flags(stays: DataFrame) -> DataFrame:
     """One row: stays, and those without id, with an end before the start, outside the globe, and over an hour. What is null
     breaks none of the last three rules; no stays give zeros."""

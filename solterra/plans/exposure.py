@@ -8,7 +8,7 @@ from ..functions import geo, solar, text
 from ..operators import exposure as x
 from ..operators import light, mobility, reports
 from ..sources.views import STAYS_SQL, stays, view, view_sql, weather
-from .light import _SHADOW, _WEATHER, LAT0, _buildings, _points
+from .light import _MY, _SHADOW, _WEATHER, _buildings, _points, mx
 from .mobility import _ORDER, _TRACK, _W, _X, _Y, _track
 
 QUERIES, SQL = {}, {}
@@ -23,7 +23,7 @@ def add(name: str, query, sql: str) -> None:
 def exposed(s, d):
     """Every stay's start with light, shadow, weather and duration."""
     rows = mobility.durations(_track(s, d), *_ORDER).withColumn("grid", F.floor((F.col("lon") + 74.0) * 100)).select("row_index", "ad_id", "timestamp", "lon", "lat", "grid", "duration_s")
-    lit = light.shadowed(_points(s, d), _buildings(s, d), max_height=60.0, unit_m=light.unit_metres(LAT0))
+    lit = light.shadowed(_points(s, d), _buildings(s, d), max_height=60.0, plane=False)
     readings = light.irradiance(weather(s, d), "grid").withColumnsRenamed({"tcc": "cloud", "watts": "irradiance"})
     both = light.nearest_in_time(rows, readings, "grid", ["cloud", "irradiance"]).join(lit, "row_index")
     return x.integrated(x.effective(both.withColumn("sunlit", (F.col("lit") & ~F.col("in_shadow")).cast("int"))))
@@ -80,9 +80,9 @@ def irbm(s, d, hours=(8, 12, 17), buffers=(50, 100), n=3):
     step = F.explode(F.sequence(F.lit(1), F.lit(n)))
     spots = grid.withColumn("i", step).withColumn("j", step).withColumn("row_index", F.xxhash64("ad_id", "date", "hour", "buffer_m", "i", "j"))
     away = lambda k: (2.0 * F.col(k) / (n + 1) - 1) * F.col("buffer_m")
-    mx, my = light.unit_metres(LAT0)
-    spots = light.to_units(spots).withColumn("x", F.col("x") + F.bround(away("i") / mx).cast("long")).withColumn("y", F.col("y") + F.bround(away("j") / my).cast("long"))
-    lit = light.shadowed(spots.select("row_index", "timestamp", "lon", "lat", "x", "y"), _buildings(s, d), max_height=60.0, unit_m=(mx, my))
+    east = light.east_metres(light.frame_of(F.col("y")))  # of the home's frame
+    spots = light.to_units(spots).withColumn("x", F.col("x") + F.bround(away("i") / east).cast("long")).withColumn("y", F.col("y") + F.bround(away("j") / light.NORTH_M).cast("long"))
+    lit = light.shadowed(spots.select("row_index", "timestamp", "lon", "lat", "x", "y"), _buildings(s, d), max_height=60.0, plane=False)
     cover = spots.join(lit, "row_index").groupBy("ad_id", "date", "buffer_m", "timestamp", "lon").agg(F.avg((~F.col("in_shadow")).cast("double")).alias("sunlit"))
     readings = light.irradiance(weather(s, d), "grid").withColumnsRenamed({"tcc": "cloud", "watts": "irradiance"})
     rows = light.nearest_in_time(cover.drop("date").withColumn("grid", F.floor((F.col("lon") + 74.0) * 100)), readings, "grid", ["cloud", "irradiance"])
@@ -90,7 +90,7 @@ def irbm(s, d, hours=(8, 12, 17), buffers=(50, 100), n=3):
     return x.daily(rows, ["ad_id", "buffer_m"], ZONE)
 
 
-_MX, _MY = "(111320.0E0 * cos(radians(40.7E0)) / 100000)", "(111320.0E0 / 100000)"
+_MX = mx("round_even(lat * 100000, 0)")
 _SPOTS = f"""h2 AS (SELECT ad_id, round(lon, 9) AS lon, round(lat, 9) AS lat FROM home), hg AS (SELECT hours.*, lon, lat FROM hours JOIN h2 USING (ad_id)),
   day AS (SELECT * FROM hg WHERE {solar.altitude()} > radians(5.0)),
   spots AS (SELECT *, CAST(round_even(lon * 100000, 0) AS BIGINT) + CAST(round_even((2.0E0 * i / 4 - 1) * buffer_m / {_MX}, 0) AS BIGINT) AS x, CAST(round_even(lat * 100000, 0) AS BIGINT) + CAST(round_even((2.0E0 * j / 4 - 1) * buffer_m / {_MY}, 0) AS BIGINT) AS y FROM day, range(1, 4) a(i), range(1, 4) b(j)),

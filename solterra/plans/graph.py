@@ -6,23 +6,24 @@ from pyspark.sql import functions as F
 
 from ..operators import graph as gr
 from ..operators import mobility as m
+from ..operators.boxes import box_join
 from ..sources.views import STAYS_SQL, stays, view, view_sql
-from .mobility import _GRID, _POINTS, _points, _tasks, partitions
+from .mobility import _GRID, _POINTS, _points, _runs, _tasks, partitions, tasks_of
 
 QUERIES, SQL = {}, {}
 _EDGES = f"{_POINTS}, {_GRID}"
 
 
 def _edges(s, d):
-    return m.box_join(_tasks(s, d), partitions(s))
+    return tasks_of(box_join(_runs(s, d), partitions(s)))
 
 
 def add(name: str, query, sql: str) -> None:
     QUERIES[name], SQL[name] = query, sql
 
 
-add("join_task_tile", lambda s, d: m.box_join(gr.padded(_tasks(s, d).where("point_count > 1"), 500.0), partitions(s)).select("task_id", F.col("partition_id").alias("tile_id")),
-    f"""WITH {_EDGES}, p AS (SELECT *, 500.0E0 / 111320 AS a, CASE WHEN abs(cos(radians((south + north) / 2))) < 1e-6 THEN 180.0 ELSE 500.0E0 / 111320 / abs(cos(radians((south + north) / 2))) END AS o FROM tasks WHERE point_count > 1)
+add("join_task_tile", lambda s, d: tasks_of(box_join(gr.padded(_runs(s, d), 500.0), partitions(s))).select("task_id", F.col("partition_id").alias("tile_id")),
+    f"""WITH {_EDGES}, p AS (SELECT *, 500.0E0 / 111320 AS a, CASE WHEN abs(cos(radians((south + north) / 2))) < 1e-6 THEN 180.0 ELSE 500.0E0 / 111320 / abs(cos(radians((south + north) / 2))) END AS o FROM tasks)
       SELECT task_id, partition_id AS tile_id FROM p JOIN grid ON west - o <= max_lon AND east + o >= min_lon AND south - a <= max_lat AND north + a >= min_lat""")
 add("join_available_edges", lambda s, d: gr.with_all_partitions(_edges(s, d), partitions(s).where("length(partition_id) % 2 = 1")),
     f"WITH {_EDGES} SELECT task_id, count(*) AS partitions FROM edges GROUP BY 1 HAVING count(*) = count(*) FILTER (length(partition_id) % 2 = 1)")

@@ -8,7 +8,6 @@ from ..functions import solar
 from ..operators import light, tracks
 from ..sources.views import STAYS_SQL, WEATHER_SQL, buildings, stays, weather
 
-LAT0 = 40.7
 _ORDER = ("ad_id", ["timestamp", "row_index"])
 _TRACK = STAYS_SQL + ", track AS (SELECT *, start_time AS timestamp FROM stays)"
 _W = "OVER (PARTITION BY ad_id ORDER BY timestamp, row_index)"
@@ -34,10 +33,19 @@ def _weathered(spark, d):
     return light.nearest_in_time(p, weather(spark, d), "grid", "tcc")
 
 
+def _spread(spark, d):
+    """Points and buildings in six scenes, eight degrees of latitude apart, from 24 to 65 degrees north."""
+    move = lambda k: (F.col(k) % 6 * 8 - 16.0)
+    points = light.to_units(_track(spark, d).withColumn("lat", F.col("lat") + move("ad_id"))).select("row_index", "timestamp", "lon", "lat", "x", "y")
+    up = (F.col("building_id") % 6 * 8 - 16) * light.UNITS
+    return points, _buildings(spark, d).withColumn("ring", F.transform("ring", lambda p: F.struct(p.x.alias("x"), (p.y + up).alias("y"))))
+
+
 QUERIES = {
+    "join_point_shadow_latitudes": lambda s, d: light.shadowed(*_spread(s, d), max_height=60.0, plane=False),
     "fn_sun_position": lambda s, d: _track(s, d).select("row_index", F.round(F.expr(solar.altitude()), 6).alias("altitude"), F.round(F.expr(solar.azimuth()), 6).alias("azimuth")),
     "join_indoor": lambda s, d: light.indoor(_points(s, d), _buildings(s, d)),
-    "join_point_shadow": lambda s, d: light.shadowed(_points(s, d), _buildings(s, d), max_height=60.0, unit_m=light.unit_metres(LAT0)),
+    "join_point_shadow": lambda s, d: light.shadowed(_points(s, d), _buildings(s, d), max_height=60.0, plane=False),
     "join_weather_nearest": lambda s, d: _weathered(s, d),
     "fn_irradiance": lambda s, d: light.irradiance(weather(s, d), "grid", F.col("grid") == 3).select("grid", "timestamp", F.round("watts", 6).alias("watts")),
     "win_segment_length": lambda s, d: tracks.long_segments(_track(s, d), *_ORDER, max_gap=21600, least_s=400).select("row_index", "segment", "segment_s"),
@@ -64,7 +72,8 @@ _ON = f"{_TURN} = 0 AND x BETWEEN least(ax, bx) AND greatest(ax, bx) AND y BETWE
 _INDOOR = f"inside AS (SELECT row_index, id FROM points JOIN edges ON abs(x - cx) < 60 AND abs(y - cy) < 60 GROUP BY row_index, id HAVING sum({_CROSS}) % 2 = 1 OR bool_or({_ON}))"
 _ALT = f"({solar.altitude()})"
 _REACH = "abs(x - ax) < 40 + height * abs(ux) AND abs(y - ay) < 40 + height * abs(uy)"
-_MX, _MY = "(111320.0E0 * cos(radians(40.7E0)) / 100000)", "(111320.0E0 / 100000)"
+mx = lambda y: f"(111320.0E0 * cos(radians((floor(({y}) / 5000.0E0) + 0.5E0) * 0.05E0)) / 100000)"
+_MX, _MY = mx("y"), "(111320.0E0 / 100000)"
 _WEATHER = WEATHER_SQL
 _SEG = f"""sl AS (SELECT *, timestamp - lag(timestamp) {_W} AS dt FROM {{src}}),
 s AS (SELECT *, sum(CASE WHEN dt IS NULL OR dt <= 0 OR dt > {{gap}} THEN 1 ELSE 0 END) {_W} AS seg FROM sl),
@@ -77,7 +86,12 @@ _SHADOW = f"""{_POINTS}, {_BUILDINGS}, {_INDOOR}, sun AS MATERIALIZED (SELECT *,
         AND ((bx - ax) * (y - ay) - (by_ - ay) * (x - ax)) / det BETWEEN 0 AND 1),
       shadow AS MATERIALIZED (SELECT row_index, alt > radians(5) AS lit, alt > radians(5) AND (row_index IN (FROM hit) OR row_index IN (SELECT row_index FROM inside)) AS in_shadow FROM sun)"""
 
+_FAR_POINTS = f"{_TRACK}, points AS (SELECT row_index, timestamp, lon, lat, {_UNITS} FROM (SELECT * REPLACE (lat + (ad_id % 6 * 8 - 16.0E0) AS lat) FROM track))"
+_FAR_EDGES = "edges AS (SELECT id, height, ax, ay + up AS ay, bx, by_ + up AS by_, cx, cy + up AS cy FROM (SELECT *, (id % 6 * 8 - 16) * 100000 AS up FROM edges_here))"
+_FAR = _SHADOW.replace(_POINTS, _FAR_POINTS, 1).replace("edges AS (SELECT p.id", "edges_here AS (SELECT p.id", 1).replace(f", {_INDOOR}", f", {_FAR_EDGES}, {_INDOOR}", 1)
+
 SQL = {
+    "join_point_shadow_latitudes": f"WITH {_FAR} SELECT row_index, lit, in_shadow FROM shadow",
     "fn_sun_position": f"WITH {_TRACK} SELECT row_index, round({solar.altitude()}, 6) AS altitude, round({solar.azimuth()}, 6) AS azimuth FROM track",
     "join_indoor": f"WITH {_POINTS}, {_BUILDINGS}, {_INDOOR} SELECT row_index, id AS building_id FROM inside",
     "join_point_shadow": f"WITH {_SHADOW} SELECT row_index, lit, in_shadow FROM shadow",

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import solar
-from ..operators import exposure as x
+from ..operators import daylight
 from ..operators import graph as gr
 from ..operators import mobility as m
+from ..operators.boxes import box_join
 from ..sources.views import STAYS_SQL, stays
 
 _X = "CAST(floor(radians(lon) * 6378137.0E0 / 250.0E0) AS BIGINT)"
@@ -27,8 +28,17 @@ def _points(spark, d):
     return m.task_points(stays(spark, d))
 
 
+def _runs(spark, d):
+    return m.task_runs(stays(spark, d))
+
+
+def tasks_of(runs):
+    """Tasks by minute, with their text keys, of runs of minutes."""
+    return m.named(m.minutes_of_runs(runs))
+
+
 def _tasks(spark, d):
-    return m.task_stats(_points(spark, d))
+    return tasks_of(_runs(spark, d))
 
 
 def _track(spark, d):
@@ -40,7 +50,7 @@ _BOX = (-74.01, 40.69, -73.95, 40.73)
 
 
 def _lit_spans(spark, d):
-    return m.lit_spans(stays(spark, d), x.is_day)
+    return daylight.lit_spans(m.with_cell(stays(spark, d)).select("row_index", "cell_x", "cell_y", "start_time", "end_time", "lon", "lat"))
 
 
 def partitions(spark):
@@ -48,30 +58,25 @@ def partitions(spark):
 
 
 def _partitioned(spark, d):
-    return m.box_join(_tasks(spark, d), partitions(spark))
-
-
-def _night(tasks):
-    middle = tasks.withColumn("lon", (F.col("west") + F.col("east")) / 2).withColumn("lat", (F.col("south") + F.col("north")) / 2)
-    return middle.withColumn("is_night", (~x.is_day("minute_ts")).cast("int"))
+    return tasks_of(box_join(_runs(spark, d), partitions(spark)))
 
 
 QUERIES = {
     "gen_expand_stay": lambda s, d: m.expand_stays(stays(s, d)).select("row_index", "ad_id", "timestamp"),
-    "gen_daylight_filter": lambda s, d: x.daylight(m.expand_stays(stays(s, d))).groupBy("row_index").agg(F.count(F.lit(1)).alias("n"), F.min("timestamp").alias("first")),
+    "gen_daylight_filter": lambda s, d: _lit_spans(s, d).groupBy("row_index").agg(F.sum("n").alias("n"), F.min("start_ts").alias("first")),
     "agg_task_stats": _tasks,
-    "agg_membership_count": lambda s, d: m.memberships(_points(s, d)),
-    "agg_hourly": lambda s, d: m.hourly(_night(m.cells(_points(s, d)))),
-    "agg_files": lambda s, d: gr.files(m.memberships(_points(s, d))),
-    "agg_global_metrics": lambda s, d: gr.global_metrics(_tasks(s, d)),
-    "agg_percentile": lambda s, d: gr.percentiles(m.cells(_points(s, d)), "point_count"),
+    "agg_membership_count": lambda s, d: tasks_of(m.file_runs(stays(s, d))).select("task_id", "file_relpath", "point_count"),
+    "agg_hourly": lambda s, d: m.hourly_runs(_runs(s, d)),
+    "agg_files": lambda s, d: gr.run_files(m.file_runs(stays(s, d))),
+    "agg_global_metrics": lambda s, d: gr.run_metrics(_runs(s, d)),
+    "agg_percentile": lambda s, d: gr.percentiles(_runs(s, d), "point_count", weight=F.col("to_min") - F.col("from_min")),
     "srt_topk_tasks": lambda s, d: m.top_tasks(_tasks(s, d), 50).select("task_id", "point_count"),
     "win_duration": lambda s, d: m.durations(_track(s, d), *_ORDER).select("row_index", "duration_s"),
     "win_speed_jump": lambda s, d: m.speed_jumps(_track(s, d), *_ORDER, max_gap=86400, max_kmh=0.5).select("row_index", F.round("speed_kmh", 6).alias("speed_kmh"), "jump"),
     "win_gap_segments": lambda s, d: m.gap_segments(_track(s, d), *_ORDER, max_gap=86400).select("row_index", "segment"),
     "win_span_rle": lambda s, d: _lit_spans(s, d).select("row_index", "start_ts", "end_ts", "n"),
-    "join_span_task": lambda s, d: m.span_tasks(_lit_spans(s, d), m.cells(_points(s, d)).select(*m.KEYS)).groupBy("row_index").agg(F.count(F.lit(1)).alias("n_tasks"), F.min("minute_ts").alias("first_minute")),
-    "join_task_partition": lambda s, d: m.box_join(gr.padded(_tasks(s, d), 100.0), partitions(s)).select("task_id", "partition_id", "minute_ts", "cell_key", "point_count", "file_count", "min_lon", "min_lat", "max_lon", "max_lat"),
+    "join_span_task": lambda s, d: m.span_minutes(_lit_spans(s, d), _runs(s, d)).groupBy("row_index").agg(F.sum(F.col("last_min") - F.col("first_min") + 1).alias("n_tasks"), (F.min("first_min") * 60).alias("first_minute")),
+    "join_task_partition": lambda s, d: tasks_of(box_join(gr.padded(_runs(s, d), 100.0), partitions(s))).select("task_id", "partition_id", "minute_ts", "cell_key", "point_count", "file_count", "min_lon", "min_lat", "max_lon", "max_lat"),
     "agg_partition_fanout": lambda s, d: gr.partition_fanout(_partitioned(s, d)).withColumn("avg_points_per_task", F.round("avg_points_per_task", 9)),
     "agg_task_fanout": lambda s, d: gr.task_fanout(_partitioned(s, d)),
     "flt_quality_flags": lambda s, d: m.quality_flags(stays(s, d)),

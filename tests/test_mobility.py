@@ -5,6 +5,7 @@ import pytest
 
 from solterra import registry
 from solterra.operators import mobility as m
+from solterra.operators.boxes import box_join
 
 SF, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
@@ -74,4 +75,4 @@ def test_durations_clamp(spark):
 def test_boxes_that_touch_an_edge_match_once(spark):
     boxes = spark.createDataFrame([("t", 0.0, 0.0, 0.05, 0.05)], "task_id string, west double, south double, east double, north double")
     catalog = spark.createDataFrame([("p", 0.05, 0.05, 0.1, 0.1), ("q", 0.06, 0.0, 0.1, 0.1)], "partition_id string, min_lon double, min_lat double, max_lon double, max_lat double")
-    assert [r.partition_id for r in m.box_join(boxes, catalog).collect()] == ["p"]
+    assert [r.partition_id for r in box_join(boxes, catalog).collect()] == ["p"]
