@@ -17,43 +17,57 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, read, stage
 
-#: Hash slots of trigrams (with one row for each language, the model's size is bounded), trigrams that count in full, smoothing.
-SLOTS, FULL, SMOOTH = 1 << 16, 60, 2.0
+#: Trigrams of a page that count in full, smoothing; trigrams that a task counts at a time.
+FULL, SMOOTH, HELD = 60, 2.0, 1 << 22
 
 _MARKUP = re.compile(rb"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&#?\w+;", re.S | re.I)
 
 
 def trigrams(text: bytes) -> np.ndarray:
-    """Hash slots of the byte trigrams of the text in lower case, white space as one space."""
-    data = np.frombuffer(b" " + b" ".join(text.lower().split()) + b" ", np.uint8).astype(np.int64)
-    return ((data[:-2] << 16 | data[1:-1] << 8 | data[2:]) * 0x9E3779B1 >> 15) % SLOTS
+    """The byte trigrams of the text in lower case, white space as one space, as whole numbers."""
+    data = np.frombuffer(b" " + b" ".join(text.lower().split()) + b" ", np.uint8).astype(np.int32)
+    return data[:-2] << 16 | data[1:-1] << 8 | data[2:]
 
 
 def text_model(docs: DataFrame) -> DataFrame:
-    """(lang, slot, n): trigram counts of all documents (lang, text) by language; null languages and texts add nothing."""
+    """(lang, gram, n): trigram counts of all documents (lang, text) by language; null languages and texts add nothing. There are
+    2^24 trigrams a language at most, each counted by itself."""
 
     def count(batches):
-        sums: dict[str, np.ndarray] = {}
+        held: dict[str, list[np.ndarray]] = {}
+        size = 0
+
+        def told():
+            for lang, parts in held.items():
+                grams, n = np.unique(np.concatenate(parts), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams.astype(np.int32)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
+
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), as_bytes(batch.column("text"))):
-                sums.setdefault(lang, np.zeros(SLOTS, np.int64))
                 for at in range(0, len(text), 1 << 20):
-                    sums[lang] += np.bincount(trigrams(text[at : at + (1 << 20)]), minlength=SLOTS)
-        for lang, n in sums.items():
-            slots = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(slots), pa.string()), pa.array(slots.astype(np.int32)), pa.array(n[slots])], ["lang", "slot", "n"])
+                    held.setdefault(lang, []).append(trigrams(text[at : at + (1 << 20)]))
+                    size += len(held[lang][-1])
+                    if size >= HELD:
+                        yield from told()
+                        held, size = {}, 0
+        yield from told()
 
     rows = docs.where("lang is not null and text is not null").select("lang", "text")
-    return rows.mapInArrow(count, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def _log_table(model: DataFrame) -> tuple[list[str], np.ndarray]:
-    rows = model.toArrow()  # at most SLOTS rows a language
-    langs = sorted(set(rows.column("lang").to_pylist()))
-    at = {lang: i for i, lang in enumerate(langs)}
-    counts = np.zeros((len(langs), SLOTS))
-    counts[[at[x] for x in rows.column("lang").to_pylist()], np.asarray(rows.column("slot"))] = np.asarray(rows.column("n"))
-    return langs, np.log((counts + 0.5) / (counts.sum(axis=1, keepdims=True) + 0.5 * SLOTS)).astype(np.float32)
+def _log_table(model: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(languages, their trigrams in order, logarithms by language and trigram, the last for trigrams that no language has)."""
+    rows = model.toArrow()  # at most 2^24 rows a language
+    if not rows.num_rows:
+        return [], np.zeros(0, np.int32), np.zeros((0, 1), np.float32)
+    coded = rows.column("lang").combine_chunks().dictionary_encode()
+    names = coded.dictionary.to_pylist()
+    langs = sorted(names)
+    grams, at = np.unique(np.asarray(rows.column("gram")), return_inverse=True)
+    counts = np.zeros((len(langs), len(grams) + 1))
+    counts[np.array([langs.index(x) for x in names])[np.asarray(coded.indices)], at] = np.asarray(rows.column("n"))
+    return langs, grams, np.log((counts + 0.5) / (counts.sum(axis=1, keepdims=True) + 0.5 * counts.shape[1])).astype(np.float32)
 
 
 def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
@@ -63,7 +77,7 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
     that declares nothing, or no language code, counts as declaring none. Ties go to the first language in alphabetical order. Without labelled documents
     lang is null. Repeated rows stay; an empty table gives no rows.
     """
-    langs, table = _log_table(text_model(docs))
+    langs, *table = _log_table(text_model(docs))
     host = F.nullif(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1)), F.lit(""))
     code = F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+/([a-zA-Z]{2})(?:[/?#]|$)", 1))
     declared = F.lower(F.regexp_extract(F.coalesce("html", F.lit("")), r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([a-zA-Z]{2,3})\b", 1))
@@ -73,12 +87,15 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
     model = pages.sparkSession.sparkContext.broadcast(table)
 
     def weigh(batches):
+        known, logs = model.value
         for batch in batches:
             scores = np.zeros((batch.num_rows, len(langs)))
             for k, html in enumerate(as_bytes(batch.column("html"))):
-                slots = trigrams(_MARKUP.sub(b" ", html))
-                if len(slots) > 1:
-                    scores[k] = model.value[:, slots].sum(axis=1, dtype=float) * min(1.0, FULL / len(slots))
+                grams = trigrams(_MARKUP.sub(b" ", html))
+                if len(grams) > 1:
+                    at = np.searchsorted(known, grams)
+                    at[known[np.minimum(at, len(known) - 1)] != grams] = len(known)
+                    scores[k] = logs[:, at].sum(axis=1, dtype=float) * min(1.0, FULL / len(grams))
             scores -= np.logaddexp.reduce(scores, axis=1, keepdims=True)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, scores.size + 1, len(langs), dtype=np.int32)), pa.array(scores.reshape(-1)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "host", "suffix", "declared")), lists], ["page_id", "host", "suffix", "declared", "text"])

@@ -69,14 +69,14 @@ def _without(text, places):
     return F.array_join(F.transform(F.array(F.split(text, "\n")), kept)[0], "\n")  # the array of one makes split run once
 
 
-def drop_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, text_col: str = "text", site_col: str = "source", id_col: str = "doc_id", keep_copies: bool = False, counts: bool = True) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, text_col: str = "text", site_col: str = "source", id_col: str = "doc_id", keep_copies: bool = False, counts: bool = True, keep_last: bool = False) -> DataFrame:
     """docs with boilerplate lines cut from the text, all its columns, and with ``counts`` n_lines, n_removed (long), which
     take the place of columns of these names.
 
     Lines are parted by line feeds and compared without blanks, tabs and carriage returns around them; blank lines stay.
     A null text stays null with no lines; a text of which all lines go is empty. Rows are told apart by (id, hash of the
     text), a null id being one too: rows that share both lose the same lines. An empty table gives no rows. With
-    ``keep_copies`` lines go by ``boilerplate_of_texts``.
+    ``keep_copies`` lines go by ``boilerplate_of_texts``; with ``keep_last`` a text that would be left without a word stays as it is.
     """
     gone = stage((boilerplate_of_texts if keep_copies else boilerplate)(docs, min_sites, text_col, site_col), "boilerplate")
     # All columns of docs travel as one, so that none can clash.
@@ -87,7 +87,10 @@ def drop_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, text_col: str
     places = lines.join(gone, ["h1", "h2"]).groupBy("id", "hash").agg(F.array_sort(F.collect_set("at")).alias("places"))
     places = places.select(F.col("id").alias("of"), F.col("hash").alias("of_hash"), "places")
     joined = rows.join(places, F.col("id").eqNullSafe(F.col("of")) & (F.col("hash") == F.col("of_hash")), "left")
-    text = F.when(F.col("places").isNull(), F.col("body")).otherwise(_without(F.col("body"), F.col("places")))
+    left = _without(F.col("body"), F.col("places"))
+    if keep_last:
+        left = F.transform(F.array(left), lambda t: F.when(t.rlike(r"\S"), t).otherwise(F.col("body")))[0]  # worked out once
+    text = F.when(F.col("places").isNull(), F.col("body")).otherwise(left)
     out = [(text if c == text_col else F.col("doc").getField(c)).alias(c) for c in docs.columns if not (counts and c in ("n_lines", "n_removed"))]
     if counts:
         n = F.when(F.col("body").isNull(), 0).otherwise(F.size(F.split("body", "\n")))

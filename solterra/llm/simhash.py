@@ -307,7 +307,7 @@ def similar_links(docs: DataFrame, nodes: DataFrame, shingle_words: int, similar
     return found.unionByName(more.groupBy("key", "i", "j").applyInArrow(verify, "a long, b long").distinct())
 
 
-def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, max_bits: int | None = None, distinct: bool = True) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, max_bits: int | None = None, distinct: bool = True, layout: tuple[int, int, int, int] | None = None) -> DataFrame:
     """(doc_id, fp, component_id) for every row of docs (doc_id, text).
 
     With ``max_bits`` fingerprints of 64 bits link at that distance, all of them. Else documents link whose shingle sets
@@ -316,8 +316,11 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: float =
     texts: fingerprint zero, linked with each other. Rows of equal text link; a row whose doc_id is null gets the
     component of its fingerprint, null if only such rows have it. Repeated rows stay as rows of one component; texts that
     share a doc_id are one node. An empty table gives no rows.
+
+    Which pairs at the border are found hangs on ``layout`` (see ``plan``); by default it follows the number of documents, so
+    give it where tables of different sizes are to agree: ``plan(n, similarity)`` for the largest serves all smaller ones.
     """
-    words, bits, segments, limit = plan(docs.count(), similarity) if max_bits is None else (1, 32, 2, max_bits)
+    words, bits, segments, limit = (layout or plan(docs.count(), similarity)) if max_bits is None else (1, 32, 2, max_bits)
     fps = stage(fingerprints(docs, shingle_words, words, distinct), "fingerprints")
     classes = stage(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")), "classes")
     if max_bits is None:

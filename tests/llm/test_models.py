@@ -88,14 +88,15 @@ def test_fusion_is_bayes_by_hand(spark):
     rows = language.identify(spark.createDataFrame(pages, "page_id long, url string, html string"), spark.createDataFrame(docs, "lang string, text string")).collect()
     langs = ["de", "en", "fr"]
 
-    def slots(t):
+    def grams(t):
         return language.trigrams(t.encode()).tolist()
 
-    counts = {k: Counter(slots(t)) for k, t in docs}
-    log = lambda k, s: math.log((counts[k][s] + 0.5) / (sum(counts[k].values()) + 0.5 * language.SLOTS))
+    counts = {k: Counter(grams(t)) for k, t in docs}
+    kinds = len(set().union(*counts.values())) + 1  # and one for all that none has
+    log = lambda k, s: math.log((counts[k][s] + 0.5) / (sum(counts[k].values()) + 0.5 * kinds))
     text = {}
     for i, _, html in pages:
-        got = slots(language._MARKUP.sub(b" ", (html or "").encode()).decode())
+        got = grams(language._MARKUP.sub(b" ", (html or "").encode()).decode())
         raw = [sum(log(k, s) for s in got) * min(1.0, language.FULL / len(got)) if len(got) > 1 else 0.0 for k in langs]
         norm = math.log(sum(math.exp(x - max(raw)) for x in raw)) + max(raw)
         text[i] = [math.exp(x - norm) for x in raw]

@@ -13,7 +13,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from solterra.llm import align, repair, substrings, toxicity
+from solterra.llm import align, language, linededup, repair, simhash, substrings, toxicity
 
 SF = "/root/testdata/sf0.001"
 ROW = "doc_id long, text string, h long, chunk long, n long"
@@ -238,3 +238,25 @@ def test_repair_orders_equal_costs_by_audit():
 def test_no_document_goes_without_a_fitted_curve(spark, labels):
     docs = spark.createDataFrame([(i, f"clean text number {i}") for i in range(40)], "doc_id long, text string")
     assert toxicity.keep_ordinary(docs, spark.createDataFrame(labels, "doc_id long, toxic int")).count() == 40
+
+
+def test_each_trigram_counts_by_itself(spark, monkeypatch):
+    monkeypatch.setattr(language, "HELD", 5)  # counts are handed on in the middle of a table
+    docs = spark.createDataFrame([("de", "abc  ABC"), ("de", None), (None, "abc"), ("en", "abd\n")], "lang string, text string")
+    got = {(r.lang, r.gram.to_bytes(3)): r.n for r in language.text_model(docs).collect()}
+    assert got == {("de", b" ab"): 2, ("de", b"abc"): 2, ("de", b"bc "): 2, ("de", b"c a"): 1, ("en", b" ab"): 1, ("en", b"abd"): 1, ("en", b"bd "): 1}
+
+
+def test_a_text_of_boilerplate_alone_stays_if_asked(spark):
+    rows = [(i, f"own words of number {i} that are many more than the rest\nshared line", f"s{i}") for i in range(8)] + [(90, "shared line", "x"), (91, " shared line \n\n", "y"), (92, None, "z"), (93, "", "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r.text for r in linededup.drop_boilerplate(docs, keep_copies=True, keep_last=True).collect()}
+    assert got[90] == "shared line" and got[91] == " shared line \n\n" and got[0] == "own words of number 0 that are many more than the rest" and got[92] is None and got[93] == ""
+    assert {r.doc_id: r.text for r in linededup.drop_boilerplate(docs, keep_copies=True).collect()}[90] == ""
+
+
+def test_a_given_layout_holds_at_any_size(spark):
+    texts = [" ".join(f"w{k}" for k in range(40)), " ".join(f"w{k}" for k in range(41)), "quite another text of a few words"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    layout = simhash.plan(1 << 30, 0.8)
+    assert {r.doc_id: (len(r.fp), r.component_id) for r in simhash.near_duplicates(docs, layout=layout).collect()} == {0: (layout[0], 0), 1: (layout[0], 0), 2: (layout[0], 2)}
