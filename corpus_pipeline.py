@@ -27,8 +27,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that stand on five sources or more, over different documents and not copies of one, go from the texts; every
-    document stays."""
-    return _counted(linededup.drop_boilerplate(docs, keep_copies=True, counts=False))
+    document stays, and one of nothing but such lines stays as it is, for the next stage to compare."""
+    return _counted(linededup.drop_boilerplate(docs, keep_copies=True, counts=False, keep_last=True))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
