@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import solar
 from .boxes import box_join
+from .reports import ssrd_mode
 
 DEGREE_M = 111_320.0
 TALL_CELL_M = 1000.0
@@ -171,14 +172,16 @@ def nearest_in_time(points: DataFrame, readings: DataFrame, by: str, value: str
 
 
 def irradiance(readings: DataFrame, by: str, incremental: Column | None = None) -> DataFrame:
-    """watts of each ``by`` from ``ssrd`` (joules), over the seconds since the reading before, zero at least. ssrd is a running sum:
-    its difference counts, or the reading itself after a reset; where ``incremental`` holds it is the step's own energy. Null for the
-    first, for steps without time and for null readings."""
+    """watts of each ``by`` from ``ssrd`` (joules), over the seconds since the reading before, zero at least. Where ``incremental``
+    holds, ssrd is the step's own energy; else it is a running sum: its difference counts, or the reading itself after a reset. Without
+    ``incremental`` the readings of each ``by`` tell (see ``ssrd_mode``). Null for the first, for steps without time and for
+    null readings."""
+    if incremental is None:
+        told = ssrd_mode(readings, by).select(F.col(by).alias("_by"), (F.col("mode") == "incremental").alias("_own"))
+        return irradiance(readings.join(told, F.col(by).eqNullSafe(F.col("_by")), "left"), by, F.coalesce("_own", F.lit(False))).drop("_by", "_own")
     w = Window.partitionBy(by).orderBy("timestamp")
     step, dt = F.col("ssrd") - F.lag("ssrd").over(w), F.col("timestamp") - F.lag("timestamp").over(w)
-    joules = F.when(step < 0, F.col("ssrd")).otherwise(step)
-    if incremental is not None:
-        joules = F.when(incremental, F.col("ssrd")).otherwise(joules)
+    joules = F.when(incremental | (step < 0), F.col("ssrd")).otherwise(step)
     watts = joules / F.when(dt > 0, dt)
     return readings.withColumn("watts", F.when(watts > 0, watts).when(watts.isNotNull(), 0.0))
 

@@ -30,7 +30,8 @@ def exposed(s, d):
 
 
 _WATTS = f"""{_WEATHER}, wl AS (SELECT *, ssrd - lag(ssrd) OVER w AS step, timestamp - lag(timestamp) OVER w AS dt FROM weather WINDOW w AS (PARTITION BY grid ORDER BY timestamp)),
-  readings AS (SELECT grid, timestamp, tcc, CASE WHEN step IS NOT NULL THEN greatest(0.0E0, CASE WHEN step < 0 THEN ssrd ELSE step END / dt) END AS watts FROM wl)"""
+  modes AS (SELECT grid, count(*) >= 10 AND count(*) FILTER (step < -1e-3) / (count(*) - 1) > 0.2 AS own FROM wl GROUP BY grid),
+  readings AS (SELECT grid, timestamp, tcc, CASE WHEN step IS NOT NULL THEN greatest(0.0E0, CASE WHEN own OR step < 0 THEN ssrd ELSE step END / dt) END AS watts FROM wl JOIN modes USING (grid))"""
 _EXPOSED = f"""{_SHADOW}, {_WATTS}, timed AS (SELECT *, CAST(floor((lon + 74.0E0) * 100) AS BIGINT) AS grid, CASE WHEN gap IS NULL OR gap <= 0 THEN 60 ELSE least(gap, 300) END AS duration_s FROM (SELECT *, lead(timestamp) {_W} - timestamp AS gap FROM track)),
   near_w AS (SELECT t.row_index, r.tcc AS cloud, r.watts AS irradiance FROM timed t LEFT JOIN readings r ON r.grid = t.grid AND abs(r.timestamp - t.timestamp) <= 86400
     QUALIFY row_number() OVER (PARTITION BY t.row_index ORDER BY abs(r.timestamp - t.timestamp), r.timestamp) = 1),

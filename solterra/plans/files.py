@@ -51,23 +51,21 @@ def _boxes(s, d):
 
 _BOXES = f"{_BUILDINGS}, boxes AS (SELECT id AS building_id, height, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM m GROUP BY 1, 2)"
 _IN = "x0 <= -7398000 AND x1 >= -7399000 AND y0 <= 4071500 AND y1 >= 4070500"
-_where = (-7399000, 4070500, -7398000, 4071500)
+BOX = (-7399000, 4070500, -7398000, 4071500)
 
 
 def _partitioned(s, d, path):
     return f.write_partitions(_boxes(s, d), "partition_id", path)
 
 
-def _boxed(s, d):
+def boxed(s, d):
     path = fresh(s, "boxes")
     f.write_parquet(_boxes(s, d), path)
-    return f.boxed_parquet(s, path, *_where)
+    return f.boxed_parquet(s, path, *BOX)
 
 
-add("src_geoparquet_bbox", lambda s, d: _boxed(s, d).select("building_id", "x0", "y0"), f"WITH {_BOXES} SELECT building_id, x0, y0 FROM boxes WHERE {_IN}")
-add("flt_bbox_geom", lambda s, d: _boxed(s, d).join(_buildings(s, d).select("building_id", "ring"), "building_id").where(F.exists("ring", lambda p: p.x.between(_where[0], _where[2]) & p.y.between(_where[1], _where[3]))).select("building_id"),
-    f"WITH {_BOXES} SELECT DISTINCT id AS building_id FROM m WHERE x BETWEEN -7399000 AND -7398000 AND y BETWEEN 4070500 AND 4071500")
-add("src_vector_file_bbox", lambda s, d: _boxed(s, d).orderBy("building_id").limit(10).select("building_id"), f"WITH {_BOXES} SELECT building_id FROM boxes WHERE {_IN} ORDER BY building_id LIMIT 10")
+add("src_geoparquet_bbox", lambda s, d: boxed(s, d).select("building_id", "x0", "y0"), f"WITH {_BOXES} SELECT building_id, x0, y0 FROM boxes WHERE {_IN}")
+add("src_vector_file_bbox", lambda s, d: boxed(s, d).orderBy("building_id").limit(10).select("building_id"), f"WITH {_BOXES} SELECT building_id FROM boxes WHERE {_IN} ORDER BY building_id LIMIT 10")
 add("sink_parquet_copy", lambda s, d: (lambda p: (f.write_parquet(_boxes(s, d), p), s.read.parquet(p))[1])(fresh(s, "copy")).select("building_id", "height"), f"WITH {_BOXES} SELECT building_id, height FROM boxes")
 add("sink_csv_copy", lambda s, d: f.csv_rows(s, _csv(s, d)).select("row_index", "cloud"),
     f"WITH {_L} SELECT CAST(row_index AS VARCHAR) AS row_index, CASE WHEN cloud IS NULL THEN '' WHEN cloud = floor(cloud) THEN CAST(CAST(cloud AS BIGINT) AS VARCHAR) ELSE CAST(cloud AS VARCHAR) END AS cloud FROM light_rows")
@@ -77,8 +75,9 @@ add("sink_geoparquet_partition", lambda s, d: _partitioned(s, d, fresh(s, "parts
 def _from_manifest(s, d):
     path, listed = fresh(s, "parts"), fresh(s, "manifest")
     _partitioned(s, d, path)
-    s.range(8).select(F.col("id").alias("partition_id"), F.concat(F.lit(f"{path}/partition_id="), F.col("id").cast("string")).alias("path")).write.option("header", True).csv(listed)
-    return f.partition_files(s, listed, s.range(3).withColumnRenamed("id", "partition_id")).select("building_id", "height")
+    written = _boxes(s, d).select("partition_id").distinct()  # a manifest names what was written
+    written.select("partition_id", F.concat(F.lit(f"{path}/partition_id="), F.col("partition_id").cast("string")).alias("path")).write.option("header", True).csv(listed)
+    return f.partition_files(s, listed, s.range(3).withColumnRenamed("id", "partition_id"), _boxes(s, d).drop("partition_id").schema).select("building_id", "height")
 
 
 add("src_manifest_parquet", _from_manifest, f"WITH {_BOXES} SELECT building_id, height FROM boxes WHERE building_id % 8 < 3")
@@ -89,7 +88,7 @@ def _target_manifest(s, d):
     f.write_partitions(view(s, d, "light_rows").select("row_index", (F.col("ad_id") % 5).alias("k")), "k", root)
     lines = ["# files", "", "k=1", "k=3", "k=1", "k=99"]
     s.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(f"{root}-list")
-    return s.read.option("basePath", root).parquet(*f.manifest(s, f"{root}-list", root, skip_missing=True)).select("row_index")
+    return f.parquet_at(s, f.manifest(s, f"{root}-list", root, skip_missing=True), "row_index long, k long", root).select("row_index")
 
 
 add("src_target_manifest", _target_manifest, f"WITH {_L} SELECT row_index FROM light_rows WHERE ad_id % 5 IN (1, 3)")
@@ -110,7 +109,7 @@ def _chunked(s, d):
     work = lambda todo: todo.withColumn("double_s", F.col("duration_s") * 2)
     f.write_chunks(rows.where("chunk < 3"), work, path)  # a run that got as far as that
     f.write_chunks(rows, work, path)
-    return s.read.parquet(f"{path}/rows").select(F.col("chunk").cast("long"), "task_id", "double_s")
+    return f.parquet_at(s, [f"{path}/rows"], work(rows).schema, f"{path}/rows").select(F.col("chunk").cast("long"), "task_id", "double_s")
 
 
 add("sink_checkpoint", _chunked, f"WITH {_L} SELECT row_index % 6 AS chunk, row_index AS task_id, duration_s * 2 AS double_s FROM light_rows")
@@ -130,15 +129,15 @@ def _monthly(s, d):
     top = fresh(s, "cube")
     cube = weather(s, d).withColumn("year", F.year(F.timestamp_seconds("timestamp"))).withColumn("month", F.month(F.timestamp_seconds("timestamp")))
     f.write_partitions(cube.withColumn("ym", F.col("year") * 100 + F.col("month")).drop("year", "month"), "ym", top)
-    return f.monthly(s, f"{top}/ym=%Y%m", ["1999-01", "2024-01"]).select("grid", "timestamp", "tcc")
+    return f.monthly(s, f"{top}/ym=%Y%m", ["1999-01", "2024-01"], schema=weather(s, d).schema).select("grid", "timestamp", "tcc")
 
 
 add("src_era5", _monthly, f"WITH {STAYS_SQL}, {WEATHER_SQL} SELECT grid, timestamp, tcc FROM weather WHERE strftime(to_timestamp(timestamp) AT TIME ZONE 'UTC', '%Y-%m') IN ('1999-01', '2024-01')")
 _cube = lambda s, d, k: stays(s, d).select(F.col("row_index").alias("timestamp"), "lat", "lon", (F.col("row_index") % k).cast("double").alias("value"))
 add("src_era5_zip_merge", lambda s, d: f.merged_cube({"tcc": _cube(s, d, 7), "ssrd": _cube(s, d, 11)}), f"WITH {STAYS_SQL} SELECT row_index AS timestamp, lat, lon, CAST(row_index % 7 AS DOUBLE) AS tcc, CAST(row_index % 11 AS DOUBLE) AS ssrd FROM stays")
-_LINES = "SELECT event_id AS line_no, concat('a,', event_id, CASE WHEN event_id % 3 = 0 THEN ',x,y,z,end' WHEN event_id % 3 = 1 THEN ',x,end' ELSE '' END) AS text FROM events"
-add("fn_csv_repair", lambda s, d: f.repaired(s.read.parquet(f"{d}/events.parquet").selectExpr("'f' as file", "event_id as line_no", "concat('a,', event_id, CASE WHEN event_id % 3 = 0 THEN ',x,y,z,end' WHEN event_id % 3 = 1 THEN ',x,end' ELSE '' END) as text"), 4, 3).select("line_no", F.array_join("fields", "|").alias("fields")),
-    f"SELECT line_no, CASE line_no % 3 WHEN 0 THEN concat('a|', line_no, '|x y z|end') WHEN 1 THEN concat('a|', line_no, '|x|end') ELSE concat('a|', line_no, '||') END AS fields FROM ({_LINES})")
+_LINES = "SELECT event_id AS line_no, concat(CASE WHEN event_id % 7 = 0 THEN '\"x,\"\"y\"' ELSE 'a' END, ',', event_id, CASE WHEN event_id % 3 = 0 THEN ',x,y,z,end' WHEN event_id % 3 = 1 THEN ',x,end' ELSE '' END) AS text FROM events"
+add("fn_csv_repair", lambda s, d: f.repaired(s.read.parquet(f"{d}/events.parquet").selectExpr("'f' as file", "event_id as line_no", "concat(CASE WHEN event_id % 7 = 0 THEN '\"x,\"\"y\"' ELSE 'a' END, ',', event_id, CASE WHEN event_id % 3 = 0 THEN ',x,y,z,end' WHEN event_id % 3 = 1 THEN ',x,end' ELSE '' END) as text"), 4, 3).select("line_no", F.array_join("fields", "|").alias("fields")),
+    f"SELECT line_no, concat(CASE WHEN line_no % 7 = 0 THEN '\"x,\"\"y\"' ELSE 'a' END, '|', line_no, CASE line_no % 3 WHEN 0 THEN '|x y z|end' WHEN 1 THEN '|x|end' ELSE '||' END) AS fields FROM ({_LINES})")
 
 
 def _stream(s, d):

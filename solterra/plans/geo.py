@@ -163,11 +163,11 @@ QUERIES["gen_hotspot_subgrid"] = lambda s, d: (lambda p: shapes.refined(p, p.whe
 SQL["gen_hotspot_subgrid"] = f"""WITH {_TILES}, {_CUT}, hot AS (SELECT min_lon AS w, min_lat AS s, max_lon AS e, max_lat AS n FROM grid WHERE min_lon < -60),
   fine AS (SELECT *, round(w + i * 0.125E0, 10) AS min_lon, round(s + j * 0.125E0, 10) AS min_lat FROM (SELECT *, unnest(range(CAST(ceil((n - s - 1e-12) / 0.125E0) AS BIGINT))) AS j FROM (SELECT *, unnest(range(CAST(ceil((e - w - 1e-12) / 0.125E0) AS BIGINT))) AS i FROM hot))),
   b AS (SELECT *, least(e, round(min_lon + 0.125E0, 10)) AS max_lon, least(n, round(min_lat + 0.125E0, 10)) AS max_lat FROM fine) SELECT DISTINCT {_S9} FROM b"""
-QUERIES["gen_sample_grid"] = lambda s, d: shapes.sample_grid(_tiles(s, d).where("tile_id <= 20"), 5).select("tile_id", F.col("i").cast("long"), F.col("j").cast("long"), *rounded("lon lat", _C("lon lat")))
-SQL["gen_sample_grid"] = f"WITH {_TILES} SELECT tile_id, i, j, round(west + (east - west) * i / 6, 9) AS lon, round(south + (north - south) * j / 6, 9) AS lat FROM tiles, range(1, 6) a(i), range(1, 6) b(j) WHERE tile_id <= 20"
-QUERIES["src_buildings_point_buffer"] = lambda s, d: shapes.near_points(_buildings(s, d).select("building_id", *light.ring_bounds("ring")), light.to_units(stays(s, d)).where("row_index % 7 = 0"), 20, 100.0).select("building_id")
+QUERIES["gen_sample_grid"] = lambda s, d: shapes.sample_grid(_tiles(s, d), 5).select("tile_id", F.col("i").cast("long"), F.col("j").cast("long"), *rounded("lon lat", _C("lon lat")))
+SQL["gen_sample_grid"] = f"WITH {_TILES} SELECT tile_id, i, j, round(west + (east - west) * i / 6, 9) AS lon, round(south + (north - south) * j / 6, 9) AS lat FROM tiles, range(1, 6) a(i), range(1, 6) b(j)"
+QUERIES["src_buildings_point_buffer"] = lambda s, d: shapes.near_points(_buildings(s, d).select("building_id", *light.ring_bounds("ring")), light.to_units(stays(s, d)), 20, 100.0).select("building_id")
 SQL["src_buildings_point_buffer"] = f"""WITH {STAYS_SQL}, {_BUILDINGS}, box AS (SELECT id, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM m GROUP BY id),
-  p AS (SELECT DISTINCT {_UNITS} FROM stays WHERE row_index % 7 = 0) SELECT DISTINCT id AS building_id FROM box JOIN p ON x0 <= x + 20 AND x1 >= x - 20 AND y0 <= y + 20 AND y1 >= y - 20"""
+  p AS (SELECT DISTINCT {_UNITS} FROM stays) SELECT DISTINCT id AS building_id FROM box JOIN p ON x0 <= x + 20 AND x1 >= x - 20 AND y0 <= y + 20 AND y1 >= y - 20"""
 add("json_feature_parse", "known_buildings", lambda v: shapes.read_features(v.select("building_id", F.concat(F.lit('{"type":"FeatureCollection","features":['), F.concat(F.lit('{"geometry":{"type":"Point","coordinates":[1,2]},"properties":{"height":"'), F.col("building_id").cast("string"), F.lit('"}},{"geometry":{"type":"Polygon","coordinates":[]}}')), F.lit("]}")).alias("doc")), "doc")
     .select("building_id", F.col("position").cast("long"), "geometry_type", shapes.first_property(F.col("props"), "h", "height").alias("height")),
     "SELECT building_id, p AS position, CASE p WHEN 0 THEN 'Point' ELSE 'Polygon' END AS geometry_type, CASE p WHEN 0 THEN CAST(building_id AS VARCHAR) END AS height FROM known_buildings, range(2) r(p)")

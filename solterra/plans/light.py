@@ -47,7 +47,7 @@ QUERIES = {
     "join_indoor": lambda s, d: light.indoor(_points(s, d), _buildings(s, d)),
     "join_point_shadow": lambda s, d: light.shadowed(_points(s, d), _buildings(s, d), max_height=60.0, plane=False),
     "join_weather_nearest": lambda s, d: _weathered(s, d),
-    "fn_irradiance": lambda s, d: light.irradiance(weather(s, d), "grid", F.col("grid") == 3).select("grid", "timestamp", F.round("watts", 6).alias("watts")),
+    "fn_irradiance": lambda s, d: light.irradiance(weather(s, d).withColumn("ssrd", F.when(F.col("grid") == 3, F.col("timestamp") * 7919 % 5000).otherwise(F.col("ssrd"))), "grid").select("grid", "timestamp", F.round("watts", 6).alias("watts")),
     "win_segment_length": lambda s, d: tracks.long_segments(_track(s, d), *_ORDER, max_gap=21600, least_s=400).select("row_index", "segment", "segment_s"),
     "agg_clean_reasons": lambda s, d: tracks.clean(_track(s, d), *_ORDER, max_gap=86400, max_kmh=0.5, least_s=400).groupBy("reason").agg(F.count(F.lit(1)).alias("n")),
     "win_stay_groups": lambda s, d: tracks.stay_groups(_track(s, d).withColumn("place", F.col("row_index") % 2), "ad_id", "place", ["timestamp", "row_index"]),
@@ -98,8 +98,10 @@ SQL = {
     "join_weather_nearest": f"""WITH {_TRACK}, {_WEATHER}, p AS (SELECT row_index, timestamp, CAST(floor((lon + 74.0E0) * 100) AS BIGINT) AS grid FROM track)
       SELECT p.row_index, p.timestamp, p.grid, w.tcc FROM p LEFT JOIN weather w ON p.grid = w.grid AND abs(w.timestamp - p.timestamp) <= 86400
       QUALIFY row_number() OVER (PARTITION BY p.row_index ORDER BY abs(w.timestamp - p.timestamp), w.timestamp) = 1""",
-    "fn_irradiance": f"""WITH {STAYS_SQL}, {_WEATHER}, l AS (SELECT *, ssrd - lag(ssrd) OVER w AS step, timestamp - lag(timestamp) OVER w AS dt FROM weather WINDOW w AS (PARTITION BY grid ORDER BY timestamp))
-      SELECT grid, timestamp, CASE WHEN dt IS NOT NULL THEN round(greatest(0.0E0, CASE WHEN step < 0 OR grid = 3 THEN ssrd ELSE step END / dt), 6) END AS watts FROM l""",
+    "fn_irradiance": f"""WITH {STAYS_SQL}, {_WEATHER}, r AS (SELECT * REPLACE (CASE WHEN grid = 3 THEN timestamp * 7919 % 5000 ELSE ssrd END AS ssrd) FROM weather),
+      l AS (SELECT *, ssrd - lag(ssrd) OVER w AS step, timestamp - lag(timestamp) OVER w AS dt FROM r WINDOW w AS (PARTITION BY grid ORDER BY timestamp)),
+      modes AS (SELECT grid, count(*) >= 10 AND count(*) FILTER (step < -1e-3) / (count(*) - 1) > 0.2 AS own FROM l GROUP BY grid)
+      SELECT grid, timestamp, CASE WHEN dt IS NOT NULL THEN round(greatest(0.0E0, CASE WHEN own OR step < 0 THEN ssrd ELSE step END / dt), 6) END AS watts FROM l JOIN modes USING (grid)""",
     "win_segment_length": f"""WITH {_TRACK}, {_SEG.format(src="track", gap=21600)}
       SELECT row_index, dense_rank() OVER (PARTITION BY ad_id ORDER BY seg) AS segment, CAST(segment_s AS BIGINT) AS segment_s FROM u WHERE segment_s >= 400""",
     "agg_clean_reasons": f"""WITH {_STEPS}, sp AS (SELECT *, timestamp - lag(timestamp) {_W} AS gap FROM steps),

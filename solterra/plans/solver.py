@@ -12,6 +12,7 @@ from ..operators import graph as gr
 from ..operators import mobility as m
 from ..sources.views import stays, weather
 from .exposure import _EXPOSED, exposed
+from .files import BOX, boxed
 from .light import _BUILDINGS, _CROSS, _MX, _MY, _ON, _POINTS, _SEG, _SHADOW, _STEPS, _W, _WEATHER, _buildings, _points, mx
 from .mobility import _DURATION, _ORDER, _TRACK, _track
 from .mobility import _POINTS as _KEYED
@@ -70,15 +71,24 @@ add("join_point_shadow_ring", _in_holed,
       every AS (SELECT id, ax, ay, bx, by_ FROM edges UNION ALL SELECT * FROM hole), near AS (SELECT row_index, x, y, c.id FROM points JOIN c ON abs(x - mx) < 60 AND abs(y - my) < 60)
       SELECT row_index, id AS building_id FROM near JOIN every USING (id) GROUP BY row_index, id HAVING sum({_CROSS}) % 2 = 1 OR bool_or({_ON})""")
 _POLY = [(-7399500, 4071000), (-7398300, 4070200), (-7397500, 4071200), (-7398600, 4071900)]
-_PE = "pe AS (SELECT * FROM (VALUES " + ", ".join(f"({a[0]}::BIGINT, {a[1]}::BIGINT, {b[0]}::BIGINT, {b[1]}::BIGINT)" for a, b in zip(_POLY, _POLY[1:] + _POLY[:1])) + ") v(px, py, qx, qy))"
 _S = lambda ax, ay, bx, by, x_, y_: f"(({x_} - {ax}) * ({by} - {ay}) - ({bx} - {ax}) * ({y_} - {ay}))"
 _E, _P = ("ax", "ay", "bx", "by_"), ("px", "py", "qx", "qy")
 _C2 = lambda e, x_, y_: f"CASE WHEN ({e[1]} > {y_}) <> ({e[3]} > {y_}) AND CASE WHEN {e[3]} > {e[1]} THEN {_S(*e, x_, y_)} < 0 ELSE {_S(*e, x_, y_)} > 0 END THEN 1 ELSE 0 END"
 _O2 = lambda e, x_, y_: f"({_S(*e, x_, y_)} = 0 AND {x_} BETWEEN least({e[0]}, {e[2]}) AND greatest({e[0]}, {e[2]}) AND {y_} BETWEEN least({e[1]}, {e[3]}) AND greatest({e[1]}, {e[3]}))"
-add("flt_geometry_intersects", lambda s, d: light.touches_polygon(_buildings(s, d), _POLY).select("building_id"),
-    f"""WITH {_BUILDINGS}, {_PE}, vin AS (SELECT id FROM edges, pe GROUP BY id, ax, ay HAVING sum({_C2(_P, 'ax', 'ay')}) % 2 = 1 OR bool_or({_O2(_P, 'ax', 'ay')})),
+
+
+def _touching(polygon):
+    """SQL for the buildings that share a point with the polygon."""
+    sides = ", ".join(f"({a[0]}::BIGINT, {a[1]}::BIGINT, {b[0]}::BIGINT, {b[1]}::BIGINT)" for a, b in zip(polygon, polygon[1:] + polygon[:1]))
+    return f"""WITH {_BUILDINGS}, pe AS (SELECT * FROM (VALUES {sides}) v(px, py, qx, qy)), vin AS (SELECT id FROM edges, pe GROUP BY id, ax, ay HAVING sum({_C2(_P, 'ax', 'ay')}) % 2 = 1 OR bool_or({_O2(_P, 'ax', 'ay')})),
       cin AS (SELECT id FROM edges, pe GROUP BY id, px, py HAVING sum({_C2(_E, 'px', 'py')}) % 2 = 1 OR bool_or({_O2(_E, 'px', 'py')})),
-      cr AS (SELECT id FROM edges, pe WHERE {_S(*_E, 'px', 'py')} * {_S(*_E, 'qx', 'qy')} < 0 AND {_S(*_P, 'ax', 'ay')} * {_S(*_P, 'bx', 'by_')} < 0) SELECT id AS building_id FROM vin UNION SELECT id FROM cin UNION SELECT id FROM cr""")
+      cr AS (SELECT id FROM edges, pe WHERE {_S(*_E, 'px', 'py')} * {_S(*_E, 'qx', 'qy')} < 0 AND {_S(*_P, 'ax', 'ay')} * {_S(*_P, 'bx', 'by_')} < 0) SELECT id AS building_id FROM vin UNION SELECT id FROM cin UNION SELECT id FROM cr"""
+
+
+add("flt_geometry_intersects", lambda s, d: light.touches_polygon(_buildings(s, d), _POLY).select("building_id"), _touching(_POLY))
+_WEST, _SOUTH, _EAST, _NORTH = BOX
+_CORNERS = [(_WEST, _SOUTH), (_EAST, _SOUTH), (_EAST, _NORTH), (_WEST, _NORTH)]
+add("flt_bbox_geom", lambda s, d: light.touches_polygon(boxed(s, d).select("building_id").join(_buildings(s, d).select("building_id", "ring"), "building_id"), _CORNERS).select("building_id"), _touching(_CORNERS))
 # Four spots around each building, at four instants of a day.
 _spots = lambda s, d: (
     _flat(s, d).select(F.col("building_id").alias("place"), "x0", "y0", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("k"))

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import rest
 from ..functions import text
 from ..operators.shapes import CATALOG, catalog
 
@@ -61,16 +62,24 @@ def json_catalog(spark: SparkSession, path: str) -> DataFrame:
     return catalog(spark.read.schema(CATALOG).option("multiLine", True).json(path))
 
 
-def partition_files(spark: SparkSession, manifest_csv: str, partitions: DataFrame | None = None) -> DataFrame:
+def parquet_at(spark: SparkSession, paths: list[str], schema=None, base: str | None = None) -> DataFrame:
+    """Parquet files at the paths; none at all is an empty table of the schema, or an error without one."""
+    if not paths:
+        if schema is None:
+            raise FileNotFoundError("no file to read, and no schema of an empty table")
+        return spark.createDataFrame([], schema)
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return (reader.option("basePath", base) if base else reader).parquet(*paths)
+
+
+def partition_files(spark: SparkSession, manifest_csv: str, partitions: DataFrame | None = None, schema=None) -> DataFrame:
     """Rows of the Parquet files that a partition manifest (partition_id, path, more) names, of the wanted partitions alone where
-    ``partitions`` (partition_id) is given: only their files are opened. Several rows may name one file. No file is an error."""
+    ``partitions`` (partition_id) is given: only their files are opened. Several rows may name one file. No file is an error, unless ``schema`` says what an empty table holds."""
     listed = spark.read.option("header", True).csv(manifest_csv)
     if partitions is not None:
-        listed = listed.join(F.broadcast(partitions.select("partition_id").distinct()), "partition_id", "left_semi")
+        listed = listed.join(partitions.select("partition_id").distinct(), "partition_id", "left_semi")
     paths = [r.path for r in listed.select("path").distinct().orderBy("path").toLocalIterator()]  # names of files
-    if not paths:
-        raise FileNotFoundError("the manifest names no file of the partitions")
-    return spark.read.parquet(*paths)
+    return parquet_at(spark, paths, schema)
 
 
 def boxed_parquet(spark: SparkSession, path: str, west: float, south: float, east: float, north: float) -> DataFrame:
@@ -111,16 +120,14 @@ def ways_to_rings(ways: DataFrame, nodes: DataFrame) -> DataFrame:
     return open_.where(corners >= 3).select("way_id", close_ring(F.col("ring")).alias("ring"))
 
 
-def monthly(spark: SparkSession, template: str, months: list[str], fallback: str | None = None) -> DataFrame:
+def monthly(spark: SparkSession, template: str, months: list[str], fallback: str | None = None, schema=None) -> DataFrame:
     """Parquet of the months (yyyy-MM) whose files a template with %Y and %m names, only those that there are; of ``fallback`` where
-    there is none of them."""
+    there is none of them, else nothing where the schema is given."""
     conf = spark._jsc.hadoopConfiguration()
     exists = lambda p: (lambda h: h.getFileSystem(conf).exists(h))(spark._jvm.org.apache.hadoop.fs.Path(p))
     named = [template.replace("%Y", m[:4]).replace("%m", m[5:7]) for m in months]
     there = [p for p in dict.fromkeys(named) if exists(p)] or ([fallback] if fallback else [])
-    if not there:
-        raise FileNotFoundError(template)
-    return spark.read.parquet(*there)
+    return parquet_at(spark, there, schema)
 
 
 def merged_cube(cubes: dict[str, DataFrame]) -> DataFrame:
@@ -163,7 +170,7 @@ def write_partitions(df: DataFrame, by: str, path: str) -> DataFrame:
     """Files below ``path``/by=value, and their manifest: (by, rows, bytes, files). Each task sorts its rows by ``by`` and a busy value is
     spread over tasks by the writer's input, so that no value must fit one task."""
     df.sortWithinPartitions(by).write.mode("overwrite").option("compression", "zstd").partitionBy(by).parquet(path)
-    written = df.sparkSession.read.option("basePath", path).parquet(path)
+    written = parquet_at(df.sparkSession, [path], df.schema, path)  # an empty table has no file to tell its columns
     per = written.groupBy(by, F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("rows"), F.max("_metadata.file_size").alias("bytes"))
     return per.groupBy(by).agg(F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("files"))
 
@@ -175,22 +182,24 @@ def write_user_files(df: DataFrame, id_col: str, path: str) -> None:
 
 
 def write_chunks(chunks: DataFrame, work: Callable[[DataFrame], DataFrame], path: str, id_col: str = "task_id") -> list[int]:
-    """What ``work`` makes of the chunks (chunk, id, more) that aren't done: a chunk is done when ``path``/done lists it with the digest
-    of its ids. Its rows overwrite their own folder, so that a run that broke off is taken up without double rows. Returns the
-    chunks worked on; their numbers alone come to the driver."""
+    """What ``work`` makes of the chunks (chunk, id, more) that aren't done: a chunk is done when ``path``/done lists it with the
+    digest of its ids. Its rows overwrite their own folder below ``path``/rows, so that a run that broke off is taken up without
+    double rows; without any chunk an empty ``rows`` is left, to be read by the schema of what ``work`` makes. Returns the
+    chunks worked on: the work itself is found by a join, their numbers alone come to the driver."""
     spark = chunks.sparkSession
     digest = text.ids_digest(F.array_sort(F.collect_list(F.col(id_col).cast("string"))))
     now = chunks.groupBy("chunk").agg(digest.alias("digest"))
-    done_path = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/done")
-    if done_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done_path):
-        now = now.join(spark.read.parquet(f"{path}/done"), ["chunk", "digest"], "left_anti")
-    todo = sorted(r.chunk for r in now.select("chunk").toLocalIterator())
-    if todo:
-        made = work(chunks.where(F.col("chunk").isin(todo)))
-        made.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chunk").parquet(f"{path}/rows")
-        listed = chunks.where(F.col("chunk").isin(todo)).groupBy("chunk").agg(digest.alias("digest"))
-        listed.write.mode("append").parquet(f"{path}/done")
-    return todo
+    exists = lambda p: (lambda h: h.getFileSystem(spark._jsc.hadoopConfiguration()).exists(h))(spark._jvm.org.apache.hadoop.fs.Path(p))
+    if exists(f"{path}/done"):
+        now = now.join(parquet_at(spark, [f"{path}/done"], now.schema), ["chunk", "digest"], "left_anti")
+    todo = rest(now)
+    numbers = sorted(r.chunk for r in todo.select("chunk").toLocalIterator())
+    if not numbers and exists(f"{path}/rows"):
+        return []
+    made = work(chunks.join(todo.select("chunk"), "chunk", "left_semi"))
+    made.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chunk").parquet(f"{path}/rows")
+    todo.write.mode("append").parquet(f"{path}/done")
+    return numbers
 
 
 def width_of(line: Column) -> Column:
@@ -207,9 +216,9 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def repaired(lines: DataFrame, width: int, overflow_at: int) -> DataFrame:
     """(file, line_no, fields): lines as ``width`` fields each. Where there are too many, those from ``overflow_at`` on that
-    exceed are joined by spaces in that field; where there are too few, empty ones follow. Blank lines go; quoted commas are
-    not told apart (use a CSV reader for those)."""
-    parts = F.split("text", ",", -1)
+    exceed are joined by spaces in that field; where there are too few, empty ones follow. Blank lines go. Commas within double
+    quotes part nothing, and fields keep their quotes; a quote that nothing closes is a sign like any other."""
+    parts = F.regexp_extract_all(F.concat(F.lit(","), "text"), F.lit(r',((?:"[^"]*+"|[^,"]++|")*+)'), F.lit(1))
     out = lines.where(F.trim("text") != "").withColumn("_p", parts)
     extra = F.size("_p") - width
     joined = F.concat(F.slice("_p", 1, overflow_at - 1), F.array(F.array_join(F.slice("_p", overflow_at, extra + 1), " ")), F.slice("_p", F.lit(overflow_at + 1) + extra, F.lit(width - overflow_at)))
