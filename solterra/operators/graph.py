@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+
+from ..checkpoints import rest
+from . import scans
 
 PAD_DEGREE_M = 111_320.0
 
@@ -182,48 +184,50 @@ def without_keys(rows: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame
     return rows.join(done.select(*keys).distinct(), keys, "left_anti")
 
 
-def chunk_plan(tasks: DataFrame, order: list[str], max_tasks: int, max_points: int, by: list[str] | None = None, block: int = 4096) -> DataFrame:
+def chunk_plan(tasks: DataFrame, order: list[str], max_tasks: int, max_points: int, by: list[str] | None = None, block: int = scans.BLOCK) -> DataFrame:
     """tasks with chunk: taken in order, a new chunk begins where one more task would pass ``max_tasks`` or, with ``max_points``
-    above 0, its points would pass that; a task of more points stands alone. Chunks are numbered from 0 within ``by``. The
-    cut hangs on all tasks before, so each ``by`` folds in one group: give it shards, hours or the like."""
-    by = by or []
-    rows = tasks.withColumn("_by", F.lit(0)) if not by else tasks
-    keys = by or ["_by"]
-    schema = StructType([*rows.schema.fields, StructField("chunk", LongType())])
-
-    def fold(pdf):
-        pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
-        chunk, n, points, out = 0, 0, 0, []
-        for p in pdf["point_count"].fillna(0).clip(lower=0).astype("int64"):
-            if n and (n >= max_tasks or (max_points > 0 and points + p > max_points)):
-                chunk, n, points = chunk + 1, 0, 0
-            n, points = n + 1, points + p
-            out.append(chunk)
-        return pdf.assign(chunk=out)
-
-    return rows.groupBy(*keys).applyInPandas(fold, schema).drop(*([] if by else ["_by"]))
+    above 0, its points would pass that; a task of more points stands alone. Chunks are numbered from 0 within ``by``. See
+    ``greedy_chunks``: no group folds in one task."""
+    return scans.greedy_chunks(tasks, order, max_tasks, max_points, "point_count", by, block)
 
 
 def spatial_shards(files_: DataFrame, n: int, bin_deg: float = 2.0) -> DataFrame:
     """(file, lon, lat, more) with shard: bins of ``bin_deg`` in order of latitude, then longitude, filled one shard after the other
-    to an equal number of files; files without a position go by turns. For lists of files: the order is one window."""
+    to an equal number of files; files without a position go by turns."""
     key = lambda c: F.floor(F.col(c) / bin_deg)
     there = files_.where("lon is not null and lat is not null")
-    w = Window.orderBy(key("lat"), key("lon"), "file")
-    size = F.broadcast(there.agg(F.ceil(F.count(F.lit(1)) / n).alias("_quota")))
-    placed = there.withColumn("_k", F.row_number().over(w) - 1).crossJoin(size).withColumn("shard", F.floor(F.col("_k") / F.col("_quota")).cast("int")).drop("_k", "_quota")
-    lost = files_.where("lon is null or lat is null").withColumn("shard", F.pmod(F.row_number().over(Window.orderBy("file")) - 1, F.lit(n)).cast("int"))
+    size = F.broadcast(there.agg(F.ceil(F.count(F.lit(1)) / n).alias("_quota")))  # one row
+    placed = scans.ranked(there, [key("lat"), key("lon"), "file"]).crossJoin(size).withColumn("shard", F.floor(F.col("rank") / F.col("_quota")).cast("int")).drop("rank", "_quota")
+    lost = scans.ranked(files_.where("lon is null or lat is null"), ["file"]).withColumn("shard", F.pmod("rank", F.lit(n)).cast("int")).drop("rank")
     return placed.unionByName(lost)
 
 
-def spatial_split(points: DataFrame, by: str, most: int, levels: int = 12) -> DataFrame:
-    """points with part (long, from 1): each ``by`` is halved at the median of its longer axis, ties by row_index, until a part
-    has ``most`` points or fewer, ``levels`` times at most. A round is one window over the parts that are still too large."""
+def halves(rows: DataFrame, by: list[str], largest: Column, least: int = 1) -> DataFrame:
+    """rows (by, part, lon, lat, row_index) with each part for which ``largest`` holds, a condition on its count n, cut in two at the
+    middle of its longer axis: the first n // 2 rows by that axis, the other one and row_index get part * 2, the others
+    part * 2 + 1. Parts whose halves would have fewer than ``least`` rows stay. Rows are ranked by range, so that no part
+    meets in one task."""
+    keys = [*by, "part"]
+    spread = lambda c: F.max(c) - F.min(c)
+    parts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), (spread("lon") >= spread("lat")).alias("_east"))
+    cut = parts.where(largest & (F.col("n") >= 2) & (F.floor(F.col("n") / 2) >= least))
+    moved = rows.join(cut, keys)
+    along, across = F.when(F.col("_east"), F.col("lon")).otherwise(F.col("lat")), F.when(F.col("_east"), F.col("lat")).otherwise(F.col("lon"))
+    order = scans.ranked(moved.withColumns({"_v": along, "_w": across}), [*keys, "_v", "_w", "row_index"])
+    begin = order.groupBy(*keys).agg(F.min("rank").alias("_begin"))
+    second = (F.col("rank") - F.col("_begin") >= F.floor(F.col("n") / 2)).cast("long")
+    done = order.join(begin, keys).withColumn("part", F.col("part") * 2 + second).select(rows.columns)
+    return rows.join(cut.select(*keys), keys, "left_anti").select(rows.columns).unionByName(done)
+
+
+def spatial_split(points: DataFrame, by: str, most: int, levels: int = 12, least: int = 1) -> DataFrame:
+    """points (row_index, lon, lat, more) with part (long, from 1) and over: each ``by`` is cut in halves (see ``halves``) until a part
+    has ``most`` points or fewer, ``levels`` times at most; over tells the points of parts that still have more, since the
+    levels are used up or their halves would have fewer than ``least`` points."""
     out = points.withColumn("part", F.lit(1).cast("long"))
     for _ in range(levels):
-        whole = Window.partitionBy(by, "part")
-        spread = lambda c: F.max(c).over(whole) - F.min(c).over(whole)
-        out = out.withColumn("_n", F.count(F.lit(1)).over(whole)).withColumn("_v", F.when(spread("lon") >= spread("lat"), F.col("lon")).otherwise(F.col("lat")))
-        half = F.when(F.row_number().over(whole.orderBy("_v", "row_index")) > F.ceil(F.col("_n") / 2), 1).otherwise(0)
-        out = out.withColumn("part", F.when(F.col("_n") > most, F.col("part") * 2 + half).otherwise(F.col("part")).cast("long")).drop("_n", "_v")
-    return out
+        if out.groupBy(by, "part").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > most) & (F.floor(F.col("n") / 2) >= least)).isEmpty():
+            break
+        out = rest(halves(out, [by], F.col("n") > most, least))
+    size = out.groupBy(F.col(by).alias("_by"), F.col("part").alias("_part")).agg((F.count(F.lit(1)) > most).alias("over"))
+    return out.join(size, F.col(by).eqNullSafe(F.col("_by")) & (F.col("part") == F.col("_part"))).drop("_by", "_part")

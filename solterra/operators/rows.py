@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from .scans import ranked
 
 #: Columns of each source of positions (fixed names of the file format).
 COORDINATES = {
@@ -138,8 +139,8 @@ def first_valid(rows: DataFrame, by: str, order: list[str]) -> DataFrame:
 
 
 def round_robin(rows: DataFrame, order: list[str], n: int) -> DataFrame:
-    """rows with shard: place in the order modulo n. For lists of work, not for data: the order is one window."""
-    return rows.withColumn("shard", F.pmod(F.row_number().over(Window.orderBy(*order)) - 1, F.lit(n)).cast("int"))
+    """rows with shard: place in the order modulo n."""
+    return ranked(rows, order).withColumn("shard", F.pmod("rank", F.lit(n)).cast("int")).drop("rank")
 
 
 def page(rows: DataFrame, after: Column | None, order: list[Column], limit: int) -> tuple[DataFrame, Column]:

@@ -57,6 +57,6 @@ _FILES = "files AS (SELECT file_relpath AS file, CASE WHEN min(row_index) % 6 =
 add("srt_spatial_shards", lambda s, d: gr.spatial_shards(view(s, d, "raw_rows").groupBy(F.col("file_relpath").alias("file")).agg(F.min("row_index").alias("k")).select("file", F.when(F.col("k") % 6 > 0, F.col("k") % 300 - 150.0).alias("lon"), (F.col("k") % 120 - 60.0).alias("lat")), 4),
     f"""WITH {view_sql('raw_rows')}, {_FILES}, there AS (SELECT *, row_number() OVER (ORDER BY floor(lat / 2), floor(lon / 2), file) - 1 AS k, ceil(count(*) OVER () / 4) AS quota FROM files WHERE lon IS NOT NULL)
       SELECT file, lon, lat, CAST(floor(k / quota) AS INTEGER) AS shard FROM there UNION ALL SELECT file, lon, lat, CAST((row_number() OVER (ORDER BY file) - 1) % 4 AS INTEGER) FROM files WHERE lon IS NULL""")
-_SPLIT = "l{k} AS (SELECT row_index, ad_id, lon, lat, CASE WHEN n > 200 THEN part * 2 + CASE WHEN row_number() OVER (PARTITION BY ad_id, part ORDER BY v, row_index) > ceil(n / 2) THEN 1 ELSE 0 END ELSE part END AS part FROM (SELECT *, count(*) OVER w AS n, CASE WHEN max(lon) OVER w - min(lon) OVER w >= max(lat) OVER w - min(lat) OVER w THEN lon ELSE lat END AS v FROM l{j} WINDOW w AS (PARTITION BY ad_id, part)))"
+_SPLIT = "l{k} AS (SELECT row_index, ad_id, lon, lat, CASE WHEN n > 200 THEN part * 2 + CASE WHEN row_number() OVER (PARTITION BY ad_id, part ORDER BY v, w, row_index) > n // 2 THEN 1 ELSE 0 END ELSE part END AS part FROM (SELECT *, CASE WHEN east THEN lon ELSE lat END AS v, CASE WHEN east THEN lat ELSE lon END AS w FROM (SELECT *, count(*) OVER w AS n, max(lon) OVER w - min(lon) OVER w >= max(lat) OVER w - min(lat) OVER w AS east FROM l{j} WINDOW w AS (PARTITION BY ad_id, part))))"
 add("srt_spatial_split", lambda s, d: gr.spatial_split(stays(s, d).select("row_index", (F.col("ad_id") % 3).alias("ad_id"), "lon", "lat"), "ad_id", 200, 5),
-    f"WITH {STAYS_SQL}, l0 AS (SELECT row_index, ad_id % 3 AS ad_id, lon, lat, 1::BIGINT AS part FROM stays), " + ", ".join(_SPLIT.format(k=k, j=k - 1) for k in range(1, 6)) + " SELECT * FROM l5")
+    f"WITH {STAYS_SQL}, l0 AS (SELECT row_index, ad_id % 3 AS ad_id, lon, lat, 1::BIGINT AS part FROM stays), " + ", ".join(_SPLIT.format(k=k, j=k - 1) for k in range(1, 6)) + " SELECT *, count(*) OVER (PARTITION BY ad_id, part) > 200 AS over FROM l5")

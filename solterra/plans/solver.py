@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..checkpoints import fresh
@@ -10,6 +12,7 @@ from ..operators import exposure as x
 from ..operators import areas, daylight, light, tracks
 from ..operators import graph as gr
 from ..operators import mobility as m
+from ..operators import solver as solving
 from ..sources.views import stays, weather
 from .exposure import _EXPOSED, exposed
 from .files import BOX, boxed
@@ -175,8 +178,16 @@ def _cache(s, d):
 
 _CACHE = f"keyed AS (SELECT *, {_CELLKEY} AS task_id FROM track), cache AS (SELECT keyed.* FROM keyed WHERE row_index NOT IN (SELECT row_index FROM inside))"
 add("pipe_point_cache", lambda s, d: _cache(s, d).select("task_id", "row_index"), f"WITH {_INSIDE}, {_CACHE} SELECT task_id, row_index FROM cache")
-add("pipe_exact_solver", lambda s, d: (lambda c: c.select("task_id", "row_index").join(light.shadowed(light.to_units(c).select("row_index", "timestamp", "lon", "lat", "x", "y"), _buildings(s, d), max_height=60.0, plane=False), "row_index"))(_cache(s, d)).select("task_id", "row_index", (F.col("lit") & ~F.col("in_shadow")).cast("int").alias("sunlit")),
-    f"WITH {_SHADOW}, {_CACHE} SELECT task_id, row_index, CAST(lit AND NOT in_shadow AS INTEGER) AS sunlit FROM cache JOIN shadow USING (row_index)")
+
+
+def _solved(s, d):
+    """Every task's points, the tasks cut into units of forty points and sixty obstacles at most where that can be."""
+    points = light.to_units(_cache(s, d)).select("task_id", "row_index", "timestamp", "lon", "lat", "x", "y")
+    parts, _, pairs = solving.execution_units(points, _buildings(s, d), most_points=40, most_obstacles=60, least=1, levels=6)
+    return solving.solve(parts, pairs, _buildings(s, d), math.radians(5))
+
+
+add("pipe_exact_solver", _solved, f"WITH {_SHADOW}, {_CACHE} SELECT task_id, row_index, CAST(lit AND NOT in_shadow AS INTEGER) AS sunlit FROM cache JOIN shadow USING (row_index)")
 _clean = lambda s, d: tracks.cleaned(_track(s, d), *_ORDER, max_gap=86400, max_kmh=0.5, least_s=400)
 _CLEAN = f"""{_STEPS}, sp AS (SELECT *, timestamp - lag(timestamp) {_W} AS gap FROM steps), j AS (SELECT *, coalesce(CASE WHEN gap > 0 AND gap <= 86400 THEN step_m / gap * 3.6E0 END > 0.5, false) AS jump FROM sp),
   calm AS (SELECT ad_id, row_index, timestamp FROM j WHERE NOT jump), {_SEG.format(src="calm", gap=86400)}, k AS (SELECT row_index, dense_rank() OVER (PARTITION BY ad_id ORDER BY seg) AS segment FROM u WHERE segment_s >= 400), {_DURATION},
