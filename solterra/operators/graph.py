@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..checkpoints import rest
 from . import scans
+from .quantiles import at_ranks
 
 PAD_DEGREE_M = 111_320.0
 
@@ -150,14 +151,11 @@ def percentiles(rows: DataFrame, value: str, shares: tuple[float, ...] = (0.5, 0
 
 
 def percentiles_at(rows: DataFrame, by: list[str], value: str, shares: tuple[float, ...] = (0.9, 0.95, 0.99)) -> DataFrame:
-    """Percentiles that are values of the rows: the one at place (n - 1) p, rounded half to even, in ascending order. By value
-    counts and running sums, so that no group meets as a list. Nulls and NaN count for nothing."""
-    there = rows.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-    counts = there.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-    whole = Window.partitionBy(*by)
-    upto = counts.withColumn("_upto", F.sum("_n").over(whole.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("_all", F.sum("_n").over(whole))
-    at = lambda p: F.min(F.when(F.col("_upto") > F.bround((F.col("_all") - 1) * p), F.col(value))).alias(f"p{int(round(100 * p))}")
-    return upto.groupBy(*by).agg(*map(at, shares))
+    """Percentiles that are values of the rows: the one at place (n - 1) p, rounded half to even, in ascending order. By radix selection
+    (see ``at_ranks``), so that no group's values meet. Nulls and NaN count for nothing."""
+    ranks = {f"p{int(round(100 * p))}": F.bround((F.col("n") - 1) * p) for p in shares}
+    kind = rows.schema[value].dataType
+    return at_ranks(rows, by, value, ranks).select(*by, *(F.col(k).cast(kind).alias(k) for k in ranks))
 
 
 def histogram(rows: DataFrame, value: str, bins: int, clip_max: float | None = None, drop_zero: bool = False) -> DataFrame:

@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import medians
+
 
 def by_person_day(daily: DataFrame, values: list[str]) -> DataFrame:
     """One row: people, person_days, and mean and median of each value over rows; rows without an id (null or empty) count for
     person_days alone. Nulls of a value count for nothing."""
     named = F.nullif(F.trim("id"), F.lit("")).isNotNull()
     of = lambda c: F.when(named, F.col(c))
-    aggs = [a for c in values for a in (F.round(F.avg(of(c)), 9).alias(f"{c}_mean"), F.round(F.median(of(c)), 9).alias(f"{c}_median"))]
-    return daily.agg(F.countDistinct(F.nullif(F.trim("id"), F.lit(""))).alias("people"), F.count(F.lit(1)).alias("person_days"), *aggs)
+    means = daily.agg(F.countDistinct(F.nullif(F.trim("id"), F.lit(""))).alias("people"), F.count(F.lit(1)).alias("person_days"), *(F.round(F.avg(of(c)), 9).alias(f"{c}_mean") for c in values))
+    middle = medians(daily.where(named), values).agg(*(F.round(F.max(F.when(F.col("value") == c, F.col("median"))), 9).alias(f"{c}_median") for c in values))
+    return means.crossJoin(F.broadcast(middle))  # a row each
 
 
 def by_person(daily: DataFrame, values: list[str]) -> DataFrame:

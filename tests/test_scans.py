@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from solterra.operators import graph, light, scans, solver
+from solterra.operators import graph, light, quantiles, scans, solver
 
 
 def fold(rows, most_rows, most):
@@ -96,3 +96,20 @@ def test_context_falls_back_without_sun_or_obstacles(spark):
     _, units, pairs = solver.execution_units(night, house, 10, 10)
     assert {(u.task_id, u.reason, u.context_m) for u in units.collect()} == {("n", "fallback", 700.0), ("far", "fallback", 700.0)} and pairs.count() == 0
     assert solver.execution_units(night.limit(0), house, 10, 10)[1].count() == 0 == solver.execution_units(night, house.limit(0), 10, 10)[2].count()
+
+
+def test_ranks_of_doubles_are_exact_to_the_last_bit(spark):
+    rng = random.Random(5)
+    pool = [0.0, -0.0, 1.5, -1.5, 5e-324, -5e-324, 1e308, -1e308, math.inf, -math.inf, 0.1, 0.1 + 2**-56, math.nextafter(0.1, 1), math.nextafter(-0.1, -1), -0.1]
+    rows = [(rng.choice([None, "", "a", "b"]), rng.choice([None, math.nan, rng.choice(pool), rng.choice(pool), rng.uniform(-1, 1)])) for _ in range(600)] + [("c", 7.0), ("d", None), ("e", math.nan)]
+    got = quantiles.at_ranks(spark.createDataFrame(rows, "g string, v double").repartition(5), ["g"], "v", {"low": F.lit(0), "middle": F.floor(F.col("n") / 2), "high": F.col("n") - 1}).collect()
+    wanted = {}
+    for g, v in rows:
+        if v is not None and not math.isnan(v):
+            wanted.setdefault(g, []).append(v)
+    assert {r.g for r in got} == set(wanted) == {None, "", "a", "b", "c"}
+    for r in got:
+        v = sorted(wanted[r.g])
+        assert (r.n, r.low, r.middle, r.high) == (len(v), v[0], v[len(v) // 2], v[-1])
+    assert quantiles.at_ranks(spark.createDataFrame([], "g string, v double"), ["g"], "v", {"a": F.lit(0)}).count() == 0
+    assert quantiles.medians(spark.createDataFrame([(1.0, None), (2.0, None), (4.0, None)], "x double, y double"), ["x", "y"]).collect() == [("x", 2.0)]
