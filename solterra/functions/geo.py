@@ -191,3 +191,23 @@ def gfs_run(seconds: Column) -> tuple[Column, Column, Column]:
     run = F.floor(seconds / 21600) * 21600
     hour = F.floor((seconds - run) / 3600 + 0.5)
     return run, hour, F.floor(hour / 3 + 0.5)
+
+
+def hilbert_key(x: Column, y: Column, west: float, south: float, east: float, north: float, bits: int = 16) -> Column:
+    """Place of a position along a Hilbert curve of 2**bits by 2**bits cells over the box: neighbours on the curve are neighbours on the
+    ground. Positions outside are held to the box; a null position has none."""
+    last = (1 << bits) - 1
+    cell = lambda v, a, b: F.greatest(F.lit(0), F.least(F.lit(last), F.floor((v - a) / ((b - a) or 1.0) * (last + 1)))).cast("long")
+    start = F.struct(cell(x, west, east).alias("x"), cell(y, south, north).alias("y"), F.lit(0).cast("long").alias("d"))
+
+    def finer(state: Column, step: Column) -> Column:
+        """The quadrant's place among four, and the position turned and mirrored into that quadrant's own frame."""
+        side = F.call_function("shiftleft", F.lit(1).cast("long"), step.cast("int"))
+        right, up = state.x.bitwiseAND(side) > 0, state.y.bitwiseAND(side) > 0
+        place = F.when(right & up, 2).when(right, 3).when(up, 1).otherwise(0)
+        mirror = ~up & right
+        fx, fy = F.when(mirror, last - state.x).otherwise(state.x), F.when(mirror, last - state.y).otherwise(state.y)
+        return F.struct(F.when(up, fx).otherwise(fy).alias("x"), F.when(up, fy).otherwise(fx).alias("y"), (state.d + side * side * place).alias("d"))
+
+    walked = F.aggregate(F.sequence(F.lit(bits - 1), F.lit(0), F.lit(-1)), start, finer, lambda state: state.d)
+    return F.when(x.isNotNull() & y.isNotNull(), walked)

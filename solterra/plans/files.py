@@ -60,11 +60,23 @@ def _partitioned(s, d, path):
 
 def boxed(s, d):
     path = fresh(s, "boxes")
-    f.write_parquet(_boxes(s, d), path)
+    f.write_hilbert(_boxes(s, d), path, 8, row_group_bytes=1 << 14)
     return f.boxed_parquet(s, path, *BOX)
 
 
+def _union(s, d):
+    """The box over stored partitions, one of which lacks the columns of bounds and is read whole, with its footprints' own."""
+    top = fresh(s, "parts")
+    rows = _boxes(s, d)
+    for k in range(3):
+        f.write_hilbert(rows.where(F.col("partition_id") % 3 == k), f"{top}/{k}", 2)
+    rows.where("partition_id % 3 = 1").drop("x0", "x1", "y0", "y1").write.parquet(f"{top}/old")
+    shape = rows.schema
+    return f.boxed_partitions(s, [f"{top}/0", f"{top}/2"], *BOX, shape).select("building_id", "x0").unionByName(f.boxed_partitions(s, [f"{top}/old"], *BOX).select("building_id", F.lit(None).cast("long").alias("x0")))
+
+
 add("src_geoparquet_bbox", lambda s, d: boxed(s, d).select("building_id", "x0", "y0"), f"WITH {_BOXES} SELECT building_id, x0, y0 FROM boxes WHERE {_IN}")
+add("src_geoparquet_union", _union, f"WITH {_BOXES} SELECT building_id, x0 FROM boxes WHERE {_IN} AND building_id % 8 % 3 <> 1 UNION ALL SELECT building_id, NULL FROM boxes WHERE building_id % 8 % 3 = 1")
 add("src_vector_file_bbox", lambda s, d: boxed(s, d).orderBy("building_id").limit(10).select("building_id"), f"WITH {_BOXES} SELECT building_id FROM boxes WHERE {_IN} ORDER BY building_id LIMIT 10")
 add("sink_parquet_copy", lambda s, d: (lambda p: (f.write_parquet(_boxes(s, d), p), s.read.parquet(p))[1])(fresh(s, "copy")).select("building_id", "height"), f"WITH {_BOXES} SELECT building_id, height FROM boxes")
 add("sink_csv_copy", lambda s, d: f.csv_rows(s, _csv(s, d)).select("row_index", "cloud"),

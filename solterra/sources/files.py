@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..checkpoints import rest
 from ..functions import text
+from ..functions.geo import hilbert_key
 from ..operators.shapes import CATALOG, catalog
 
 #: Names under which columns of a trace come (fixed names of the file format), the first that is there counts.
@@ -161,6 +162,32 @@ def write_parquet(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
+def write_hilbert(df: DataFrame, path: str, files: int, by: str | None = None, row_group_bytes: int = 1 << 20) -> None:
+    """Rows with bounds x0, x1, y0, y1 as Parquet in the order of a Hilbert curve over their middles: dealt out by range of the curve and
+    sorted by it, so that a file and a row group hold one patch of ground, and their statistics tell a reader of a box to
+    leave out the others. With ``by`` each of its values is a folder below ``path``. Rows without bounds come first."""
+    middle = lambda a, b: (F.col(a) + F.col(b)) / 2
+    at = df.withColumns({"_x": middle("x0", "x1"), "_y": middle("y0", "y1")})
+    box = at.agg(*(f(c) for c in ("_x", "_y") for f in (F.min, F.max))).first()  # four numbers
+    west, east, south, north = (0.0 if v is None else float(v) for v in box)
+    placed = at.withColumn("_h", hilbert_key(F.col("_x"), F.col("_y"), west, south, east, north)).drop("_x", "_y")
+    order = [*([by] if by else []), "_h"]
+    writer = placed.repartitionByRange(files, *order).sortWithinPartitions(*order).drop("_h").write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", row_group_bytes)
+    (writer.partitionBy(by) if by else writer).parquet(path)
+
+
+def boxed_partitions(spark: SparkSession, paths: list[str], west: float, south: float, east: float, north: float, schema=None) -> DataFrame:
+    """Rows of several stored partitions that touch the box (see ``boxed_parquet``), as one table. A partition without the columns of
+    bounds can't be left out in part: it is read whole, its rows with null bounds."""
+    out = None
+    for path in dict.fromkeys(paths):
+        rows = parquet_at(spark, [path], schema)
+        if {"x0", "x1", "y0", "y1"} <= set(rows.columns):
+            rows = rows.where((F.col("x0") <= east) & (F.col("x1") >= west) & (F.col("y0") <= north) & (F.col("y1") >= south))
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return parquet_at(spark, [], schema) if out is None else out
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV with a header, numbers as ``plain`` writes them; the folder is whole once it holds _SUCCESS."""
     plain(df).write.mode("overwrite").option("header", True).csv(path)
