@@ -21,10 +21,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chunks import CHUNK_BYTES, gather, pack, rows_of, unpack
+from .chunks import gather, pack, rows_of, unpack
 from .common import id_text, read, stage
 from .tokenfiles import _Coder
 
+#: Text of a chunk: its documents' words and links are arrays of some twenty times that.
+CHUNK_BYTES = 8 << 20
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: White space other than single spaces and line feeds, a space at an end, or controls: such a text is one word.
 _WHOLE = re.compile("[^\\S \n]|\\s\\s|\\A\\s| \\Z|[\x00-\x09\x0b-\x1f\x85\u180e\u200b\u2581\ufeff]")
