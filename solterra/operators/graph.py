@@ -143,6 +143,12 @@ def run_metrics(runs: DataFrame) -> DataFrame:
     return one.select("tasks", "cells", "minutes", "points", "largest", mean("points").alias("avg_points"), mean("_files").alias("avg_files"), "max_files")
 
 
+def meta_pairs(row: DataFrame) -> DataFrame:
+    """(key, value) of a table of one row: a pair for each column, its value as JSON; null is ``null``."""
+    encoded = lambda c: F.regexp_replace(F.to_json(F.struct(F.col(f"`{c}`").alias("v")), {"ignoreNullFields": "false"}), r'^\{"v":|\}$', "")
+    return row.select(F.explode(F.array(*(F.struct(F.lit(c).alias("key"), encoded(c).alias("value")) for c in row.columns))).alias("p")).select("p.key", "p.value")
+
+
 def percentiles(rows: DataFrame, value: str, shares: tuple[float, ...] = (0.5, 0.9, 0.95), weight: Column | None = None) -> DataFrame:
     """Percentiles between neighbours, exact: p50, p90 ... Nulls count for nothing; no rows give nulls. ``weight``: how often a row
     counts. Equal values are counted first, so that one task sees different values alone."""

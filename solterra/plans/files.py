@@ -81,6 +81,18 @@ add("src_vector_file_bbox", lambda s, d: boxed(s, d).orderBy("building_id").limi
 add("sink_parquet_copy", lambda s, d: (lambda p: (f.write_parquet(_boxes(s, d), p), s.read.parquet(p))[1])(fresh(s, "copy")).select("building_id", "height"), f"WITH {_BOXES} SELECT building_id, height FROM boxes")
 add("sink_csv_copy", lambda s, d: f.csv_rows(s, _csv(s, d)).select("row_index", "cloud"),
     f"WITH {_L} SELECT CAST(row_index AS VARCHAR) AS row_index, CASE WHEN cloud IS NULL THEN '' WHEN cloud = floor(cloud) THEN CAST(CAST(cloud AS BIGINT) AS VARCHAR) ELSE CAST(cloud AS VARCHAR) END AS cloud FROM light_rows")
+
+
+def _replaced(s, d):
+    """A table put in the place of an older one."""
+    path, rows = fresh(s, "table"), view(s, d, "light_rows").select("row_index", "cloud", "source")
+    f.replace_csv(rows.where("row_index % 2 = 0"), path)
+    f.replace_csv(rows, path)
+    return f.csv_rows(s, path).select("row_index", "cloud", "source")
+
+
+add("sink_csv_atomic", _replaced,
+    f"WITH {_L} SELECT CAST(row_index AS VARCHAR) AS row_index, CASE WHEN cloud IS NULL THEN '' WHEN cloud = floor(cloud) THEN CAST(CAST(cloud AS BIGINT) AS VARCHAR) ELSE CAST(cloud AS VARCHAR) END AS cloud, source FROM light_rows")
 add("sink_geoparquet_partition", lambda s, d: _partitioned(s, d, fresh(s, "parts")).select(F.col("partition_id").cast("long"), "rows"), f"WITH {_BOXES} SELECT building_id % 8 AS partition_id, count(*) AS rows FROM boxes GROUP BY 1")
 
 

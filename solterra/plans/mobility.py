@@ -69,6 +69,7 @@ QUERIES = {
     "agg_hourly": lambda s, d: m.hourly_runs(_runs(s, d)),
     "agg_files": lambda s, d: gr.run_files(m.file_runs(stays(s, d))),
     "agg_global_metrics": lambda s, d: gr.run_metrics(_runs(s, d)),
+    "map_meta_kv": lambda s, d: gr.meta_pairs(gr.run_metrics(_runs(s, d)).withColumn("source", F.lit('a "shard"'))),
     "agg_percentile": lambda s, d: gr.percentiles(_runs(s, d), "point_count", weight=F.col("to_min") - F.col("from_min")),
     "srt_topk_tasks": lambda s, d: m.top_tasks(_tasks(s, d), 50).select("task_id", "point_count"),
     "win_duration": lambda s, d: m.durations(_track(s, d), *_ORDER).select("row_index", "duration_s"),
@@ -105,6 +106,10 @@ SQL = {
     "agg_files": f"WITH {_POINTS} SELECT file_relpath, count(DISTINCT task_id) AS tasks, count(*) AS points FROM keyed GROUP BY ALL",
     "agg_global_metrics": f"""WITH {_POINTS} SELECT count(*) AS tasks, count(DISTINCT cell_key) AS cells, count(DISTINCT minute_ts) AS minutes, CAST(sum(point_count) AS BIGINT) AS points, max(point_count) AS largest,
       round(avg(point_count), 9) AS avg_points, round(avg(file_count), 9) AS avg_files, max(file_count) AS max_files FROM tasks""",
+    "map_meta_kv": f"""WITH {_POINTS}, m AS (SELECT count(*) AS tasks, count(DISTINCT cell_key) AS cells, count(DISTINCT minute_ts) AS minutes, CAST(sum(point_count) AS BIGINT) AS points, max(point_count) AS largest,
+      round(avg(point_count), 9) AS avg_points, round(avg(file_count), 9) AS avg_files, max(file_count) AS max_files, 'a "shard"' AS source FROM tasks)
+      SELECT unnest(['tasks', 'cells', 'minutes', 'points', 'largest', 'avg_points', 'avg_files', 'max_files', 'source']) AS key,
+      unnest([to_json(tasks), to_json(cells), to_json(minutes), to_json(points), to_json(largest), to_json(avg_points), to_json(avg_files), to_json(max_files), to_json(source)])::VARCHAR AS value FROM m""",
     "agg_percentile": f"WITH {_POINTS} SELECT " + ", ".join(f"round(quantile_cont(CAST(point_count AS DOUBLE), {p}), 6) AS p{int(100 * p)}" for p in (0.5, 0.9, 0.95)) + " FROM tasks",
     "srt_topk_tasks": f"WITH {_POINTS} SELECT task_id, point_count FROM tasks ORDER BY point_count DESC, task_id LIMIT 50",
     "win_duration": f"WITH {_TRACK}, {_DURATION} SELECT row_index, duration_s FROM track2",

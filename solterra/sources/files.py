@@ -3,6 +3,7 @@ manifests, a folder a user, and chunks that a broken run takes up again."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -193,6 +194,22 @@ def write_csv(df: DataFrame, path: str) -> None:
     plain(df).write.mode("overwrite").option("header", True).csv(path)
 
 
+def replace_csv(df: DataFrame, path: str) -> None:
+    """As ``write_csv``, but the rows stand beside ``path`` until they are whole, and one rename then puts them in its place: a reader finds
+    the old table or the new one, and a run that breaks off leaves the old one."""
+    spark = df.sparkSession
+    beside = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    at = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    store = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        write_csv(df, beside)
+        store.delete(at(path), True)
+        if not store.rename(at(beside), at(path)):
+            raise OSError(f"{path} could not be replaced")
+    finally:
+        store.delete(at(beside), True)
+
+
 def write_partitions(df: DataFrame, by: str, path: str) -> DataFrame:
     """Files below ``path``/by=value, and their manifest: (by, rows, bytes, files). Each task sorts its rows by ``by`` and a busy value is
     spread over tasks by the writer's input, so that no value must fit one task."""
