@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 from .common import as_bytes, id_text, read, stage
 from .components import connected_components
 
-#: Fingerprints in one bucket beyond which it is compared in blocks, and the rows of a block.
-BUCKET, BLOCK = 8, 1024
+#: Fingerprints in one bucket beyond which it is compared in blocks, and the rows of a block. Chance puts four into a bucket on
+#: average at most (see ``plan``), so that only groups of alike documents go beyond it, at every size of the table.
+BUCKET, BLOCK = 24, 1024
 #: The share of pairs at the border similarity that the lookup is to find.
 RECALL = 0.97
 
