@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..checkpoints import fresh
 from ..operators import light
 from ..sources import files as f
+from ..sources import versions
 from ..sources.views import STAYS_SQL, WEATHER_SQL, stays, view, view_sql, weather
 from ..streaming import windows as w
 from .light import _BUILDINGS, _buildings
@@ -186,16 +187,10 @@ add("stm_session_gap", lambda s, d: _run(s, w.sessions(_stream(s, d), "user_id",
 
 
 def _late(s, d):
-    top, state = fresh(s, "late"), {}
-
-    def write(rows, number):
-        rows.write.mode("overwrite").parquet(f"{top}/{number}")
-        state["path"] = f"{top}/{number}"
-
-    read = lambda: s.read.parquet(state["path"]) if state else None
+    path = fresh(s, "late")
     rows = _stream(s, d).select("user_id", "event_id", F.round("value", 6).alias("value"))
-    w.merge_late(rows, ["user_id"], "event_id", read, write, fresh(s, "offsets")).awaitTermination()
-    return read()
+    w.merge_late(rows, path, ["user_id"], "event_id", fresh(s, "offsets"), buckets=8).awaitTermination()
+    return versions.read_version(s, path, rows.schema)
 
 
 add("stm_late_rows", _late, "SELECT user_id, max(event_id) AS event_id, round(arg_max(value, event_id), 6) AS value FROM events GROUP BY 1")

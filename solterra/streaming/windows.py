@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..sources import versions
+
 
 def minute_counts(rows: DataFrame, by: list[str], late: str = "10 minutes") -> DataFrame:
     """(by, minute start, n, total): rows (ts timestamp, value) by minute; state of a minute goes ``late`` after it. Rows without ts
@@ -35,15 +35,11 @@ def to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "complet
     return stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
 
 
-def merge_late(stream: DataFrame, keys: list[str], order: str, read: Callable[[], DataFrame | None], write: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """Rows of the stream replace those of the table with the same keys; of several in one batch the greatest ``order`` counts, and an
-    older row never replaces a newer. ``read`` gives the table as it is (None: none yet), ``write`` puts the next one in its
-    place under the number of the batch, the same for a batch that is run again."""
+def merge_late(stream: DataFrame, path: str, keys: list[str], order: str, checkpoint: str, buckets: int = versions.BUCKETS) -> StreamingQuery:
+    """Rows of the stream replace those of the versioned table at ``path`` with the same keys (see ``merge_batch``): an older row never
+    replaces a newer, and a batch that is run again after a failure, or a restart from ``checkpoint``, changes nothing."""
 
     def merge(batch: DataFrame, number: int) -> None:
-        old = read()
-        both = batch if old is None else old.unionByName(batch)
-        newest = both.groupBy(*keys).agg(F.max_by(F.struct(*both.columns), order).alias("r")).select("r.*")
-        write(newest, number)
+        versions.merge_batch(batch, path, keys, order, number, buckets)
 
     return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(merge).start()
