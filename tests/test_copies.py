@@ -93,3 +93,12 @@ def test_sessions_of_files_in_any_order_lose_no_row(spark, tmp_path):
         spark.createDataFrame(part, "event_id long, ts timestamp_ntz, user_id long, value double").coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
     got = registry.QUERIES["stm_session_gap"](spark, str(tmp_path))
     assert got.agg(F.sum("n")).first()[0] == 300 and got.count() == 300
+
+
+def test_rounding_is_half_to_even_without_decimals(spark):
+    rows = spark.createDataFrame([(0.000005, -0.000015), (-73.999995, 40.700005), (None, float("nan"))], "lon double, lat double")
+    units = light.to_units(rows.where("lon is not null"))
+    wanted = rows.where("lon is not null").select(F.bround(F.col("lon") * light.UNITS).cast("long").alias("x"), F.bround(F.col("lat") * light.UNITS).cast("long").alias("y"))
+    assert units.select("x", "y").collect() == wanted.collect()
+    for name in ("fn_point_in_ring", "pipe_indoor", "pipe_task_graph_rows"):
+        assert "bround" not in registry.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
