@@ -102,3 +102,14 @@ def test_rounding_is_half_to_even_without_decimals(spark):
     assert units.select("x", "y").collect() == wanted.collect()
     for name in ("fn_point_in_ring", "pipe_indoor", "pipe_task_graph_rows"):
         assert "bround" not in registry.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_ids_of_a_footprint_travel_by_blocks(spark, houses, monkeypatch):
+    monkeypatch.setattr(light, "BLOCK_IDS", 16)
+    points = _points_of(spark, 100)
+    got = light.indoor(points, houses)
+    assert got.distinct().count() == got.count() == 50 * 50
+    last = got._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+    assert "explode(_ids" in last and "edges" not in last
+    named = houses.withColumn("building_id", F.concat(F.lit("b"), "building_id"))
+    assert light.indoor(points, named).distinct().count() == 50 * 50
