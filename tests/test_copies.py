@@ -113,3 +113,14 @@ def test_ids_of_a_footprint_travel_by_blocks(spark, houses, monkeypatch):
     assert "explode(_ids" in last and "edges" not in last
     named = houses.withColumn("building_id", F.concat(F.lit("b"), "building_id"))
     assert light.indoor(points, named).distinct().count() == 50 * 50
+
+
+def test_a_bundle_of_rays_meets_its_walls_once(spark, houses):
+    def obstacles(n):
+        up = spark.range(n).selectExpr("0L as _f", "0L as _gx", "0L as _gy", "0L as _sector", "0L as _length", "id % 7 as x", "5L as y", "1D + id % 3 * 0.01 as ux", "1D as uy")
+        return light._obstacles(up, houses, 60.0, 10.0, 100.0, True)
+
+    assert obstacles(2000).count() == obstacles(21).count() == 3  # the footprint and the two walls on the sunny side
+    points = spark.range(10).selectExpr("id as row_index", "1718971200L as timestamp", "-74.0D as lon", "40.7D as lat", "id * 30 as x", "5L as y")
+    plan = light.shadowed(points, houses, 60.0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and plan.count("LeftSemi") == 1
