@@ -120,7 +120,17 @@ def test_a_bundle_of_rays_meets_its_walls_once(spark, houses):
         up = spark.range(n).selectExpr("0L as _f", "0L as _gx", "0L as _gy", "0L as _sector", "0L as _length", "id % 7 as x", "5L as y", "1D + id % 3 * 0.01 as ux", "1D as uy")
         return light._obstacles(up, houses, 60.0, 10.0, 100.0, True)
 
-    assert obstacles(2000).count() == obstacles(21).count() == 3  # the footprint and the two walls on the sunny side
+    for n in (21, 2000):
+        assert [o.count() for o in obstacles(n)] == [2, 1]  # the two walls on the sunny side and the footprint
     points = spark.range(10).selectExpr("id as row_index", "1718971200L as timestamp", "-74.0D as lon", "40.7D as lat", "id * 30 as x", "5L as y")
     plan = light.shadowed(points, houses, 60.0)._jdf.queryExecution().optimizedPlan().toString()
-    assert "LeftSemi" in plan and plan.count("LeftSemi") == 1
+    assert plan.count("LeftSemi") == 2
+
+
+def test_shaded_rays_keep_their_columns_and_are_those_in_shadow(spark, houses):
+    points = _points_of(spark, 3000, "id % 60 - 30L")
+    wanted = light.shadowed(points, houses, 20.0).where("in_shadow").select("row_index")
+    rays = light.with_sun(points).where(F.col("alt") > F.radians(F.lit(5)))
+    got = light.shaded(rays, houses, 20.0)
+    assert got.columns == rays.columns and wanted.count() > 0
+    assert got.select("row_index").distinct().exceptAll(wanted).isEmpty() and wanted.exceptAll(got.select("row_index").distinct()).isEmpty()
