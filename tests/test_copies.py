@@ -134,3 +134,10 @@ def test_shaded_rays_keep_their_columns_and_are_those_in_shadow(spark, houses):
     got = light.shaded(rays, houses, 20.0)
     assert got.columns == rays.columns and wanted.count() > 0
     assert got.select("row_index").distinct().exceptAll(wanted).isEmpty() and wanted.exceptAll(got.select("row_index").distinct()).isEmpty()
+
+
+@pytest.mark.parametrize("name", ["pipe_sunlight_file_minute", "agg_irbm_day"])
+def test_a_stay_meets_the_buildings_by_bundle_before_the_weather(spark, name):
+    plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftSemi") == 2 and "bround" not in plan
+    assert plan.index("Window") < plan.index("LeftSemi")  # the weather's windows stand over the shadow's joins
