@@ -141,3 +141,7 @@ def test_a_stay_meets_the_buildings_by_bundle_before_the_weather(spark, name):
     plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("LeftSemi") == 2 and "bround" not in plan
     assert plan.index("Window") < plan.index("LeftSemi")  # the weather's windows stand over the shadow's joins
+
+
+def test_coverage_rounds_corners_without_decimals(spark):
+    assert "bround" not in registry.QUERIES["agg_coverage"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
