@@ -2,8 +2,8 @@
 
 Documents get a fingerprint of 64 bits or a multiple of it. Each fingerprint is cut into segments; a table holds every
 (segment, value), small Hamming balls around each value are looked up in it, and complete distances decide. A bucket of
-more than ``BUCKET`` fingerprints is not expanded into pairs of rows: its members are compared in bounded blocks inside
-tasks, which give a spanning forest of the same links.
+more than ``BUCKET`` fingerprints, or of few that a crowd looks up, is not expanded into pairs of rows: its members are
+compared in bounded blocks inside tasks, which give a spanning forest of the same links.
 
 With a fixed ``max_bits`` that the segments' balls cover, links are exactly the pairs within that distance. With a
 ``similarity`` in its place the distance only proposes pairs: ``plan`` chooses segments of which the balls find a pair at
@@ -27,7 +27,8 @@ from .common import as_bytes, id_text, read, stage
 from .components import connected_components
 
 #: Fingerprints in one bucket beyond which it is compared in blocks, and the rows of a block. Chance puts four into a bucket on
-#: average at most (see ``plan``), so that only groups of alike documents go beyond it, at every size of the table.
+#: average at most (see ``plan``), so that only groups of alike documents go beyond it, at every size of the table. A bucket of
+#: fewer is compared in blocks too if it meets more lookups than a full one does by chance: else each of a crowd would meet it in rows.
 BUCKET, BLOCK = 24, 1024
 #: The share of pairs at the border similarity that the lookup is to find.
 RECALL = 0.97
@@ -91,14 +92,19 @@ def fingerprints(docs: DataFrame, shingle_words: int = 5, words: int = 1, distin
     return id_text(docs).mapInArrow(run, "doc_id long, fp array<long>")
 
 
+def _carried(words: int) -> int:
+    """Words of a fingerprint that go with each lookup: all of a short one, so that only close pairs become rows, or the first two."""
+    return words if words <= 3 else 2
+
+
 def _masks(bits: int, radius: int) -> np.ndarray:
     return np.array([sum(1 << i for i in c) for r in range(radius + 1) for c in itertools.combinations(range(bits), r)], np.int64)
 
 
 def _probes(nodes: DataFrame, words: int, bits: int, segments: int, radius: int) -> DataFrame:
-    """(key, node, sig, exact): sig is the first two words of the fingerprint, or its only one; for each segment the keys in the ball around its value. Of two values one bit apart, the
+    """(key, node, sig, exact): sig is what ``_carried`` says of the fingerprint; for each segment the keys in the ball around its value. Of two values one bit apart, the
     one with the bit set finds the other, so for radius 1 the other way is left out."""
-    masks, carried = _masks(bits, radius), min(2, words)
+    masks, carried = _masks(bits, radius), _carried(words)
 
     def run(batches):
         for batch in batches:
@@ -150,13 +156,15 @@ def _close(pairs: DataFrame, nodes: DataFrame, max_bits: int) -> DataFrame:
 
 def candidates(nodes: DataFrame, words: int, max_bits: int, segment_bits: int, segments: int, radius: int) -> tuple[DataFrame, DataFrame | None]:
     """(pairs, members): pairs (a, b) of nodes (node long, fp array<long> of ``words`` items) that differ in ``max_bits``
-    or fewer and meet in a bucket of BUCKET fingerprints or fewer; and for the larger buckets (None if there is none)
-    their members (key, node): those in the bucket, and those that look it up."""
+    or fewer and meet in a bucket of BUCKET fingerprints or fewer, not looked up by a crowd; and for the other buckets
+    (None if there is none) their members (key, node): those in the bucket, and those that look it up."""
     probes = _probes(nodes, words, segment_bits, segments, radius)
     table = probes.where("exact")
-    carried = [f"sig{w}" for w in range(min(2, words))]
-    hot = stage(table.groupBy("key").agg(F.count(F.lit(1)).alias("n_table")).where(F.col("n_table") > BUCKET).select("key", "n_table"), "hot")
-    t = table.join(hot.select("key"), "key", "left_anti").select("key", F.col("node").alias("b"), *(F.col(c).alias(f"{c}_b") for c in carried))
+    carried = [f"sig{w}" for w in range(_carried(words))]
+    chance = 2 * segment_bits if radius == 1 else 4 * (len(_masks(segment_bits, radius)) - 1)  # lookups of a bucket, from four to each value around it
+    sizes = probes.groupBy("key").agg(F.sum(F.col("exact").cast("long")).alias("n_table"), F.sum((~F.col("exact")).cast("long")).alias("n_lookups"))
+    hot = stage(sizes.where((F.col("n_table") > BUCKET) | (F.col("n_table") * F.col("n_lookups") > BUCKET * chance)).select("key"), "hot")
+    t = table.join(hot, "key", "left_anti").select("key", F.col("node").alias("b"), *(F.col(c).alias(f"{c}_b") for c in carried))
     # What differs in the words carried along differs in the whole: more than max_bits there is more than max_bits.
     apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_b"))) for c in carried), F.lit(0))
     # A pair that meets in several segments counts in the first of them: there its bucket gave the pair, or was compared in blocks.
@@ -171,7 +179,7 @@ def candidates(nodes: DataFrame, words: int, max_bits: int, segment_bits: int, s
         .where((F.col("node") != F.col("b")) & (~F.col("exact") | (F.col("node") < F.col("b"))) & (apart <= max_bits) & first)
         .select(F.col("node").alias("a"), "b")
     )
-    if words > 1:
+    if words > len(carried):
         pairs = _close(pairs.distinct(), nodes, max_bits)
     if hot.isEmpty():
         return pairs, None
@@ -181,7 +189,7 @@ def candidates(nodes: DataFrame, words: int, max_bits: int, segment_bits: int, s
 def links(nodes: DataFrame, words: int, max_bits: int, segment_bits: int, segments: int, radius: int) -> DataFrame:
     """(a, b) links between different nodes (node long, fp array<long> of ``words`` items) whose fingerprints differ in ``max_bits`` or
     fewer and meet in some segment within ``radius``. For max_bits < segments * (radius + 1) that is every such pair; a
-    bucket over BUCKET gives a spanning forest of its links in place of all of them."""
+    crowded bucket gives a spanning forest of its links in place of all of them."""
     pairs, members = candidates(nodes, words, max_bits, segment_bits, segments, radius)
     if members is None:
         return pairs
@@ -241,7 +249,7 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 def similar_links(docs: DataFrame, nodes: DataFrame, shingle_words: int, similarity: float, words: int, segment_bits: int, segments: int, max_bits: int) -> DataFrame:
     """(a, b): verified links that connect what the proposed pairs of Jaccard ``similarity`` or more connect.
 
-    First every node is verified against one partner: its least, and the least member of its largest bucket over BUCKET.
+    First every node is verified against one partner: its least, and the least member of its largest crowded bucket.
     What hangs together then needs no more pairs inside: only pairs between different groups are verified next, those of
     large buckets in blocks inside tasks, where blocks of a bucket's largest group do not meet each other."""
     pairs, members = candidates(nodes, words, max_bits, segment_bits, segments, 1)

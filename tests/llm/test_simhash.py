@@ -81,3 +81,49 @@ def test_odd_rows_of_similar_texts(spark):
     assert len(got) == len(rows) and by == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6, 7: 7, 8: 7, 10: 9}
     assert sorted((r.component_id for r in got if r.doc_id is None), key=str) == [4, None]
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def of_values(spark, rows):
+    """Nodes of one-word fingerprints: (value of the lowest 16 bits, the other 48)."""
+    rows = [(i, [(value | other << 16) - (1 << 64 if other >> 47 else 0)]) for i, (value, other) in enumerate(rows)]
+    return spark.createDataFrame(rows, "node long, fp array<long>"), [fp[0] for _, fp in rows]
+
+
+def test_a_small_bucket_that_a_crowd_looks_up_makes_no_rows_of_pairs(spark):
+    for crowd in (300, 600):
+        rng = random.Random(crowd)
+        nodes, _ = of_values(spark, [(0, rng.getrandbits(48)) for _ in range(20)] + [(1, rng.getrandbits(48)) for _ in range(crowd)])
+        pairs, members = simhash.candidates(nodes, 1, 64, 16, 4, 1)
+        assert pairs.count() == 0 and members.where("key = 0").count() == crowd + 20
+    alone, members = simhash.candidates(nodes.where("node < 21"), 1, 64, 16, 4, 1)
+    assert alone.count() == 21 * 20 / 2 and members is None  # no crowd: rows of pairs, each once
+
+
+def test_links_between_a_crowd_and_a_small_bucket_are_those_of_all_pairs(spark):
+    rng, centres = random.Random(3), [random.Random(4).getrandbits(48) for _ in range(12)]
+    near = lambda: rng.choice(centres) ^ sum(1 << b for b in rng.sample(range(48), rng.randint(0, 4)))
+    nodes, fps = of_values(spark, [(0, near()) for _ in range(20)] + [(1, near()) for _ in range(300)])
+    found = simhash.links(nodes, 1, 3, 16, 4, 1)
+    assert all(((fps[a] ^ fps[b]) & (1 << 64) - 1).bit_count() <= 3 for a, b in found.select("a", "b").collect())
+    parent = list(range(len(fps)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(fps):
+        for j in range(i):
+            if ((a ^ fps[j]) & (1 << 64) - 1).bit_count() <= 3:
+                x, y = sorted((root(i), root(j)))
+                parent[y] = x
+    got = {r.node: r.component for r in simhash.connected_components(found).collect()}
+    assert [got.get(i, i) for i in range(len(fps))] == [root(i) for i in range(len(fps))]
+
+
+def test_a_short_fingerprint_travels_whole(spark):
+    nodes = lambda words: spark.createDataFrame([(i, [7] * (words - 1) + [2**i - 1]) for i in range(20)], "node long, fp array<long>")
+    for words, joined in ((3, False), (4, True)):
+        pairs, members = simhash.candidates(nodes(words), words, 5, 16, 4 * words, 1)
+        assert members is None and ("fp_a" in pairs._jdf.queryExecution().optimizedPlan().toString()) == joined
+        assert sorted((min(p), max(p)) for p in pairs.distinct().collect()) == [(a, b) for a in range(20) for b in range(a + 1, min(20, a + 6))]
