@@ -161,9 +161,14 @@ def candidates(nodes: DataFrame, words: int, max_bits: int, segment_bits: int, s
     probes = _probes(nodes, words, segment_bits, segments, radius)
     table = probes.where("exact")
     carried = [f"sig{w}" for w in range(_carried(words))]
-    chance = 2 * segment_bits if radius == 1 else 4 * (len(_masks(segment_bits, radius)) - 1)  # lookups of a bucket, from four to each value around it
-    sizes = probes.groupBy("key").agg(F.sum(F.col("exact").cast("long")).alias("n_table"), F.sum((~F.col("exact")).cast("long")).alias("n_lookups"))
-    hot = stage(sizes.where((F.col("n_table") > BUCKET) | (F.col("n_table") * F.col("n_lookups") > BUCKET * chance)).select("key"), "hot")
+    sizes = stage(table.groupBy("key").agg(F.count(F.lit(1)).alias("n_table")), "sizes")
+    # Lookups of a bucket are told from the sizes of those around it; chance gives it four from each value there at most.
+    masks = [int(m) for m in _masks(segment_bits, radius)[1:]]
+    chance = 2 * segment_bits if radius == 1 else 4 * len(masks)
+    around = F.filter(F.array(*map(F.lit, masks)), lambda m: F.col("key").bitwiseAND(m) == m) if radius == 1 else F.array(*map(F.lit, masks)).cast("array<long>")
+    looked_up = sizes.select(F.explode(F.transform(around, lambda m: F.col("key").bitwiseXOR(m))).alias("key"), F.lit(0).cast("long").alias("n_table"), F.col("n_table").alias("n_lookups"))
+    met = sizes.withColumn("n_lookups", F.lit(0).cast("long")).unionByName(looked_up).groupBy("key").agg(F.sum("n_table").alias("n_table"), F.sum("n_lookups").alias("n_lookups"))
+    hot = stage(met.where((F.col("n_table") > BUCKET) | (F.col("n_table") * F.col("n_lookups") > BUCKET * chance)).select("key"), "hot")
     t = table.join(hot, "key", "left_anti").select("key", F.col("node").alias("b"), *(F.col(c).alias(f"{c}_b") for c in carried))
     # What differs in the words carried along differs in the whole: more than max_bits there is more than max_bits.
     apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_b"))) for c in carried), F.lit(0))
