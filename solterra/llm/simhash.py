@@ -3,7 +3,8 @@
 Documents get a fingerprint of 64 bits or a multiple of it. Each fingerprint is cut into segments; a table holds every
 (segment, value), small Hamming balls around each value are looked up in it, and complete distances decide. A bucket of
 more than ``BUCKET`` fingerprints, or of few that a crowd looks up, is not expanded into pairs of rows: its members are
-compared in bounded blocks inside tasks, which give a spanning forest of the same links.
+compared in bounded blocks inside tasks, which give a spanning forest of the same links. Long fingerprints meet by the
+halves of their segments instead (see ``proposed``), so that neither the balls nor what chance brings together travels.
 
 With a fixed ``max_bits`` that the segments' balls cover, links are exactly the pairs within that distance. With a
 ``similarity`` in its place the distance only proposes pairs: ``plan`` chooses segments of which the balls find a pair at
@@ -15,12 +16,13 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import as_bytes, id_text, read, stage
@@ -30,6 +32,8 @@ from .components import connected_components
 #: average at most (see ``plan``), so that only groups of alike documents go beyond it, at every size of the table. A bucket of
 #: fewer is compared in blocks too if it meets more lookups than a full one does by chance: else each of a crowd would meet it in rows.
 BUCKET, BLOCK = 24, 1024
+#: Rows of halves, and pairs of them, that a task takes up at once.
+ROWS, PAIRS = 1 << 15, 1 << 17
 #: The share of pairs at the border similarity that the lookup is to find.
 RECALL = 0.97
 
@@ -191,6 +195,103 @@ def candidates(nodes: DataFrame, words: int, max_bits: int, segment_bits: int, s
     return pairs, probes.join(hot, "key").select("key", "node").distinct()
 
 
+def _value(s: int, bits: int) -> Column:
+    """Segment s of a fingerprint."""
+    word, shift = divmod(s * bits, 64)
+    low = F.shiftrightunsigned(F.col("fp")[word], shift)
+    if shift + bits > 64:
+        low = low.bitwiseOR(F.shiftleft(F.col("fp")[word + 1], 64 - shift))
+    return low.bitwiseAND(F.lit((1 << bits) - 1))
+
+
+def _segments_within(x: np.ndarray, bits: int, segments: int) -> Iterator[np.ndarray]:
+    """For each segment, whether the rows of x (fingerprints XORed) have one bit of it set at most."""
+    for s in range(segments):
+        word, shift = divmod(s * bits, 64)
+        v = x[:, word] >> np.uint64(shift)
+        if shift + bits > 64:
+            v = v | x[:, word + 1] << np.uint64(64 - shift)
+        yield np.bitwise_count(v & np.uint64((1 << bits) - 1)) <= 1
+
+
+def _bucket_pairs(code: np.ndarray, size: np.ndarray, masks: np.ndarray, exact: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of buckets (sorted code, size) that are one bit apart, and each bucket of ``exact`` with itself."""
+    yield (np.flatnonzero(exact & (size > 1)),) * 2
+    for m in masks:
+        i = np.flatnonzero(code & m)
+        at = np.minimum(np.searchsorted(code, code[i] ^ m), len(code) - 1)
+        met = code[at] == code[i] ^ m
+        yield i[met], at[met]
+
+
+def _met(spot: np.ndarray, other: np.ndarray, fps: np.ndarray, bits: int, segments: int, max_bits: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows (sorted by spot and other, whole spots) of one spot and others one bit apart at most, that differ in ``max_bits``
+    or fewer: those whose first common segment this is. Buckets of more than ``most`` rows are left to be compared in blocks."""
+    begin = np.flatnonzero(np.r_[len(spot) > 0, (spot[1:] != spot[:-1]) | (other[1:] != other[:-1])])
+    size = np.diff(np.r_[begin, len(spot)])
+    begin, size = begin[size <= most], size[size <= most]
+    if not len(begin):
+        return
+    at, width = spot[begin], bits - bits // 2
+    run = np.cumsum(np.r_[False, at[1:] != at[:-1]])
+    # equal values share both halves: they count in the first of them
+    for i, j in _bucket_pairs(run << width | other[begin], size, _masks(width, 1)[1:], at >> 41 << 41 == at >> 40 << 40):
+        n = size[i] * size[j]
+        ends = np.cumsum(n)
+        for part in np.split(np.arange(len(i)), np.flatnonzero(np.diff(ends // PAIRS)) + 1):
+            which = np.repeat(part, n[part])
+            k = np.arange(len(which)) - np.repeat(np.cumsum(n[part]) - n[part], n[part])
+            a, b = begin[i[which]] + k // size[j[which]], begin[j[which]] + k % size[j[which]]
+            x = fps[a] ^ fps[b]
+            near = (np.bitwise_count(x).sum(axis=1, dtype=np.int32) <= max_bits) & ((a < b) | (i[which] != j[which]))
+            a, b, x = a[near], b[near], x[near]
+            first = np.full(len(a), segments)
+            for s, within in enumerate(_segments_within(x, bits, segments)):
+                first = np.where(within & (first == segments), s, first)
+            here = first == spot[a] >> 41
+            yield a[here], b[here]
+
+
+def proposed(nodes: DataFrame, words: int, max_bits: int, bits: int, segments: int) -> tuple[DataFrame, DataFrame | None]:
+    """As ``candidates`` with radius 1, for fingerprints of any length: of values one bit apart one half is equal, so that a node goes,
+    with its whole fingerprint, to the two halves of each segment and not to each value around it. Values meet inside tasks; only
+    close pairs become rows. Members of a bucket of more than BUCKET nodes: those in it, and those one bit away (of two such
+    buckets, one has the other's)."""
+    width, most = bits - bits // 2, BUCKET
+    values = F.posexplode(F.array(*(_value(s, bits) for s in range(segments)))).alias("_s", "_v")
+    s, v, low = F.col("_s").cast("long"), F.col("_v"), F.lit((1 << width) - 1)
+    table = nodes.select("node", values).select("node", F.shiftleft(s, 40).bitwiseOR(v).alias("key"))
+    hot = stage(table.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("key"), "hot")
+    spot = lambda h, half, other: F.struct(F.shiftleft(2 * s + h, 40).bitwiseOR(half).alias("spot"), other.alias("other"))
+    halves = F.array(spot(0, F.shiftright(v, width), v.bitwiseAND(low)), spot(1, v.bitwiseAND(low), F.shiftright(v, width)))
+    rows = nodes.select("node", "fp", values).select("node", "fp", F.explode(halves).alias("_at")).select("_at.spot", "_at.other", "node", "fp")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = tuple(np.zeros(shape, np.int64) for shape in (0, 0, 0, (0, words)))
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                fps = np.asarray(batch.column("fp").flatten()).reshape(-1, words)
+                kept = tuple(np.concatenate(p) for p in zip(kept, (*(np.asarray(batch.column(c)) for c in ("spot", "other", "node")), fps)))
+                if len(kept[0]) < ROWS:
+                    continue
+            spot, other, node, fps = kept
+            end = np.searchsorted(spot, spot[-1]) if batch is not None else len(spot)  # the last spot may go on
+            for a, b in _met(spot[:end], other[:end], fps[:end].view(np.uint64), bits, segments, max_bits, most):
+                yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
+            # of a bucket that is too large no more rows are kept than tell that it is
+            left = np.arange(end, len(spot))
+            left = left[(left < end + most + 1) | (spot[left] != spot[left - most - 1]) | (other[left] != other[left - most - 1])]
+            kept = spot[left], other[left], node[left], fps[left]
+
+    pairs = rows.repartition("spot").sortWithinPartitions("spot", "other").mapInArrow(run, "a long, b long")
+    if hot.isEmpty():
+        return pairs, None
+    around = hot.select("key", F.explode(F.array(*map(F.lit, _masks(bits, 1).tolist()))).alias("_m")).select("key", F.col("key").bitwiseXOR(F.col("_m")).alias("_from"), (F.col("key").bitwiseAND(F.col("_m")) != 0).alias("_set"))
+    around = around.join(hot.select(F.col("key").alias("_from"), F.lit(True).alias("_hot")), "_from", "left").where(~F.col("_set") | F.col("_hot").isNull())
+    return pairs, table.withColumnRenamed("key", "_from").join(around, "_from").select("key", "node")
+
+
+
 def links(nodes: DataFrame, words: int, max_bits: int, segment_bits: int, segments: int, radius: int) -> DataFrame:
     """(a, b) links between different nodes (node long, fp array<long> of ``words`` items) whose fingerprints differ in ``max_bits`` or
     fewer and meet in some segment within ``radius``. For max_bits < segments * (radius + 1) that is every such pair; a
@@ -257,7 +358,7 @@ def similar_links(docs: DataFrame, nodes: DataFrame, shingle_words: int, similar
     First every node is verified against one partner: its least, and the least member of its largest crowded bucket.
     What hangs together then needs no more pairs inside: only pairs between different groups are verified next, those of
     large buckets in blocks inside tasks, where blocks of a bucket's largest group do not meet each other."""
-    pairs, members = candidates(nodes, words, max_bits, segment_bits, segments, 1)
+    pairs, members = proposed(nodes, words, max_bits, segment_bits, segments)
     pairs = stage(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "proposed")
     one = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     if members is not None:

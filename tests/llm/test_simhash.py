@@ -127,3 +127,46 @@ def test_a_short_fingerprint_travels_whole(spark):
         pairs, members = simhash.candidates(nodes(words), words, 5, 16, 4 * words, 1)
         assert members is None and ("fp_a" in pairs._jdf.queryExecution().optimizedPlan().toString()) == joined
         assert sorted((min(p), max(p)) for p in pairs.distinct().collect()) == [(a, b) for a in range(20) for b in range(a + 1, min(20, a + 6))]
+
+
+def test_long_fingerprints_meet_by_halves_and_only_close_pairs_become_rows(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "ROWS", 100)
+    rng, words, bits, segments, limit = random.Random(5), *simhash.plan(1 << 21, 0.8)
+    noisy = lambda f, share: f ^ sum(1 << b for b in range(64 * words) if rng.random() < share)
+    bases = [rng.getrandbits(64 * words) for _ in range(150)]
+    fps = bases + [noisy(rng.choice(bases), rng.choice([0.01, 0.08, 0.15])) for _ in range(150)] + [noisy(bases[0], rng.choice([0.005, 0.03])) for _ in range(150)]
+    signed = lambda f: [(f >> 64 * w & (1 << 64) - 1) - (1 << 64 if f >> 64 * w + 63 & 1 else 0) for w in range(words)]
+    nodes = spark.createDataFrame([(i, signed(f)) for i, f in enumerate(fps)], "node long, fp array<long>")
+    pairs, members = simhash.proposed(nodes, words, limit, bits, segments)
+    got = [tuple(sorted(r)) for r in pairs.collect()]
+    values = [[f >> s * bits & (1 << bits) - 1 for s in range(segments)] for f in fps]
+    sizes, keys = {}, {}
+    for v in values:
+        for k in enumerate(v):
+            sizes[k] = sizes.get(k, 0) + 1
+    for key, node in members.collect():
+        assert key not in keys.setdefault(node, set())
+        keys[node].add(key)
+    met = set()  # close pairs of which neither value is crowded in the first segment that they share
+    for i, j in ((i, j) for j in range(len(fps)) for i in range(j) if (fps[i] ^ fps[j]).bit_count() <= limit):
+        for k, (x, y) in enumerate(zip(values[i], values[j])):
+            if (x ^ y).bit_count() <= 1:
+                if max(sizes[k, x], sizes[k, y]) <= simhash.BUCKET:
+                    met.add((i, j))
+                else:  # all others are members of one crowded bucket
+                    assert keys[i] & keys[j]
+                break
+    assert len(got) == len(met) > 100 and set(got) == met and keys
+    rows = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [spot" in rows and "Join" not in rows  # two rows a segment travel, no pair before it is close
+
+
+def test_more_documents_than_short_fingerprints_serve_make_no_rows_of_chance_pairs(spark, monkeypatch):
+    def never(*_):
+        raise AssertionError("values around each value are not to travel")
+
+    monkeypatch.setattr(simhash, "_probes", never)
+    texts = corpus(9, 60, 1, [0.004])
+    got = simhash.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), layout=simhash.plan(1 << 21, 0.8))
+    near, wanted = brute(texts)
+    assert all(wanted[r.doc_id] == wanted[r.component_id] for r in got.collect()) and any(j >= 0.8 for j in near.values())
