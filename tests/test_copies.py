@@ -2,6 +2,7 @@
 
 import datetime
 import glob
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -145,3 +146,19 @@ def test_a_stay_meets_the_buildings_by_bundle_before_the_weather(spark, name):
 
 def test_coverage_rounds_corners_without_decimals(spark):
     assert "bround" not in registry.QUERIES["agg_coverage"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pairs_of_reach_become_rows_after_the_last_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(light, "REACH_IDS", 50)
+    heights = [None, 0.0, -4.0, 1.0, 8.0, 9.0, 40.0, 700.0]
+    rows = [(i, heights[i % 8], i % 16 // 2 * 30, i % 16 // 2 * 30 + 10, i % 3 * 40, i % 3 * 40 + 10) for i in range(400)]
+    b = spark.createDataFrame(rows, "building_id long, height double, x0 long, x1 long, y0 long, y1 long")
+    sun = [1e-14, 1e-6, 0.02, 0.1, 0.17, 0.5, 1.2, 0.0, -0.3, None]
+    targets = [(k, x, x + 20, 5, 25, e) for k, (x, e) in enumerate((x, e) for x in (-500, 0, 130, 900) for e in sun)]
+    t = spark.createDataFrame(targets, "task_id long, x0 long, x1 long, y0 long, y1 long, elevation double")
+    out = light.within_reach(t, b, 25.0, plane=True)
+    apart = lambda a0, a1, b0, b1: max(0, b0 - a1, a0 - b1)
+    wanted = sorted((k, i) for k, x0, x1, y0, y1, e in targets if e and e > 0 for i, h, bx0, bx1, by0, by1 in rows if math.hypot(apart(x0, x1, bx0, bx1), apart(y0, y1, by0, by1)) <= max(h or 0.0, 0.0) / math.tan(e) + 25)
+    assert sorted(tuple(r) for r in out.collect()) == wanted and len(wanted) > 1000
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.index("explode(_ids") < plan.index("Join")  # nothing is joined or dealt out above it
