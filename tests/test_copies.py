@@ -12,6 +12,7 @@ from solterra.operators import areas, exposure, light
 from solterra.operators import graph as gr
 from solterra.operators import mobility as m
 from solterra.plans.mobility import _points, _runs
+from solterra.plans.solver import _targets
 from solterra.sources import files
 from solterra.sources.views import stays
 
@@ -162,3 +163,9 @@ def test_pairs_of_reach_become_rows_after_the_last_shuffle(spark, monkeypatch):
     assert sorted(tuple(r) for r in out.collect()) == wanted and len(wanted) > 1000
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert 0 < plan.index("explode(_ids") < plan.index("Join")  # nothing is joined or dealt out above it
+
+
+def test_join_reach_takes_targets_of_any_sun_above_the_horizon(spark):
+    d = "/root/testdata/sf0.001"
+    low = _targets(spark, d).where("elevation > 0 and elevation <= radians(10)").select("task_id")
+    assert registry.QUERIES["join_reach"](spark, d).join(low, "task_id", "left_semi").count() > 0
